@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .mixing import op4_mixing
 from .sharding import op10_sharding
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op4_mixing": op4_mixing,
+    "op8_toxicity": op8_toxicity,
     "op10_sharding": op10_sharding,
 }
 
