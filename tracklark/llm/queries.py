@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .mixing import op4_mixing
+from .near_duplicates import op6_ngram_jaccard_join
+from .packing import op9_packing
 from .sharding import op10_sharding
 from .toxicity import op8_toxicity
 
 QUERIES = {
     "op4_mixing": op4_mixing,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_toxicity": op8_toxicity,
+    "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
 
