@@ -5,11 +5,13 @@ from __future__ import annotations
 from .language_model import op2_lm_scoring
 from .mixing import op4_mixing
 from .near_duplicates import op6_ngram_jaccard_join
+from .neighbours import op1_nearest_neighbours
 from .packing import op9_packing
 from .sharding import op10_sharding
 from .toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_lm_scoring": op2_lm_scoring,
     "op4_mixing": op4_mixing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
