@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
 from .storage import materialize
 
 BLOCK = 384
@@ -101,3 +102,11 @@ def count_links(buckets: DataFrame, nodes: DataFrame, payloads: DataFrame, verif
     found = materialize(rows.mapInArrow(run, "node binary, links long, root binary"))
     edges = found.where("node <> root").select(F.greatest("node", "root").alias("a"), F.least("node", "root").alias("b"))
     return found.groupBy("node").agg(F.sum("links").alias("links")), edges
+
+
+def classified(found: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:
+    """`found` (`node`, `class_id`, `members`) with `n_links`, other rows linked with one of the class, and `component_id`."""
+    rooted = found.select("node", "class_id", "members").join(links, "node", "left").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialize(rooted)
+    least = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    return rooted.join(least, "root").select("node", "class_id", "members", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")

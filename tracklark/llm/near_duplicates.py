@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
-from .linking import count_links, shared_buckets
+from .linking import classified, count_links, shared_buckets
 from .storage import WORD, materialize, table
 from .text import U64, WordHashes, shingles, words
 
@@ -118,10 +117,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     texts = keyed.withColumnRenamed("node", "__node").join(needed, (F.col("__node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).select("node", "text").dropDuplicates(["node"])
     payloads = texts.mapInArrow(sets, "node binary, payload binary")
     links, edges = count_links(buckets, found.select("node", "members", "bands"), payloads, jaccard_at_least(threshold))
-    rooted = found.select("node", "class_id", "members").join(links, "node", "left").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialize(rooted)
-    least = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    return rooted.join(least, "root").select("node", "class_id", "members", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    return classified(found, links, edges)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N) -> DataFrame:

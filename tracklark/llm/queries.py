@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embedding_duplicates import op3_embedding_near_dedup
 from .language_model import op2_lm_scoring
 from .mixing import op4_mixing
 from .near_duplicates import op6_ngram_jaccard_join
@@ -13,6 +14,7 @@ from .toxicity import op8_toxicity
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_mixing": op4_mixing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_toxicity": op8_toxicity,
