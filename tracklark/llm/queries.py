@@ -8,6 +8,7 @@ from .language_model import op2_lm_scoring
 from .mixing import op4_mixing
 from .near_duplicates import op6_ngram_jaccard_join
 from .neighbours import op1_nearest_neighbours
+from .oracles import ORACLE_SQL
 from .packing import op9_packing
 from .sharding import op10_sharding
 from .toxicity import op8_toxicity
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
