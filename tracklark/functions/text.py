@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import AUDIO_EXTENSIONS
 
@@ -24,7 +25,7 @@ def size_mb(length: Column) -> Column:
     return length / 1048576
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(path: pd.Series) -> pd.Series:
     if path.dropna().map(str.isascii).all():
         return path
@@ -50,7 +51,7 @@ def repair_long_decimals(text: Column) -> Column:
     return F.array_join(F.zip_with(F.split(text, LONG_DECIMAL, -1), F.concat(short, F.array(F.lit(""))), lambda gap, x: F.concat(gap, x)), "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _round_exact(x: pd.Series) -> pd.Series:
     return x.map(lambda v: round(v, 2), na_action="ignore")
 
