@@ -1,0 +1,170 @@
+"""Language model, toxicity, URL filter, neighbours: brute force, held-out accuracy, edge cases."""
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracklark.llm import language_model as lm
+from tracklark.llm.neighbours import Graph, nearest
+from tracklark.llm.text import words
+from tracklark.llm.toxicity import keep_clean, op8_toxicity, score, train
+from tracklark.llm.url_filter import host_and_path, judge, rule_for
+
+from ..conftest import SF
+
+DOCS = "doc_id long, text string"
+
+
+def brute_scores(rows, roles):
+    """Base and model log10 probabilities by plain counting; weights by EM over single tokens."""
+    texts = [[*words(t), lm.END] for _, t in rows]
+    count = lambda keep: (Counter(w for t, r in zip(texts, roles) if keep(r) for w in t), Counter(p for t, r in zip(texts, roles) if keep(r) for p in zip([lm.END, *t[:-1]], t)))
+    (u, b), (hu, hb) = count(lambda r: r != lm.OTHER), count(lambda r: r == lm.HELD)
+    n, v = sum(u.values()), len(u)
+    cells = Counter()
+    for t, r in zip(texts, roles):
+        if r == lm.HELD:
+            for h, w in zip([lm.END, *t[:-1]], t):
+                c, cw, p = u[h] - hu[h], u[w] - hu[w], b[h, w] - hb[h, w]
+                k2 = round(lm.STEP * math.log2(p / c * (v + 1))) if p else lm.NONE
+                k1 = round(lm.STEP * math.log2(cw / (n - sum(hu.values())) * (v + 1))) if cw else lm.NONE
+                cells[1 + int(math.log2(c)) if c else 0, k2, k1] += 1
+    weights = lm.learn_weights(sorted((*k, x) for k, x in cells.items()))
+    out = []
+    for t in texts:
+        base = sum(math.log10((u[w] + 1) / (n + v + 1)) for w in t)
+        model = 0.0
+        for h, w in zip([lm.END, *t[:-1]], t):
+            l = weights[1 + int(math.log2(u[h])) if u[h] else 0]
+            model += math.log10(l[0] * (b[h, w] / u[h] if u[h] else 0) + l[1] * u[w] / max(1, n) + l[2] / (v + 1))
+        out.append((len(t), sum(u[w] > 0 for w in t), n, base, model))
+    return out
+
+
+@pytest.mark.parametrize(("chunk", "spread"), [(1_500_000, 3_000_000), (40, 60)])
+def test_language_model(spark, monkeypatch, chunk, spread):
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(lm, "RANGE", spread)
+    rows = [(i, " ".join(f"{'aB'[i % 2]}{(i * k * k) % (7 + i % 3)}" for k in range(i % 23))) for i in range(80)]
+    rows += [(80, None), (81, ""), (82, "new words only"), (82, "new words only"), (None, "a1 a2\t\n a1"), (90, "x " * 3000)]
+    roles = [i % 3 for i in range(len(rows))]
+    frame = spark.createDataFrame([(*r, x) for r, x in zip(rows, roles)], DOCS + ", role int")
+    got = sorted(lm.score(frame, "role").collect(), key=lambda r: (str(r.doc_id), r.role))
+    want = sorted(((i, role, *x) for (i, _), role, x in zip(rows, roles, brute_scores(rows, roles))), key=lambda r: (str(r[0]), r[1]))
+    for g, w in zip(got, want, strict=True):
+        assert (g.doc_id, g.role, g.n_tokens, g.n_known, g.train_tokens) == w[:5]
+        assert (g.base_score, g.score) == pytest.approx(w[5:])
+
+
+def test_language_model_without_training(spark):
+    frame = spark.createDataFrame([(1, "a b", lm.OTHER)], DOCS + ", role int")
+    assert lm.score(frame, "role").first().n_known == 0
+    assert lm.score(frame.limit(0), "role").count() == 0
+
+
+def test_language_model_beats_base_on_held_out(spark):
+    sums = lm.op2_lm_scoring(spark, SF).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert sums[1] > sums[0]
+
+
+def test_weights_sum_to_one():
+    w = lm.learn_weights([(3, 10, 4, 5.0), (3, lm.NONE, lm.NONE, 2.0), (0, lm.NONE, 3, 4.0)])
+    assert w.sum(1) == pytest.approx(1) and (w > 0).all()
+    assert w[3, 0] > w[3, 1]
+
+
+def test_squeeze_round_trip():
+    for kind in (np.uint64, np.uint32, np.int64):
+        x = np.array([0, 1, 2**31, 5], kind)
+        assert (lm.unsqueeze(lm.squeeze(x), kind) == x).all()
+        assert len(lm.unsqueeze(lm.squeeze(x[:0]), kind)) == 0
+
+
+@pytest.fixture(scope="module")
+def toxic(spark):
+    bad = ["scumbag", "idiotic", "trashy"]
+    rows = [(i, " ".join([f"w{(i * k) % 97}" for k in range(30)] + ([bad[i % 3], bad[i % 2]] if i % 4 == 0 else []))) for i in range(1, 400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows if i % 2 == 0 or i % 3] + [(None, 1), (3, None), (4, 0), (4, 1)], "doc_id long, toxic int")
+    return docs, labels
+
+
+def test_toxicity_held_out(toxic, spark):
+    docs, labels = toxic
+    model = train(docs.where("doc_id <= 300"), labels)
+    got = score(docs.where("doc_id > 300"), model).collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in got)
+    odd = spark.createDataFrame([(1, None, 9.9), (2, "", 9.9), (2, "w1 " * 20_000, 9.9)], DOCS + ", score double")
+    assert all(0 <= r.score < 0.5 for r in score(odd, model).collect())
+    assert score(odd.limit(0), model).count() == 0
+
+
+def test_toxicity_without_labels(toxic):
+    docs, labels = toxic
+    for some in (labels.limit(0), labels.where("toxic = 0")):
+        assert all(r.score < 0.5 for r in score(docs.limit(3), train(docs, some)).collect())
+
+
+def test_toxicity_query(spark):
+    got = op8_toxicity(spark, SF).toPandas()
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = keep_clean(spark, docs, SF)
+    assert kept.columns == docs.columns and kept.count() == (got.predicted == 0).sum()
+
+
+URLS = [(1, "https://A.Example.NET/en/1?x#y", "a.example.net", "/en/1", "example.net/en/", "allow"), (2, "http://example.net", "example.net", "", None, None), (3, "ftp://x.net/?q=/en/", "x.net", "/", "net/", "block"), (4, "http://www.example.com/de/", "www.example.com", "/de/", "example.com/de/", "block"), (5, "http://notexample.com/de/", "notexample.com", "/de/", None, None), (6, "http://Ä.org/fr/\n", "Ä.org", "/fr/\n", "org/fr/", "allow"), (7, None, "", "", None, None), (8, "no url", "", "", None, None), (9, "x://", "", "", None, None), (10, "a://b://c/d", "b:", "//c/d", None, None)]
+
+
+def test_url_rules(spark):
+    frame = spark.createDataFrame([(i, u) for i, u, *_ in URLS], "page_id long, url string")
+    host, path = host_and_path()
+    got = frame.select("page_id", host.alias("h"), path.alias("p")).withColumn("r", rule_for(F.col("h"), F.col("p"))).collect()
+    for r, (i, _, h, p, rule, verdict) in zip(sorted(got), URLS, strict=True):
+        assert (r.page_id, r.h, r.p) == (i, h, p)
+        assert (r.r.rule, r.r.verdict) == (rule, verdict) if rule else r.r is None
+
+
+def test_url_judgement(spark):
+    rows = [(i, f"http://{'bad' if i % 2 else 'good'}{i}.{'net' if i % 2 else 'org'}/{'fr/' if i % 4 == 0 else 'xx/'}{i}") for i in range(300)] + [(300, None), (301, "http://"), (302, "http://badbad.net"), (302, "http://badbad.net")]
+    frame = spark.createDataFrame(rows, "page_id long, url string").withColumn("verdict", F.lit("old"))
+    got = judge(frame).collect()
+    assert len(got) == len(rows) and {r.verdict for r in got} <= {"allow", "block"}
+    assert all(r.verdict == "block" and r.rule is None for r in got if r.page_id == 302)
+    assert judge(frame.limit(0)).count() == 0
+    assert all(r.verdict in ("allow", "block") for r in judge(frame.where("page_id >= 300")).collect())
+
+
+def test_graph_recall():
+    r = np.random.default_rng(1)
+    x = r.standard_normal((3000, 24)).astype(np.float32)
+    found = Graph.build(x).search(x[:200], 100)[:, :10]
+    exact = np.argsort(((x[None, :200].transpose(1, 0, 2) - x[None]) ** 2).sum(2), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found, exact)]) > 0.95
+
+
+def test_nearest_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr("tracklark.llm.neighbours.SHARD", 100)
+    r = np.random.default_rng(3)
+    rows = [(i, (r.standard_normal(8) * (1 + i % 5)).astype(np.float32)) for i in range(300)]
+    rows += [(i, rows[5][1]) for i in range(1000, 1060)]  # a common vector: ties
+    odd = [(2000, None), (2020, [0.0] * 8), (2040, [1.0, None] * 4), (2060, [float("nan")] * 8), (2080, []), (None, [1.0] * 8), (20, [9.0] * 8), (3000, [1.0, 2.0]), (3020, [2.0, 2.0])]
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows] + odd, "vec_id long, embedding array<float>")
+    got = nearest(frame, frame.where("vec_id % 20 == 0")).toPandas()
+    vectors = {i: np.array(v, float) for i, v in rows}
+    hit = total = 0
+    for q in [i for i in vectors if i % 20 == 0]:
+        want = sorted((-float(vectors[q] @ v), i) for i, v in vectors.items() if i != q)[:20]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(mine["rank"]) == list(range(1, 21))
+        assert list(zip(-mine.score, mine.vec_id)) == sorted(zip(-mine.score, mine.vec_id))
+        assert q not in set(mine.vec_id)
+        hit += len(set(mine.vec_id) & {i for _, i in want})
+        total += 20
+    assert hit / total >= 0.98
+    assert list(got[got.query_id == 3000].vec_id) == [3020]
+    assert nearest(frame.limit(0), frame).count() == 0

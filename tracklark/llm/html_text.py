@@ -35,7 +35,7 @@ CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("d
 NOT_ARTICLE = frozenset("head nav footer aside form button select dialog menu fieldset search".split())
 #: What the class, id or role of a part that is not the article's text may be called.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar sidenav aside nav navbar navigation menu breadcrumb breadcrumbs header masthead footer contentinfo complementary comment comments commentlist respond disqus reply replies share sharing social related recommended newsletter subscribe subscription signup login search form widget toolbar pagination pager skip".split())
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 MARK = re.compile(r"[.,;:!?…。，、！？؛،]")
 
@@ -63,17 +63,18 @@ def _read(page: str) -> list[tuple[_Element, int, str]]:
         token = m.group()
         if m.group(1):
             continue
-        if m.group(3) is None:
+        end, tag, attributes = m.group(2, 3, 4) if m.group(3) else m.group(5, 6, 7)  # the latter with a quote left open
+        if tag is None:
             if token[0] != "<" or token == "<":
                 pieces.append((stack[-1], block, entities.unescape(token) if "&" in token else token))
             continue
-        tag = m.group(3).lower()
+        tag = tag.lower()
         if tag == "br":
             pieces.append((stack[-1], block, " "))
             continue
         if tag not in INLINE:
             block += 1
-        if m.group(2):
+        if end:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -91,7 +92,7 @@ def _read(page: str) -> list[tuple[_Element, int, str]]:
                         break
                 elif stack[k].tag not in INLINE and (stack[k].tag in within or tag not in CLOSES):
                     break
-        names = {w for x in NAMED.finditer(m.group(4)) for w in re.split(r"[^a-z0-9]+", next(g for g in x.groups() if g is not None).lower())} if m.group(4) else set()
+        names = {w for x in NAMED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", next(g for g in x.groups() if g is not None).lower())} if attributes else set()
         above = stack[-1]
         out = tag in NOT_ARTICLE or (tag == "header" and not any(e.tag in ("article", "main") for e in above.line()))
         here = _Element(tag, tag if tag in INLINE and tag != "a" else tag + "".join(sorted("." + n for n in names if n)), above, out, bool(names & NAMES))

@@ -94,7 +94,7 @@ def mix_plan(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS,
     primes = F.array(*map(F.lit, PRIMES)).cast("array<bigint>")
     turned = F.concat(F.slice(primes, (start + 1).cast("int"), len(PRIMES)), primes)
     n = F.greatest("n_blocks", F.lit(1))
-    plan = plan.withColumn("__n", n).withColumn("__by", F.element_at(F.filter(turned, lambda p: p % F.col("__n") != 0), 1))
+    plan = plan.withColumn("__n", n).withColumn("__by", F.try_element_at(F.filter(turned, lambda p: p % F.col("__n") != 0), F.lit(1)))
     plan = plan.withColumn("__by", F.coalesce("__by", F.lit(0)) % F.col("__n")).withColumn("__plus", F.conv(F.substring(digest, 5, 12), 16, 10).cast("long") % F.col("__n"))
     plan = plan.withColumn("__named", named).select("__named", "source_size", "target", "quotas", "__n", "__by", "__plus")
     before = Window.partitionBy("__named").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
