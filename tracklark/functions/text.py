@@ -33,8 +33,9 @@ def _nfc(path: pd.Series) -> pd.Series:
 
 
 def nfc_path(path: Column) -> Column:
-    """The path in Unicode normal form C; Spark has no function for it. ASCII paths are passed by."""
-    return F.when(path.rlike(r"^\p{ASCII}*$"), path).otherwise(_nfc(path))
+    """The path in Unicode normal form C; Spark has no function for it. ASCII paths are passed by, as nulls to Python."""
+    ascii_only = path.rlike(r"^\p{ASCII}*$")
+    return F.coalesce(F.when(ascii_only, path), _nfc(F.when(~ascii_only, path)))
 
 
 def sanitize_xml_text(text: Column) -> Column:

@@ -25,6 +25,23 @@ def explode_loops(tracks: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
     return rows.select(*kept, "pos", F.coalesce("c.start", F.lit(0.0)).alias("ts"), known(F.col("c.elements")).alias("elements"), F.col("c.loop_name").alias("name"), F.col("c.color").alias("proposed"), F.coalesce("c.length_beats", F.lit(cfg.default_beats)).alias("beats"))
 
 
+def explode_candidates(tracks: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
+    """Cues (the first of each track) and loops as one table with `kind`, so that the tracks are made once for both."""
+    kept = [c for c in tracks.columns if c not in ("measure_changes", "loop_segments")]
+
+    def one(kind: str, time: str, name: str, beats):
+        return lambda c, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("pos"), F.coalesce(c[time], F.lit(0.0)).alias("ts"), known(c["elements"]).alias("elements"),
+            c[name].alias("name"), c["color"].alias("proposed"), beats(c).alias("beats"),
+        )
+
+    cues = F.transform(F.slice("measure_changes", 1, cfg.max_cues), one("cue", "timestamp", "cue_name", lambda c: F.lit(None).cast("double")))
+    loops = F.transform("loop_segments", one("loop", "start", "loop_name", lambda c: F.coalesce(c["length_beats"], F.lit(cfg.default_beats))))
+    none = F.array().cast("array<struct<kind:string,pos:int,ts:double,elements:array<string>,name:string,proposed:string,beats:double>>")
+    both = F.concat(F.coalesce(cues, none), F.coalesce(loops, none))
+    return tracks.select(*kept, F.inline(both))
+
+
 def align(candidates: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
     """`t`: the candidate's time on the track's grid (columns ts, bpm, grid_pos)."""
     return candidates.withColumn("t", snap_to_downbeat(F.col("ts"), working_bpm(F.col("bpm"), cfg), F.col("grid_pos"), cfg))

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, CueConfig
 from ..functions.elements import cue_base_name, decode_color, known
 from ..functions.text import basename, capitalize, one_decimal
-from ..operators.candidates import align, explode_cues, explode_loops, new_points, number_cues, select_loops
+from ..operators.candidates import align, explode_candidates, explode_cues, explode_loops, new_points, number_cues, select_loops
 from ..operators.pois import collected_points, replace_pois
 from ..operators.tracks import KEY, latest_analysis, with_attributes, with_key
 
 
 def make_points(tracks: DataFrame, keys: list[str], cfg: CueConfig = DEFAULT) -> DataFrame:
     """New points of tracks (keys, bpm, song_length, grid_pos, measure_changes, loop_segments), in time order."""
-    cues = number_cues(align(explode_cues(tracks, cfg), cfg), keys)
-    loops = select_loops(align(explode_loops(tracks, cfg), cfg), keys, cfg)
+    found = align(explode_candidates(tracks, cfg), cfg)
+    cues = number_cues(found.where("kind = 'cue'"), keys)
+    loops = select_loops(found.where("kind = 'loop'"), keys, cfg)
     return new_points(cues, loops, keys)
 
 
