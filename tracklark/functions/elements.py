@@ -21,7 +21,9 @@ def known(elements: Column) -> Column:
 
 
 def _has(elements: Column, *names: str) -> Column:
-    return F.exists(known(elements), lambda e: F.coalesce(e.isin(*names), F.lit(False)))
+    el = known(elements)
+    found = F.array_contains(el, names[0]) if len(names) == 1 else F.arrays_overlap(el, F.array(*map(F.lit, names)))
+    return F.coalesce(found, F.lit(False))
 
 
 def has_elements(elements: Column) -> Column:

@@ -26,7 +26,10 @@ def explode_loops(tracks: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
 
 
 def explode_candidates(tracks: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
-    """Cues (the first of each track) and loops as one table with `kind`, so that the tracks are made once for both."""
+    """Cues (the first of each track) and loops as one table with `kind`, so that the tracks are made once for both.
+
+    Each track also has one row of kind `track`, candidates or not.
+    """
     kept = [c for c in tracks.columns if c not in ("measure_changes", "loop_segments")]
 
     def one(kind: str, time: str, name: str, beats):
@@ -38,7 +41,8 @@ def explode_candidates(tracks: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame
     cues = F.transform(F.slice("measure_changes", 1, cfg.max_cues), one("cue", "timestamp", "cue_name", lambda c: F.lit(None).cast("double")))
     loops = F.transform("loop_segments", one("loop", "start", "loop_name", lambda c: F.coalesce(c["length_beats"], F.lit(cfg.default_beats))))
     none = F.array().cast("array<struct<kind:string,pos:int,ts:double,elements:array<string>,name:string,proposed:string,beats:double>>")
-    both = F.concat(F.coalesce(cues, none), F.coalesce(loops, none))
+    mark = F.transform(F.array(F.lit(0)), lambda i: F.struct(F.lit("track").alias("kind"), i.alias("pos"), *(F.lit(None).cast(t).alias(n) for n, t in (("ts", "double"), ("elements", "array<string>"), ("name", "string"), ("proposed", "string"), ("beats", "double")))))
+    both = F.concat(mark, F.coalesce(cues, none), F.coalesce(loops, none))
     return tracks.select(*kept, F.inline(both))
 
 

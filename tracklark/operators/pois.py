@@ -39,11 +39,13 @@ def color_comment(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.groupBy(*keys).agg(sanitize_xml_text(colors).alias("comment"))
 
 
-def collected_points(points: DataFrame, keys: list[str], cfg: CueConfig = DEFAULT) -> DataFrame:
-    """(keys, new_pois, comment) from chronological points."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col("ord"), as_poi(cfg).alias("poi")))), lambda x: x["poi"])
+def collected_points(points: DataFrame, marks: DataFrame, keys: list[str], cfg: CueConfig = DEFAULT) -> DataFrame:
+    """(keys, new_pois, comment) for every track in `marks` (keys), from chronological points."""
+    made = points.select(*keys, F.struct("ord", as_poi(cfg).alias("poi")).alias("p"), "color")
+    rows = made.unionByName(marks.select(*keys), allowMissingColumns=True)
+    ordered = F.transform(F.array_sort(F.collect_list("p")), lambda x: x["poi"])
     colors = F.array_join(F.array_sort(F.collect_set("color")), " ")
-    return points.groupBy(*keys).agg(ordered.alias("new_pois"), sanitize_xml_text(colors).alias("comment"))
+    return rows.groupBy(*keys).agg(ordered.alias("new_pois"), sanitize_xml_text(colors).alias("comment"))
 
 
 def replace_pois(old: Column, new: Column) -> Column:

@@ -92,9 +92,12 @@ def assign_batches(inventory: DataFrame, order: list[str], size: int = DEFAULT.b
     """
     key = F.struct(*order)
     chosen = inventory.select(key.alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(ranges).collect()  # at most `ranges` keys
-    cuts = [F.struct(*(F.lit(v).alias(c) for v, c in zip(r["k"], order, strict=True))) for r in chosen]
-    reached = F.size(F.filter(F.array(*cuts), lambda c: c <= F.col("__key"))) if cuts else F.lit(0)
-    rows = inventory.withColumn("__key", key).withColumn("__range", reached)
+    cuts = [F.struct(*(F.lit(v).alias(c) for v, c in zip(k, order, strict=True))) for k in sorted((r["k"] for r in chosen), key=lambda k: [(v is not None, v) for v in k])]
+    step = 16
+    passed = lambda some: F.size(F.filter(some, lambda c: c <= F.col("__key")))
+    coarse = passed(F.array(*cuts[step - 1 :: step])) if len(cuts) >= step else F.lit(0)
+    fine = passed(F.slice(F.array(*cuts), F.col("__coarse") * step + 1, step)) if cuts else F.lit(0)
+    rows = inventory.withColumn("__key", key).withColumn("__coarse", coarse).withColumn("__range", F.col("__coarse") * step + fine).drop("__coarse")
     counts = rows.groupBy("__range").agg(F.count("*").alias("__n"))
     counts = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     within = F.row_number().over(Window.partitionBy("__range").orderBy("__key"))

@@ -15,14 +15,17 @@ from ..operators.pois import collected_points, replace_pois
 from ..operators.tracks import KEY, latest_analysis, with_attributes, with_key
 
 
-def make_points(tracks: DataFrame, keys: list[str], cfg: CueConfig = DEFAULT) -> DataFrame:
-    """New points of tracks (keys, bpm, song_length, grid_pos, measure_changes, loop_segments), in time order."""
-    found = align(explode_candidates(tracks, cfg), cfg)
+def _points(found: DataFrame, keys: list[str], cfg: CueConfig) -> DataFrame:
     cues = number_cues(found.where("kind = 'cue'"), keys)
     loops = select_loops(found.where("kind = 'loop'"), keys, cfg)
     return new_points(cues, loops, keys)
 
 
+def make_points(tracks: DataFrame, keys: list[str], cfg: CueConfig = DEFAULT) -> DataFrame:
+    """New points of tracks (keys, bpm, song_length, grid_pos, measure_changes, loop_segments), in time order."""
+    return _points(align(explode_candidates(tracks, cfg), cfg), keys, cfg)
+
+
 def annotate_library(library: DataFrame, analyses: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
     """`library` with the points and comment of every track that has an analysis; other songs pass unchanged.
 
@@ -33,15 +36,17 @@ def annotate_library(library: DataFrame, analyses: DataFrame, cfg: CueConfig = D
     """
     latest = latest_analysis(with_key(analyses.select("library_id", "path", "batch_id", "idx", "measure_changes", "loop_segments")))
     tracks = with_attributes(latest, library, cfg)
-    new = collected_points(make_points(tracks, KEY, cfg), KEY, cfg)
-    new = tracks.select(*KEY).join(new, KEY, "left").withColumn("__edited", F.lit(True))
-    # old points stay nested in their song's row
-    in_order = Window.partitionBy(*KEY).orderBy("song_ord")
-    songs = library.where("nfc_path <> ''").withColumn("__first", F.row_number().over(in_order) == 1).join(new, KEY, "left")
+    found = align(explode_candidates(tracks, cfg), cfg)
+    new = collected_points(_points(found, KEY, cfg), found.where("kind = 'track'"), KEY, cfg)
+    new = new.withColumnRenamed("nfc_path", "__nfc").withColumn("__edited", F.lit(True))
+    # old points stay nested in their song's row; songs without a path get keys of their own
+    own = F.concat(F.lit("\x00"), F.col("song_ord").cast("string"))
+    songs = library.withColumn("__nfc", F.when(F.col("nfc_path") != "", F.col("nfc_path")).otherwise(own))
+    in_order = Window.partitionBy("library_id", "__nfc").orderBy("song_ord")
+    songs = songs.withColumn("__first", F.row_number().over(in_order) == 1).join(new, ["library_id", "__nfc"], "left")
     edited = F.coalesce("__edited", F.lit(False)) & F.col("__first")
     comments = F.concat(F.array(F.coalesce("comment", F.lit(""))), F.slice("comments", 2, 1_000_000))
-    done = songs.withColumn("pois", F.when(edited, replace_pois(F.col("pois"), F.col("new_pois"))).otherwise(F.col("pois"))).withColumn("comments", F.when(edited, comments).otherwise(F.col("comments")))
-    return done.select(*library.columns).unionByName(library.where("coalesce(nfc_path, '') = ''"))
+    return songs.withColumn("pois", F.when(edited, replace_pois(F.col("pois"), F.col("new_pois"))).otherwise(F.col("pois"))).withColumn("comments", F.when(edited, comments).otherwise(F.col("comments"))).select(*library.columns)
 
 
 def annotated_points(library: DataFrame, analyses: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
