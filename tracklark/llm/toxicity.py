@@ -24,9 +24,9 @@ from .text import U64, WordHashes, mix
 
 BITS = 18
 TRAIN_ROWS = 8_000
-PASSES = 6
+PASSES = 8
 STEM = 5
-PAIR = 0.1
+PAIR = 0.05
 POSITIVE = 2.0
 _MARKS = b".,;:!?\"'()[]{}*_"
 
@@ -58,7 +58,7 @@ class Features:
 class Ftrl:
     """FTRL-proximal with a rate for each slot; slot 2**BITS is the bias, which has no L1 term."""
 
-    def __init__(self, alpha: float = 3.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.05):
+    def __init__(self, alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.05):
         self.alpha, self.beta, self.l2 = alpha, beta, l2
         self.l1 = np.full(2**BITS + 1, l1)
         self.l1[-1] = 0
