@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import fold, id_text, table
+from .storage import fold, table
 from .text import U64, WordHashes, mix
 
 BITS = 18
