@@ -38,6 +38,21 @@ def test_page_without_article_tag():
     assert blocks[0] == "Title" and blocks[-1] == "Short." and len(blocks) == 8
 
 
+LINE = "A sentence of the text, with marks; and more of it, here."
+LONG = " ".join([LINE] * 5)
+SPLIT = [
+    (f"<h1>Title</h1><div class=intro>{LINE}</div><div class=body>{LONG}</div>", ["Title", LINE, LONG]),
+    (f"<body><nav>Menu</nav><h1>Title</h1><div class=by>By A. B.</div><div class=body><p>{LINE}<ul><li>one<li>two</ul><p>{LONG}<table><tr><td>x<td>y</table></div><div>(c) us</div>", ["Title", "By A. B.", LINE, "one", "two", LONG, "x", "y"]),
+    (f"<div><p>{LINE}</p><blockquote>{LONG}</blockquote><p>{LINE}</p></div>", [LINE, LONG, LINE]),
+    (f"<ul><li>{LINE}<li>{LONG}<li>short</ul>", [LINE, LONG, "short"]),
+]
+
+
+@pytest.mark.parametrize(("page", "blocks"), SPLIT)
+def test_split_article_without_tag(page, blocks):
+    assert main_blocks(page) == blocks
+
+
 def test_extraction_table(spark):
     rows = [(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (None, None, None, None), (2, "v", "<article>" + "<p>x, y.</p>" * 5000, "t")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

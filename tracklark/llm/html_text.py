@@ -3,9 +3,10 @@
 Every piece of text has a path of tags from the root (inline mark-up left out). Text lengths and punctuation marks are
 added up by path and divided by the number of pieces on it; the two ratios, smoothed along the page and fused, make
 each path's score, and the paths whose score is over a share of the scores' deviation hold content. The content nodes
-select the article: the `article` (else `main`) element with most of their text, or else the deepest element that holds
-most of it. All of that element's text is taken, short blocks too, except parts that are no article text by their tag
-or by what their class, id or role calls them.
+select the article: the `article` (else `main`) element with most of their text, of which all is taken, short blocks too.
+Without such an element all content nodes are the article, wherever they stand, with all that lies between them in page
+order, the title before them and short blocks beside them in the same container (outside of them, no blocks of links).
+Parts that are no article text by their tag or by what their class, id or role calls them are left out.
 
 A page is read whole, in one pass over its tokens, by whichever task has its row; nothing is shuffled.
 """
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from .storage import table
 
 SHARE = 0.3  # of the scores' deviation, from which a path holds content
-MOST = 0.75  # of the content, that an article without a tag of its own must hold
 
 # Fixed values of the HTML standard: elements without an end, without text of the page, inside lines, closing a `p`.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -35,6 +35,9 @@ CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("d
 NOT_ARTICLE = frozenset("head nav footer aside form button select dialog menu fieldset search".split())
 #: What the class, id or role of a part that is not the article's text may be called.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar sidenav aside nav navbar navigation menu breadcrumb breadcrumbs header masthead footer contentinfo complementary comment comments commentlist respond disqus reply replies share sharing social related recommended newsletter subscribe subscription signup login search form widget toolbar pagination pager skip".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements within a text, which the container around them holds.
+PARTS = INLINE | HEADINGS | frozenset("p ul ol li dl dt dd table caption colgroup thead tbody tfoot tr td th blockquote pre figure figcaption address details summary header".split())
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 MARK = re.compile(r"[.,;:!?…。，、！？؛،]")
@@ -54,6 +57,9 @@ class _Element:
             at = at.parent
         return up
 
+    def container(self) -> _Element:
+        return next(e for e in self.line() if e.tag not in PARTS)
+
 
 def _read(page: str) -> list[tuple[_Element, int, str]]:
     """Pieces of text: their element, the number of their block and the text, in page order."""
@@ -103,8 +109,8 @@ def _read(page: str) -> list[tuple[_Element, int, str]]:
     return pieces
 
 
-def _excluded(e: _Element) -> bool:
-    return any(x.out or (x.named and not x.holds) for x in e.line())
+def _excluded(e: _Element, headers: frozenset[_Element] = frozenset()) -> bool:
+    return any(x not in headers and (x.out or (x.named and not x.holds)) for x in e.line())
 
 
 def _selected(pieces: list[tuple[_Element, int, str]]) -> list[bool]:
@@ -123,36 +129,53 @@ def _selected(pieces: list[tuple[_Element, int, str]]) -> list[bool]:
     return list(score[path] >= SHARE * score[path].std())
 
 
+def _untagged(pieces: list[tuple[_Element, int, str]], inside: list[int], content: list[int]) -> list[int]:
+    """The pieces of an article without a tag of its own, from those with content."""
+    containers = {pieces[k][0].container() for k in content}
+    headers = {e for p in pieces for e in p[0].line() if e.tag == "header" and e.parent in containers and e.parent.tag not in ("", "html", "body")}
+    if headers:
+        kept = set(inside)
+        inside = [k for k, p in enumerate(pieces) if k in kept or not _excluded(p[0], headers=frozenset(headers))]
+    text: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for k in inside:
+        e, block, piece = pieces[k]
+        text[block][any(x.tag == "a" for x in e.line())] += len(piece.strip())
+    heading = {k for k in inside if any(e.tag in HEADINGS for e in pieces[k][0].line())}
+    first, last = content[0], content[-1]
+    before = [k for k in inside if k < first and pieces[k][2].strip()]
+    top = {k for k in before if any(e.tag == "h1" for e in pieces[k][0].line())}
+    start = max(top, default=first)
+    while not top and before and before[-1] in heading:
+        start = before.pop()
+    beside = lambda k: (k in heading or text[pieces[k][1]][0] > 0) and (start <= k < first or pieces[k][0].container() in containers)
+    return [k for k in inside if first <= k <= last or k in top or beside(k)]
+
+
 def main_blocks(page: str | None) -> list[str]:
     """The article's blocks in page order, white space made single."""
     pieces = [p for p in _read(page or "") if p[2]]
     if not pieces:
         return []
-    inside = [k for k, p in enumerate(pieces) if not _excluded(p[0])]
     chosen = _selected(pieces)
+    full = [bool(p[2].strip()) for p in pieces]
+    inside = [k for k, p in enumerate(pieces) if not _excluded(p[0])]
     held: dict[_Element, int] = defaultdict(int)
-    total = 0
-    content = [k for k in inside if chosen[k] and pieces[k][2].strip()] or [k for k in inside if pieces[k][2].strip()]
+    content = [k for k in inside if chosen[k] and full[k]] or [k for k in inside if full[k]]
     for k in content:
-        n = len(pieces[k][2].strip())
-        total += n
         for e in pieces[k][0].line():
-            held[e] += n
-    if not total:
+            held[e] += len(pieces[k][2].strip())
+    if not content:
         return []
     articles = [e for e in held if e.tag == "article"] or [e for e in held if e.tag == "main"]
     if articles:
         # of articles within each other the outer has at least as much; reader comments in an article are named so
         home = max(articles, key=lambda e: (held[e], -len(e.line())))
-        taken = inside
+        taken = [k for k in inside if home in pieces[k][0].line()]
     else:
-        home = max((e for e in held if held[e] >= MOST * total and e.tag not in INLINE and e.tag != "p"), key=lambda e: len(e.line()))
-        heads = {"h1", "h2", "h3", "h4", "h5", "h6"}
-        taken = [k for k in inside if chosen[k] or any(e.tag in heads for e in pieces[k][0].line())]
+        taken = _untagged(pieces, inside, content)
     blocks: dict[int, list[str]] = defaultdict(list)
     for k in taken:
-        if home in pieces[k][0].line():
-            blocks[pieces[k][1]].append(pieces[k][2])
+        blocks[pieces[k][1]].append(pieces[k][2])
     texts = (" ".join("".join(blocks[b]).split()) for b in sorted(blocks))
     return [t for t in texts if t]
 
