@@ -53,6 +53,21 @@ def test_split_article_without_tag(page, blocks):
     assert main_blocks(page) == blocks
 
 
+NAMED = [
+    (f"<div class='page with-sidebar'><div id=content class=no-sidebar><h2>Title</h2><p>{LONG}</div></div>", ["Title", LONG]),
+    (f"<article><div class='post-header'><h1>Title</h1></div><h2 class='section-header'>Part</h2><p>{LONG} <span class=share>Share</span> <a class=related>of it</a> all.<p class=notice>{LINE}</article>", ["Title", "Part", f"{LONG} Share of it all.", LINE]),
+    (f"<div class=post><div class=post-header><h1>Title</h1></div><p>{LONG}</div>", ["Title", LONG]),
+    (f"<div class=widget><p>{LONG}</p></div>", [LONG]),
+    (f"<div class=comments><p>{LONG}</p></div>", [LONG]),
+    (f"<article><p>{LINE}</p><div class='comment-list'><p>{LONG}</p></div><div class='related-posts'>{LONG}</div></article>", [LINE]),
+]
+
+
+@pytest.mark.parametrize(("page", "blocks"), NAMED)
+def test_names_of_parts(page, blocks):
+    assert main_blocks(page) == blocks
+
+
 def test_extraction_table(spark):
     rows = [(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (None, None, None, None), (2, "v", "<article>" + "<p>x, y.</p>" * 5000, "t")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

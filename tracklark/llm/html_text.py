@@ -6,7 +6,9 @@ each path's score, and the paths whose score is over a share of the scores' devi
 select the article: the `article` (else `main`) element with most of their text, of which all is taken, short blocks too.
 Without such an element all content nodes are the article, wherever they stand, with all that lies between them in page
 order, the title before them and short blocks beside them in the same container (outside of them, no blocks of links).
-Parts that are no article text by their tag or by what their class, id or role calls them are left out.
+Parts that are no article text by their tag or by what a whole class name, id or role calls them are left out. Names of
+inline elements and headings don't count, nor do those of paragraphs with content, of layout parts that hold most of the
+content, and of headers inside the article; if nothing else were left, no name counts.
 
 A page is read whole, in one pass over its tokens, by whichever task has its row; nothing is shuffled.
 """
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .storage import table
 
 SHARE = 0.3  # of the scores' deviation, from which a path holds content
+MOST = 0.5  # of the content, from which a part named as layout is the article's all the same
 
 # Fixed values of the HTML standard: elements without an end, without text of the page, inside lines, closing a `p`.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -35,6 +38,12 @@ CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("d
 NOT_ARTICLE = frozenset("head nav footer aside form button select dialog menu fieldset search".split())
 #: What the class, id or role of a part that is not the article's text may be called.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar sidenav aside nav navbar navigation menu breadcrumb breadcrumbs header masthead footer contentinfo complementary comment comments commentlist respond disqus reply replies share sharing social related recommended newsletter subscribe subscription signup login search form widget toolbar pagination pager skip".split())
+#: Of these, what stays out however much it holds: it is not the article's even where it is longer.
+FOREIGN = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr nav navbar navigation menu breadcrumb breadcrumbs footer contentinfo comment comments commentlist respond disqus reply replies related recommended newsletter subscribe subscription".split())
+#: Words that may stand beside NAMES in a name that calls the whole part so; others make it a different name.
+BESIDE = frozenset("area article articles bar block body bottom box button buttons container content desktop entry global icons inline inner item items left link links list main mobile outer page post posts primary right row secondary section site story title top wrap wrapper".split())
+#: Those that make a header one of the article.
+OWN = frozenset("article content entry page post section story title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements within a text, which the container around them holds.
 PARTS = INLINE | HEADINGS | frozenset("p ul ol li dl dt dd table caption colgroup thead tbody tfoot tr td th blockquote pre figure figcaption address details summary header".split())
@@ -46,7 +55,7 @@ MARK = re.compile(r"[.,;:!?…。，、！？؛،]")
 class _Element:
     __slots__ = ("tag", "label", "parent", "out", "named", "holds")
 
-    def __init__(self, tag: str, label: str, parent: _Element | None, out: bool, named: bool):
+    def __init__(self, tag: str, label: str, parent: _Element | None, out: bool, named: frozenset[str]):
         self.tag, self.label, self.parent, self.out, self.named, self.holds = tag, label, parent, out, named, False
 
     def line(self) -> list[_Element]:
@@ -61,9 +70,19 @@ class _Element:
         return next(e for e in self.line() if e.tag not in PARTS)
 
 
+def _called(names: set[str]) -> set[str]:
+    """Which of NAMES the whole names call a part."""
+    found = set()
+    for name in names:
+        of = set(re.split(r"[^a-z0-9]+", name)) - {""}
+        if of <= NAMES | BESIDE:
+            found |= of & NAMES - ({"header"} if of & OWN else set())
+    return found
+
+
 def _read(page: str) -> list[tuple[_Element, int, str]]:
     """Pieces of text: their element, the number of their block and the text, in page order."""
-    root = _Element("", "", None, False, False)
+    root = _Element("", "", None, False, frozenset())
     stack, pieces, block = [root], [], 0
     for m in TOKEN.finditer(page):
         token = m.group()
@@ -98,10 +117,14 @@ def _read(page: str) -> list[tuple[_Element, int, str]]:
                         break
                 elif stack[k].tag not in INLINE and (stack[k].tag in within or tag not in CLOSES):
                     break
-        names = {w for x in NAMED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", next(g for g in x.groups() if g is not None).lower())} if attributes else set()
+        whole = {w for x in NAMED.finditer(attributes) for w in next(g for g in x.groups() if g is not None).lower().split()} if attributes else set()
+        names = {w for name in whole for w in re.split(r"[^a-z0-9]+", name)}
         above = stack[-1]
-        out = tag in NOT_ARTICLE or (tag == "header" and not any(e.tag in ("article", "main") for e in above.line()))
-        here = _Element(tag, tag if tag in INLINE and tag != "a" else tag + "".join(sorted("." + n for n in names if n)), above, out, bool(names & NAMES))
+        inside = tag == "header" or "header" in names
+        inside = inside and any(e.tag in ("article", "main") for e in above.line())
+        out = tag in NOT_ARTICLE or (tag == "header" and not inside)
+        called = _called(whole) if whole and tag not in INLINE and tag not in HEADINGS else set()
+        here = _Element(tag, tag if tag in INLINE and tag != "a" else tag + "".join(sorted("." + n for n in names if n)), above, out, frozenset(called - {"header"} if inside else called))
         if tag in ("article", "main", "body", "html"):
             for e in here.line():
                 e.holds = True
@@ -109,8 +132,8 @@ def _read(page: str) -> list[tuple[_Element, int, str]]:
     return pieces
 
 
-def _excluded(e: _Element, headers: frozenset[_Element] = frozenset()) -> bool:
-    return any(x not in headers and (x.out or (x.named and not x.holds)) for x in e.line())
+def _excluded(e: _Element, by_name: bool = True, headers: frozenset[_Element] = frozenset()) -> bool:
+    return any(x not in headers and (x.out or (by_name and x.named and not x.holds)) for x in e.line())
 
 
 def _selected(pieces: list[tuple[_Element, int, str]]) -> list[bool]:
@@ -129,10 +152,27 @@ def _selected(pieces: list[tuple[_Element, int, str]]) -> list[bool]:
     return list(score[path] >= SHARE * score[path].std())
 
 
+def _exempt(pieces: list[tuple[_Element, int, str]], content: list[int]) -> None:
+    """Marks the named parts whose content says that they are the article's."""
+    held: dict[_Element, int] = defaultdict(int)
+    total = 0
+    for k in content:
+        line = pieces[k][0].line()
+        if any(e.out for e in line):
+            continue
+        n = len(pieces[k][2].strip())
+        total += n
+        for e in line:
+            held[e] += n
+    for e, n in held.items():
+        if e.named and (e.tag == "p" or n > MOST * total) and (e.holds or not e.named & FOREIGN):
+            e.holds = True
+
+
 def _untagged(pieces: list[tuple[_Element, int, str]], inside: list[int], content: list[int]) -> list[int]:
     """The pieces of an article without a tag of its own, from those with content."""
     containers = {pieces[k][0].container() for k in content}
-    headers = {e for p in pieces for e in p[0].line() if e.tag == "header" and e.parent in containers and e.parent.tag not in ("", "html", "body")}
+    headers = {e for p in pieces for e in p[0].line() if (e.tag == "header" or e.named == {"header"}) and e.parent in containers and e.parent.tag not in ("", "html", "body")}
     if headers:
         kept = set(inside)
         inside = [k for k, p in enumerate(pieces) if k in kept or not _excluded(p[0], headers=frozenset(headers))]
@@ -158,7 +198,10 @@ def main_blocks(page: str | None) -> list[str]:
         return []
     chosen = _selected(pieces)
     full = [bool(p[2].strip()) for p in pieces]
+    _exempt(pieces, [k for k in range(len(pieces)) if chosen[k] and full[k]])
     inside = [k for k, p in enumerate(pieces) if not _excluded(p[0])]
+    if not any(full[k] for k in inside):
+        inside = [k for k, p in enumerate(pieces) if not _excluded(p[0], by_name=False)]
     held: dict[_Element, int] = defaultdict(int)
     content = [k for k in inside if chosen[k] and full[k]] or [k for k in inside if full[k]]
     for k in content:
