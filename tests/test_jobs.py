@@ -98,6 +98,25 @@ def test_round_trip_and_publish(spark, library, tmp_path):
         documents.snapshot_library(library, str(tmp_path / "snap"), "20250101_000000")
 
 
+def test_export_in_documents(spark, library, tmp_path):
+    """A library is many documents, read by song; only damaged ones are parsed whole."""
+    cfg = CueConfig(songs_per_document=2)
+    two = library.withColumn("library_id", F.lit("a [b] %41")).union(library.withColumn("library_id", F.lit("c")))
+    path = str(tmp_path / "out")
+    documents.write_library(two, path, cfg)
+    files = sorted((tmp_path / "out").rglob("part-*"))
+    assert len(files) == 6
+    rows = lambda t: sorted((r.asDict(True) for r in t.select(two.columns).collect()), key=lambda r: (r["library_id"], r["song_ord"]))
+    assert documents._damaged_files(spark, path, cfg) == []
+    assert rows(documents.read_export(spark, path, cfg)) == rows(two)
+    for f, (old, new) in zip(files, [(b"</Song>", b"</Song></Song>"), (b"<Song ", b"<Song \x01"), (b"</VirtualDJ_Database>", b"</VirtualDJ_Database>\n<Song FilePath='x'></Song>"), (b"</VirtualDJ_Database>", b"</VirtualDJ_Database></VirtualDJ_Database>rest")]):
+        f.write_bytes(f.read_bytes().replace(old, new))
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    assert len(documents._damaged_files(spark, path, cfg)) == 4
+    assert rows(documents.read_export(spark, path, cfg)) == rows(two)
+    assert documents.verify_export(two, spark, path, cfg)
+
+
 def test_clean_reader(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<VirtualDJ_Database><Song FilePath="/x.mp3"><Scan Bpm="0.50"/><Comment>c</Comment></Song></VirtualDJ_Database>')
     row = documents.read_library(spark, str(tmp_path / "a.xml")).first()

@@ -24,6 +24,8 @@ class CueConfig:
     default_beats: float = 16.0
     default_color: str = "green"
     batch_size: int = 5
+    #: Range of song_ord in one exported document: about 20 MB of text, which fits a row if it has to be repaired.
+    songs_per_document: int = 50_000
     root_tag: str = "VirtualDJ_Database"
     #: "batch": rank, take three, then filter; "single": distinct names first, five levels.
     policy: str = "batch"

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..config import AUDIO_EXTENSIONS
 
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 LONG_DECIMAL = r"\d+\.\d{10,}"
 
 
@@ -84,7 +85,7 @@ def repair_library_text(text: Column, root_tag: str) -> Column:
     """Damaged library text made parsable: control characters dropped, closing tags that follow themselves collapsed
     (each pair once), and everything after the first end of the root cut off."""
     close = f"</{root_tag}>"
-    t = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    t = F.regexp_replace(text, CONTROL, "")
     t = F.regexp_replace(t, r"(</[^>]+>)\s*\1+", "$1")
     t = F.regexp_replace(t, rf"{close}\s*{close}", close)
     return F.when(F.instr(t, close) > 0, F.concat(F.substring_index(t, close, 1), F.lit(close))).otherwise(t)
