@@ -75,6 +75,16 @@ def test_one_document_of_each_group_stays(spark, docs):
     assert got.count(None) == 1
 
 
+@pytest.mark.parametrize("ids", [(None, None, None), (7, 7, 7), (None, 7, 7)])
+def test_one_of_near_copies_under_null_or_shared_ids(spark, ids):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(i, f"{text} end{k}", None) for k, i in enumerate(ids)] + [(9, "another text of some words", None)]
+    got = one_of_each_group(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == 2 and [r.doc_id for r in got if r.doc_id != 9] == [max(ids, key=lambda i: i is not None)]
+    told = near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sum(r.kept for r in told) == 2
+
+
 def test_empty_tables(spark, docs):
     assert near_duplicates(docs.limit(0)).count() == 0
     assert one_of_each_group(docs.limit(0)).count() == 0

@@ -105,8 +105,11 @@ def count_links(buckets: DataFrame, nodes: DataFrame, payloads: DataFrame, verif
 
 
 def classified(found: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:
-    """`found` (`node`, `class_id`, `members`) with `n_links`, other rows linked with one of the class, and `component_id`."""
+    """`found` (`node`, `class_id`, `members`) with `n_links`, other rows linked with one of the class, and `component_id`.
+
+    `first` is true of one class of each component: that of the least class_id (null last), then of the least node.
+    """
     rooted = found.select("node", "class_id", "members").join(links, "node", "left").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialize(rooted)
-    least = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    return rooted.join(least, "root").select("node", "class_id", "members", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("class_id").isNull(), "class_id", F.col("node").alias("of"))).alias("least"))
+    return rooted.join(least, "root").select("node", "class_id", "members", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("least.class_id").alias("component_id"), (F.col("node") == F.col("least.of")).alias("first"))

@@ -87,10 +87,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N) -> DataFrame:
-    """A row for each different text with words: `node`, `class_id` (least doc_id), `members`, `n_links`, `component_id`.
+    """A row for each different text with words: `node`, `class_id` (least doc_id), `members`, `n_links`, `component_id`, `first`.
 
     `n_links` counts documents other than one of the class that link with it, copies among them; `component_id` is the
-    least doc_id that links reach. Null doc_ids are passed over where there are others.
+    least doc_id that links reach. Null doc_ids are passed over where there are others. `first` is true of one class of
+    each component, that of the least doc_id, also where several texts have it or all ids are null.
     """
     bands, rows = band_plan(threshold, recall)
 
@@ -121,20 +122,21 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N) -> DataFrame:
-    """A row per document: doc_id, class_id, n_links, component_id, kept (whether it has the least doc_id of its component).
+    """A row per document: doc_id, class_id, n_links, component_id, kept (whether it has the least doc_id of its component, in
+    one text if several texts have that id or all ids are null).
 
     Documents without words (null, empty, white space) link with nothing and are kept. Rows that repeat a doc_id and a
     text are links of each other; the column `kept` then says the same of each.
     """
     keyed = _keyed(docs.select("doc_id", "text")).select("doc_id", "node")
-    told = keyed.join(classes(docs, threshold, recall, n), "node").select("doc_id", "class_id", "n_links", "component_id")
-    bare = docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
-    return told.union(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    told = keyed.join(classes(docs, threshold, recall, n), "node").select("doc_id", "class_id", "n_links", "component_id", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+    bare = docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return told.union(bare)
 
 
 def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N) -> DataFrame:
     """`docs`, with its columns, less all documents but one of each component; documents without words stay."""
-    kept = classes(docs, threshold, recall, n).where(F.col("class_id").eqNullSafe(F.col("component_id"))).select("node", F.col("class_id").alias("__class"))
+    kept = classes(docs, threshold, recall, n).where("first").select("node", F.col("class_id").alias("__class"))
     rows = _keyed(docs).join(kept, "node").where(F.col("doc_id").eqNullSafe(F.col("__class"))).dropDuplicates(["node"])
     bare = docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
     return rows.select(*docs.columns).union(bare)
