@@ -107,6 +107,14 @@ def test_mixing_takes_what_is_due(docs):
         assert all(p.words > 0 and 0 <= p.shard < 3 for p in picks)
 
 
+def test_small_sources_get_their_targets(spark):
+    sizes = {"a": 30, "b": 60, "c": 130, "d": 3000}
+    rows = [(i, s, "word " * 10) for s, n in sizes.items() for i in range(n // 10)]
+    plan = mix_plan(spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("size", n_words("text")))
+    for r in plan.groupBy("source").agg(F.sum(words_taken()).alias("taken"), F.first("target").alias("target")).collect():
+        assert r.taken == pytest.approx(r.target, rel=0.125), r.source
+
+
 def test_mixed_texts(spark, docs):
     sized = docs.withColumn("size", n_words("text")).withColumn("__tie", F.crc32(F.col("text").cast("binary")))
     taken = mix_plan(sized, block_words=4, tie="__tie").select(F.sum(words_taken())).first()[0]

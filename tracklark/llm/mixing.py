@@ -3,7 +3,8 @@
 1. Targets: a budget of `ratio` times all words is shared by weight; no source gets more than `cap` times its own
    size, and what it can't take is shared again by weight. The fixed point is min(cap * size, level * weight), so the
    level is found from running sums over the sources in order of cap * size / weight.
-2. Blocks: a source's documents, in seeded order, form one stream of words, cut into equal blocks of `block_words`.
+2. Blocks: a source's documents, in seeded order, form one stream of words, cut into equal blocks of
+   `block_words`, or of an eighth of the smallest source that has words if that is less (1 at least).
 3. Quotas: blocks are given to sources by the highest quotients target / 1, target / 3, target / 5, ... Shard m of the
    mix gets what the first H(m + 1) blocks give beyond the first H(m): whole numbers that never go negative, because
    the method is house-monotone. Quotas at a house H come from rounding target / divisor and then giving (taking back)
@@ -54,7 +55,7 @@ def source_targets(sizes: DataFrame, ratio: float = 1.5, cap: float = 2.0, weigh
     return ranked.withColumn("target", target).drop("__cap", "__fill", "__level")
 
 
-def apportion(targets: DataFrame, block_words: int = BLOCK_WORDS, n_shards: int = SHARDS) -> DataFrame:
+def apportion(targets: DataFrame, block_words: int | Column = BLOCK_WORDS, n_shards: int = SHARDS) -> DataFrame:
     """`targets` with `n_blocks` and `quotas`: by shard, how many blocks the source has been given up to its end."""
     everything = Window.partitionBy()
     t = targets.withColumn("n_blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
@@ -78,6 +79,12 @@ def apportion(targets: DataFrame, block_words: int = BLOCK_WORDS, n_shards: int
     return by_shard.groupBy(*targets.columns, "n_blocks").agg(quotas.alias("quotas"))
 
 
+def block_size(most: int = BLOCK_WORDS) -> Column:
+    """Words in a block, one size for all sources of a table of targets, so that the smallest has eight blocks."""
+    least = F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(Window.partitionBy())
+    return F.least(F.lit(most), F.greatest(F.lit(1), F.floor(least / 8))).cast("long")
+
+
 def mix_plan(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, n_shards: int = SHARDS, key: str = "doc_id", tie: str | None = None) -> DataFrame:
     """`docs` (with `source` and `size` in words) with `source_size`, `target`, `quotas` and `picks`.
 
@@ -88,7 +95,8 @@ def mix_plan(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS,
     named = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     rows = docs.withColumn("__named", named).withColumn("__hash", F.md5(F.concat(F.lit(f"{seed}:"), id_text(key)).cast("binary"))).withColumn("__range", F.substring("__hash", 1, 3))
     ranges = rows.groupBy("__named", "source", "__range").agg(F.sum("size").alias("__size"))
-    plan = apportion(source_targets(ranges.groupBy("source").agg(F.sum("__size").alias("source_size"))), block_words, n_shards)
+    targets = source_targets(ranges.groupBy("source").agg(F.sum("__size").alias("source_size")))
+    plan = apportion(targets.withColumn("__block", block_size(block_words)), F.col("__block"), n_shards)
     digest = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce("source", F.lit(""))).cast("binary"))
     start = F.conv(F.substring(digest, 1, 4), 16, 10).cast("long") % len(PRIMES)
     primes = F.array(*map(F.lit, PRIMES)).cast("array<bigint>")
@@ -96,14 +104,14 @@ def mix_plan(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS,
     n = F.greatest("n_blocks", F.lit(1))
     plan = plan.withColumn("__n", n).withColumn("__by", F.try_element_at(F.filter(turned, lambda p: p % F.col("__n") != 0), F.lit(1)))
     plan = plan.withColumn("__by", F.coalesce("__by", F.lit(0)) % F.col("__n")).withColumn("__plus", F.conv(F.substring(digest, 5, 12), 16, 10).cast("long") % F.col("__n"))
-    plan = plan.withColumn("__named", named).select("__named", "source_size", "target", "quotas", "__n", "__by", "__plus")
+    plan = plan.withColumn("__named", named).select("__named", "source_size", "target", "quotas", "__block", "__n", "__by", "__plus")
     before = Window.partitionBy("__named").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("__named", "__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before")).join(plan, "__named")
     within = Window.partitionBy("__named", "__range").orderBy("__hash", "size", *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__at", F.coalesce(F.sum("size").over(within), F.lit(0))).join(ranges, ["__named", "__range"]).withColumn("__at", F.col("__at") + F.col("__before"))
 
-    end, t = F.col("__at") + F.col("size"), block_words
-    blocks = F.sequence(F.expr(f"__at div {t}"), F.expr(f"(__at + size - 1) div {t}"))
+    end, t = F.col("__at") + F.col("size"), F.col("__block")
+    blocks = F.sequence(F.expr("__at div __block"), F.expr("(__at + size - 1) div __block"))
     blocks = F.when(F.col("size") > 0, blocks).otherwise(F.array().cast("array<bigint>"))
     last = F.element_at("quotas", -1)
 
@@ -115,7 +123,7 @@ def mix_plan(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS,
 
         return F.filter(F.transform(blocks, made), lambda x: x["shard"].isNotNull())
 
-    return rows.withColumn("picks", F.concat(pick(0), pick(1))).drop("__named", "__hash", "__range", "__at", "__before", "__n", "__by", "__plus")
+    return rows.withColumn("picks", F.concat(pick(0), pick(1))).drop("__named", "__hash", "__range", "__at", "__before", "__block", "__n", "__by", "__plus")
 
 
 def words_taken() -> Column:
