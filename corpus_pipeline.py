@@ -14,7 +14,7 @@ from tracklark.llm.packing import packed_pieces
 from tracklark.llm.storage import materialize
 from tracklark.llm.toxicity import keep_clean
 
-#: No SQL: a learnt model, hash functions and a tokenizer decide. tests/llm/test_pipeline.py has a brute-force version.
+#: No SQL: a learnt model, hash functions and a tokenizer decide. tests/llm/test_texts.py has a brute-force version.
 ORACLE_SQL = None
 
 

@@ -1,5 +1,6 @@
 """HTML extraction, packing and the pipeline."""
 
+import time
 import zlib
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tracklark.llm import html_text
 from tracklark.llm.html_text import extract_text, main_blocks
 from tracklark.llm.packing import Packer, PieceTokenizer, pack, packed_pieces
 from tracklark.llm.storage import materialize
@@ -68,6 +70,55 @@ def test_names_of_parts(page, blocks):
     assert main_blocks(page) == blocks
 
 
+PLAIN = f"<body><div class=k1><ul>{'<li><a href=/x>Part</a>' * 6}</ul></div><div class=k2>Buy it.</div><div class=k3><h1>Title</h1><p>{LONG}<p>{LINE}<p>Short.</div><div class=k4><span>About us</span></div>"
+
+
+def test_ratios_decide(monkeypatch):
+    """Without an article element and telling names the ratios alone find the article."""
+    want = ["Title", LONG, LINE, "Short."]
+    assert main_blocks(PLAIN) == want
+    monkeypatch.setattr(html_text, "ratios", lambda path, length, marks: np.ones(len(path)))
+    assert main_blocks(PLAIN) != want
+
+
+def test_ratios_are_those_of_brute_force():
+    for page in (PAGE, PLAIN, SPLIT[1][0], NAMED[1][0]):
+        read = html_text._Page(page)
+        pieces, paths = read.pieces, []
+        for e, _, _ in pieces:
+            line = []
+            while e is not None:
+                if e.path != (e.parent.path if e.parent else None):
+                    line.append((e.tag, e.path))
+                e = e.parent
+            paths.append(tuple(line[::-1]))
+        texts = [t.strip() for _, _, t in pieces]
+        ratio = {}
+        for path in set(paths):
+            on = [t for t, p in zip(texts, paths) if p == path]
+            nodes = max(1, sum(t != "" for t in on))
+            ratio[path] = sum(map(len, on)) / nodes * (1 + sum(len(html_text.MARK.findall(t)) for t in on) / nodes)
+        line = [ratio[p] for p in paths]
+        smooth = [(line[max(0, i - 1)] + 2 * line[i] + line[min(len(line) - 1, i + 1)]) / 4 for i in range(len(line))]
+        want = []
+        for p in paths:
+            on = [i for i, q in enumerate(paths) if q == p]
+            want.append((sum(smooth[i] * line[i] for i in on) / len(on)) ** 0.5)
+        got = html_text.ratios(np.array([e.path for e, _, _ in pieces]), np.array([len(t) for t in texts], float), np.array([len(html_text.MARK.findall(t)) for t in texts], float))
+        assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000 + "x, y.", "<b>" * 100_000 + "<div>x, y.</div>" * 1000, "<div>" * 100_000 + "<li>x, y." * 10_000, "<p>x, y.</q>" * 100_000, "<h1>" * 100_000 + "x, y.", "<article>" * 50_000 + "x, y."])
+def test_nested_pages_take_linear_time(page):
+    start = time.process_time()
+    assert "x, y." in main_blocks(page)[-1]
+    assert time.process_time() - start < 30
+
+
+def test_empty_article_gives_no_text():
+    assert main_blocks("<body><nav>Menu</nav><div class=ad>Buy, now.</div><article><h1></h1><p> </article><footer>Us.</footer>") == []
+
+
 def test_extraction_table(spark):
     rows = [(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (None, None, None, None), (2, "v", "<article>" + "<p>x, y.</p>" * 5000, "t")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
