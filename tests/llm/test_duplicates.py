@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracklark.llm import linking
 from tracklark.llm.components import components
-from tracklark.llm.embedding_duplicates import cosine_at_least, count_needed, embedding_duplicates, tables_needed
+from tracklark.llm.embedding_duplicates import axes_needed, cosine_at_least, count_needed, embedding_duplicates, lists_needed
 from tracklark.llm.near_duplicates import band_plan, jaccard_at_least, near_duplicates, one_of_each_group
 from tracklark.llm.text import WordHashes, shingles, words
 
@@ -54,8 +55,10 @@ def docs(spark):
     return spark.createDataFrame(corpus(), DOCS)
 
 
-def test_links_are_those_of_brute_force(docs, monkeypatch):
-    monkeypatch.setattr(linking.count_links, "__defaults__", (16,))  # many blocks
+@pytest.mark.parametrize(("block", "tile"), [(2048, 384), (16, 384), (16, 5)])
+def test_links_are_those_of_brute_force(docs, monkeypatch, block, tile):
+    monkeypatch.setattr(linking, "BLOCK", block)  # many blocks, many tiles
+    monkeypatch.setattr(linking, "TILE", tile)
     got = {r.doc_id: r for r in near_duplicates(docs).collect()}
     links, root = brute(corpus())
     rows = corpus()
@@ -99,11 +102,13 @@ def test_band_plan():
 def test_verifier():
     h = WordHashes()
     sets = [shingles(h.of(words(" ".join(f"w{i}" for i in range(k, k + 100))))).tobytes() for k in (0, 2, 50, 0)]
-    full = jaccard_at_least(0.8)(sets, None)
-    np.fill_diagonal(full, True)  # a set against itself is never asked for
+    want = np.array([[True, True, False, True], [True, True, False, True], [False, False, True, False], [True, True, False, True]])
     for cells in (7, 1 << 20):
-        assert (jaccard_at_least(0.8, cells)(sets[:2], sets[2:]) == full[:2, 2:]).all()
-    assert full.tolist() == [[True, True, False, True], [True, True, False, True], [False, False, True, False], [True, True, False, True]]
+        verify = jaccard_at_least(0.8, cells)
+        for times in (1, 6):  # one by one, and as a matrix
+            asked = np.ones((4 * times, 4 * times), bool)
+            asked[0, 1] = False
+            assert (verify(sets * times, sets * times, asked) == np.tile(want, (times, times)) & asked).all()
 
 
 def test_components(spark):
@@ -117,7 +122,10 @@ def test_components(spark):
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
-def test_embedding_links_are_those_of_brute_force(spark):
+@pytest.mark.parametrize(("axes", "block", "tile"), [(None, 2048, 384), (0, 20, 7), (3, 20, 7)])
+def test_embedding_links_are_those_of_brute_force(spark, monkeypatch, axes, block, tile):
+    monkeypatch.setattr(linking, "BLOCK", block)
+    monkeypatch.setattr(linking, "TILE", tile)
     r = np.random.default_rng(2)
     rows = []
     for _ in range(60):
@@ -132,21 +140,38 @@ def test_embedding_links_are_those_of_brute_force(spark):
     np.fill_diagonal(near, False)
     odd = [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [1.0, None] * 8, 0), (2003, [float("nan")] * 16, 0), (2004, [float("inf")] * 16, 0), (2005, [1.0] * 5, 0), (2006, [], 0)]
     frame = spark.createDataFrame([(i, [float(c) for c in v], y) for i, v, y in rows] + odd, VECTORS)
-    got = embedding_duplicates(frame).collect()
+    got = embedding_duplicates(frame.withColumn("node", F.lit("clash")), axes=axes).collect()
     assert sorted((g.vec_id, g.n_links) for g in got) == sorted([(i, int(n)) for (i, _, _), n in zip(rows, near.sum(1), strict=True)] + [(i, 0) for i, _, _ in odd])
     for g in got:
         assert g.kept == (g.vec_id == g.component_id)
     assert embedding_duplicates(frame.limit(0)).count() == 0
 
 
-def test_calibration():
-    """Pairs at the threshold reach the count; few of the others do."""
-    r = np.random.default_rng(5)
-    a = r.standard_normal((300, 64))
+def pairs_at(cosine, n, dim=64, seed=5):
+    r = np.random.default_rng(seed)
+    a = r.standard_normal((n, dim))
     a /= np.linalg.norm(a, axis=1)[:, None]
-    side = r.standard_normal((300, 64))
+    side = r.standard_normal((n, dim))
     side -= (side * a).sum(1)[:, None] * a
-    b = 0.981 * a + np.sqrt(1 - 0.981**2) * side / np.linalg.norm(side, axis=1)[:, None]
-    linked = cosine_at_least(0.98)([v.tobytes() for v in a], [v.tobytes() for v in b])
-    assert (linked == np.eye(300, dtype=bool)).all()
-    assert tables_needed() > 10 and 20 < count_needed() < 45
+    return a, cosine * a + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side, axis=1)[:, None]
+
+
+def test_calibration():
+    """Pairs at the threshold reach the count, and only they; labels whose lists coincide don't mix."""
+    a, b = pairs_at(0.981, 300)
+    label = [bytes(8)] * 200 + [b"x" * 8] * 100
+    sides = [[k + v.tobytes() for k, v in zip(label, x)] for x in (a, b)]
+    assert (cosine_at_least(0.98)(*sides, np.ones((300, 300), bool)) == np.eye(300, dtype=bool)).all()
+    assert not cosine_at_least(0.98)(sides[0], [bytes(7) + b"y" + v[8:] for v in sides[1]], np.ones((300, 300), bool)).any()
+    assert axes_needed(5000) == 0 < axes_needed(10**8) and lists_needed(0) < 10 < lists_needed(9)
+    assert 20 < count_needed() < 45
+
+
+@pytest.mark.parametrize("axes", [0, 4])
+def test_recall_of_planted_pairs(spark, axes):
+    """Pairs just at the threshold are found by the sorted lists and the count, with and without cells."""
+    a, b = pairs_at(0.98001, 1500, seed=8)
+    rows = [(2 * i + k, v.tolist(), 1) for i in range(1500) for k, v in enumerate((a[i], b[i]))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = embedding_duplicates(frame, axes=axes).where("n_links > 0").count()
+    assert found >= 2 * 1500 - 4

@@ -1,6 +1,7 @@
 """Connected components of a graph given as edges, by alternating large and small stars.
 
-Each round is a few joins and aggregations over the edges alone, written to the shared folder; nothing is collected.
+Each round is a few joins and aggregations over the edges alone, written to the shared folder in place
+of the round before; nothing is collected.
 A vertex with very many edges is only ever a join key (which adaptive execution splits) or an aggregation key (which
 is summed before the shuffle).
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import drop, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +32,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     mark = F.struct(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x"))
     last = edges.select(mark.alias("m")).first()["m"]
     for _ in range(most_rounds if last["n"] else 0):
-        edges = materialize(_small_star(_large_star(edges)))
+        before, edges = edges, materialize(_small_star(_large_star(edges)))
+        drop(before)
         now = edges.select(mark.alias("m")).first()["m"]
         if now == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -1,14 +1,16 @@
 """Embedding near-duplicates by collision-counting projections: vectors of one label at a cosine of 0.98 or more.
 
 Unit vectors at the threshold differ by 0.2, so on a random direction their projections differ by a normal deviate of
-at most that scale. Many one-dimensional projections of a block of vectors are sorted; the window around a vector in
-one of them holds a near vector with probability P1, and a pair's collisions are counted over all of them. Pairs that
-reach the count which a pair at the threshold reaches with probability RECALL are verified by their exact cosine.
-
-A window in one dimension holds a constant share of all vectors, so counting alone would look at all pairs of a label.
-Vectors are therefore first dealt into cells of several projections, in enough shifted tables that a pair at the
-threshold shares a cell in one of them with probability RECALL; collisions are counted for pairs that share a cell
-(see linking.py, which also splits crowded cells). Equal vectors of a label are one node.
+at most that scale. Many one-dimensional projections are drawn. Vectors of a label are sorted by each of the first of
+them, and the window around a vector in one of these lists proposes those in it (see linking.py: lists are cut into
+segments as long as the window, so a window reaches one segment on). For each pair proposed, the projections in which
+one is in the window around the other are counted; a pair at the threshold reaches the least count with a probability
+of about RECALL, and pairs that reach it are verified by their exact cosine.
+
+A window in one dimension holds a constant share of its list. So that its work stays in proportion to the vectors,
+lists of larger tables are split by cells of AXES further projections, as many as keep a window at about NEAR vectors,
+and there are as many lists as RECALL then needs: none and a handful for some thousand vectors of a label, about ten
+and forty for some hundred millions. Equal vectors of a label are one node.
 """
 
 from __future__ import annotations
@@ -22,114 +24,133 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linking import classified, count_links, shared_buckets
+from .linking import classified, count_links, shared_windows, sketch
 from .neighbours import valid
 from .storage import materialize, table
 
 THRESHOLD = 0.98
 RECALL = 0.9999
-AXES = 14  # projections that make a cell: far vectors share one in 2 of 10 million cases
+NEAR = 2048  # vectors that a window should hold at most, if projections are spread normally
 CELL = 1.2  # width of a cell
 COUNTED = 48  # projections in which collisions are counted
+EARLY = 12  # the first of them, which most pairs don't survive
 WINDOW = 1.5  # half a window, in units of the distance at the threshold
+_P = math.erf(WINDOW / math.sqrt(2))  # probability of a collision at the threshold
 
 
 def _distance(threshold: float) -> float:
     return math.sqrt(2 - 2 * threshold)
 
 
-def tables_needed(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """Tables in which a pair at the threshold shares a cell with probability `recall`."""
+def axes_needed(vectors: int, threshold: float = THRESHOLD) -> int:
+    """Projections by whose cells lists of `vectors` vectors are split."""
+    held = vectors * min(1.0, 2 * WINDOW * _distance(threshold) * 0.2821)  # 0.2821: mean density of a normal variable
+    return max(0, math.ceil(math.log(max(held, 1) / NEAR) / -math.log(min(0.9, CELL * 0.2821))))
+
+
+def lists_needed(axes: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """Sorted lists in one of which at least a pair at the threshold collides with probability `recall`."""
     shift = np.abs(np.random.default_rng(0).standard_normal(200_000)) * _distance(threshold) / CELL
-    share = float(np.maximum(0, 1 - shift).mean()) ** AXES
+    share = _P * float(np.maximum(0, 1 - shift).mean()) ** axes
     return math.ceil(math.log(1 - recall) / math.log(1 - share))
 
 
-def count_needed(recall: float = RECALL) -> int:
-    """The most collisions that a pair at the threshold reaches with probability `recall`."""
-    p = math.erf(WINDOW / math.sqrt(2))
+def count_needed(counted: int = COUNTED, recall: float = RECALL) -> int:
+    """The most collisions of `counted` that a pair at the threshold reaches with probability `recall`."""
     below = 0.0
-    for k in range(COUNTED + 1):
-        below += math.comb(COUNTED, k) * p**k * (1 - p) ** (COUNTED - k)
+    for k in range(counted + 1):
+        below += math.comb(counted, k) * _P**k * (1 - _P) ** (counted - k)
         if below > 1 - recall:
             return k
-    return COUNTED
+    return counted
 
 
 def collisions(a: np.ndarray, b: np.ndarray, half: float) -> np.ndarray:
     """For each row of `a` and of `b` (projections), in how many columns the row of `b` is in the window around `a`'s."""
-    if a.size * len(b) <= 1 << 16:  # few rows: each against each
-        return (np.abs(a[:, None] - b[None]) <= half).sum(2)
-    total = np.zeros((len(a), len(b)), np.int16)
-    for k in range(a.shape[1]):
-        order = np.argsort(b[:, k], kind="stable")
-        line = b[order, k]
-        edges = np.zeros((len(a), len(b) + 1), np.int16)
-        rows = np.arange(len(a))
-        edges[rows, np.searchsorted(line, a[:, k] - half, "left")] += 1
-        edges[rows, np.searchsorted(line, a[:, k] + half, "right")] -= 1
-        total[:, order] += np.cumsum(edges, axis=1, dtype=np.int16)[:, :-1]
+    total = np.zeros((len(a), len(b)), np.int8)
+    for x, y in zip(a.T, b.T, strict=True):
+        total += np.abs(x[:, None] - y[None, :]) <= half
     return total
 
 
-def cosine_at_least(threshold: float, seed: int = 23):
-    """A verifier of payloads that hold vectors of doubles."""
-    half, least = WINDOW * _distance(threshold), count_needed()
+def cosine_at_least(threshold: float, recall: float = RECALL, seed: int = 23):
+    """A verifier of payloads that hold 8 bytes of the label's hash and a vector of doubles."""
+    half = np.float32(WINDOW * _distance(threshold))
+    least, first = count_needed(COUNTED, recall), count_needed(EARLY, recall)
 
-    def verify(left: list[bytes], right: list[bytes] | None) -> np.ndarray:
-        a = np.stack([np.frombuffer(x) for x in left])
-        b = a if right is None else np.stack([np.frombuffer(x) for x in right])
-        ua, ub = (v / np.sqrt((v * v).sum(1, keepdims=True)) for v in (a, b))
+    def same_kind(left: list[bytes], right: list[bytes], wanted: np.ndarray) -> np.ndarray:
+        a, b = (np.stack([np.frombuffer(x, offset=8) for x in s]) for s in (left, right))
+        la, lb = (np.sqrt((v * v).sum(1)) for v in (a, b))
         axes = np.random.default_rng(seed).standard_normal((a.shape[1], COUNTED))
-        i, j = np.nonzero(collisions(ua @ axes, ub @ axes, half) >= least)
-        linked = np.zeros((len(a), len(b)), bool)
-        for at in range(0, len(i), 100_000):
-            x, y = a[i[at : at + 100_000]], b[j[at : at + 100_000]]
-            cosine = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-            linked[i[at : at + 100_000], j[at : at + 100_000]] = cosine >= threshold
-        if right is None:
-            linked |= linked.T
+        pa_, pb = ((v / n[:, None] @ axes).astype(np.float32) for v, n in ((a, la), (b, lb)))
+        i, j = np.nonzero(wanted & (collisions(pa_[:, :EARLY], pb[:, :EARLY], half) >= first))
+        linked = np.zeros(wanted.shape, bool)
+        for at in range(0, len(i), 20_000):
+            x, y = i[at : at + 20_000], j[at : at + 20_000]
+            enough = (np.abs(pa_[x] - pb[y]) <= half).sum(1) >= least
+            x, y = x[enough], y[enough]
+            linked[x, y] = (a[x] * b[y]).sum(1) / (la[x] * lb[y]) >= threshold
+        return linked
+
+    def verify(left: list[bytes], right: list[bytes], wanted: np.ndarray) -> np.ndarray:
+        kinds = {x[:8] for x in left}
+        if len(kinds) == 1 and kinds == {x[:8] for x in right}:
+            return same_kind(left, right, wanted)
+        linked = np.zeros(wanted.shape, bool)  # labels whose hashes are equal share lists; their vectors don't link
+        for kind in kinds:
+            x, y = ([k for k, v in enumerate(s) if v[:8] == kind] for s in (left, right))
+            if y:
+                linked[np.ix_(x, y)] = same_kind([left[k] for k in x], [right[k] for k in y], wanted[np.ix_(x, y)])
         return linked
 
     return verify
 
 
-def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 19) -> DataFrame:
-    """A row per vector: vec_id, n_links, component_id, kept, from `vec_id`, `embedding`, `label`.
+def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 19, axes: int | None = None) -> DataFrame:
+    """A row per vector: vec_id, n_links, component_id, kept, from `vec_id`, `embedding`, `label`; other columns are dropped.
 
     Vectors that are null, zero or hold null or non-finite components, and those without a label, link with nothing;
     nor do vectors of different lengths. Rows that repeat an id are links of each other if their vectors are near.
-    Null ids are passed over for component_id where there are others.
+    Null ids are passed over for component_id where there are others. `axes`: projections that split the lists, by
+    default as many as the most frequent label needs.
     """
-    tables = tables_needed(threshold, recall)
     kind = vectors.schema["vec_id"].dataType.simpleString()
+    partakes = valid("embedding") & F.col("label").isNotNull()
+    rows = vectors.where(partakes).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    if axes is None:
+        most = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        axes = axes_needed(most, threshold)
+    lists = lists_needed(axes, threshold, 1 - (1 - recall) / 2)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        drawn: dict[int, tuple[np.ndarray, ...]] = {}
         for batch in batches:
-            ids, nodes, bands, payloads = [], [], [], []
+            ids, nodes, bands, places, payloads = [], [], [], [], []
             for vec_id, v, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = np.array(v)
-                if len(x) not in made:
+                if len(x) not in drawn:
                     random = np.random.default_rng([seed, len(x)])
-                    made[len(x)] = random.standard_normal((len(x), tables * AXES)), random.random(tables * AXES) * CELL, random.integers(0, 2**63, (tables, AXES), np.int64) | 1
-                axes, shift, by = made[len(x)]
-                name = f"{label}/{len(x)}/".encode()
-                cell = np.floor((x / np.sqrt(x @ x) @ axes + shift) / CELL).astype(np.int64).reshape(tables, AXES)
-                salt = int.from_bytes(hashlib.blake2b(name, digest_size=7).digest(), "little")
-                hashed = (cell * by).sum(1) ^ salt
+                    normal = random.standard_normal((len(x), lists * (axes + 1)))
+                    drawn[len(x)] = normal[:, :lists], normal[:, lists:], random.random(lists * axes) * CELL, random.integers(0, 2**63, (lists, axes), np.int64) | 1
+                order, split, shift, by = drawn[len(x)]
+                unit = x / np.sqrt(x @ x)
+                name = hashlib.blake2b(f"{label}/{len(x)}".encode(), digest_size=8).digest()
+                cell = np.floor((unit @ split + shift) / CELL).astype(np.int64).reshape(lists, axes)
+                hashed = (cell * by).sum(1) ^ int.from_bytes(name, "little", signed=True)
                 hashed = (hashed.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
                 ids.append(vec_id)
                 nodes.append(hashlib.md5(name + x.tobytes()).digest())
                 bands.append(hashed.astype(np.uint32).view(np.int32))
-                payloads.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int32())), pa.array(payloads, pa.binary())], ["vec_id", "node", "bands", "payload"])
-
-    partakes = valid("embedding") & F.col("label").isNotNull()
-    rows = vectors.where(partakes).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
-    rows = materialize(rows.mapInArrow(sign, f"vec_id {kind}, node binary, bands array<int>, payload binary"))
-    found = materialize(rows.groupBy("node").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("members"), F.first("bands").alias("bands"), F.first("payload").alias("payload")))
-    links, edges = count_links(materialize(shared_buckets(found)), found.select("node", "members", "bands"), found.select("node", "payload"), cosine_at_least(threshold))
+                places.append((unit @ order).astype(np.float32))
+                payloads.append(name + x.tobytes())
+            made = [pa.array(ids, batch.schema.field(0).type), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.float32())), pa.array(map(sketch, bands, places), pa.binary()), pa.array(payloads, pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, ["vec_id", "node", "bands", "places", "sketch", "payload"])
+
+    rows = materialize(rows.mapInArrow(sign, f"vec_id {kind}, node binary, bands array<int>, places array<float>, sketch binary, payload binary"))
+    found = materialize(rows.groupBy("node").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("members"), *(F.first(c).alias(c) for c in ("bands", "places", "sketch", "payload"))))
+    window = WINDOW * _distance(threshold)
+    payloads = lambda needed: needed.join(found.select("node", "payload"), "node")
+    links, edges = count_links(shared_windows(found, window), found.select("node", "members", "sketch"), payloads, cosine_at_least(threshold, 1 - (1 - recall) / 4), lists, window)
     told = rows.select("vec_id", "node").join(classified(found, links, edges), "node").select("vec_id", "n_links", "component_id")
     others = vectors.where(~partakes).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return told.union(others).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

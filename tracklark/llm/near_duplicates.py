@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linking import classified, count_links, shared_buckets
+from .linking import classified, count_links, shared_buckets, sketch
 from .storage import WORD, materialize, table
 from .text import U64, WordHashes, shingles, words
 
@@ -47,36 +47,40 @@ def signature(runs: np.ndarray, bands: int, rows: int, seed: int = 5) -> np.ndar
 
 
 def jaccard_at_least(threshold: float, most_cells: int = 1 << 23):
-    """A verifier of payloads that hold sorted distinct 64-bit hashes."""
+    """A verifier of payloads that hold sorted distinct 64-bit hashes; few pairs are compared one by one, others as matrices."""
 
-    def verify(left: list[bytes], right: list[bytes] | None) -> np.ndarray:
-        a = [np.frombuffer(x, np.uint64) for x in left]
-        b = a if right is None else [np.frombuffer(x, np.uint64) for x in right]
+    def linked(na, nb, common):
+        return common >= threshold * (na + nb - common) - 1e-9
+
+    def verify(left: list[bytes], right: list[bytes], wanted: np.ndarray) -> np.ndarray:
+        a, b = ([np.frombuffer(x, np.uint64) for x in s] for s in (left, right))
         na, nb = (np.array([len(x) for x in s], np.float64) for s in (a, b))
-        if right is None and len(a) == 2:
-            n = len(np.intersect1d(a[0], a[1], assume_unique=True))
-            common = np.array([[na[0], n], [n, na[1]]])
-        elif len(a) == 1 and len(b) == 1:
-            common = np.array([[len(np.intersect1d(a[0], b[0], assume_unique=True))]], np.float64)
-        else:
-            every = a if right is None else a + b
-            of = np.repeat(np.arange(len(every)), [len(x) for x in every])
-            values, code, times = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
-            kept = times[code] > 1
-            of, code = of[kept], code[kept]
-            order = np.argsort(code, kind="stable")
-            of, code = of[order], code[order]
-            common = np.zeros((len(a), len(b)))
-            width = max(1, most_cells // len(every))
-            for at in range(0, len(values), width):
-                lo, hi = np.searchsorted(code, [at, at + width])
-                if lo == hi:
-                    continue
-                c, columns = np.unique(code[lo:hi], return_inverse=True)
-                x = np.zeros((len(every), len(c)), np.float32)
-                x[of[lo:hi], columns] = 1
-                common += x @ x.T if right is None else x[: len(a)] @ x[len(a) :].T
-        return common >= threshold * (na[:, None] + nb[None, :] - common) - 1e-9
+        # sets whose sizes are too far apart can't be near, whatever they hold
+        wanted = wanted & (np.minimum(na[:, None], nb[None, :]) >= threshold * np.maximum(na[:, None], nb[None, :]) - 1e-9)
+        i, j = np.nonzero(wanted)
+        out = np.zeros(wanted.shape, bool)
+        if len(i) <= 2 * (len(a) + len(b)):
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                out[x, y] = linked(na[x], nb[y], len(np.intersect1d(a[x], b[y], assume_unique=True)))
+            return out
+        every = a + b
+        of = np.repeat(np.arange(len(every)), [len(x) for x in every])
+        values, code, times = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+        kept = times[code] > 1
+        of, code = of[kept], code[kept]
+        order = np.argsort(code, kind="stable")
+        of, code = of[order], code[order]
+        common = np.zeros((len(a), len(b)))
+        width = max(1, most_cells // len(every))
+        for at in range(0, len(values), width):
+            lo, hi = np.searchsorted(code, [at, at + width])
+            if lo == hi:
+                continue
+            c, columns = np.unique(code[lo:hi], return_inverse=True)
+            x = np.zeros((len(every), len(c)), np.float32)
+            x[of[lo:hi], columns] = 1
+            common += x[: len(a)] @ x[len(a) :].T
+        return linked(na[:, None], nb[None, :], common) & wanted
 
     return verify
 
@@ -99,8 +103,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         hashes = WordHashes()
         for b in batches:
             made = [signature(shingles(hashes.of(words(t.as_py())), n), bands, rows) for t in b.column("text")]
-            flat = pa.array(np.concatenate(made)) if made else pa.array([], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc_id"), pa.ListArray.from_arrays(pa.array(range(0, bands * len(made) + 1, bands), pa.int32()), flat)], ["node", "doc_id", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc_id"), pa.array(map(sketch, made), pa.binary()), pa.array(made, pa.list_(pa.int32()))], ["node", "doc_id", "sketch", "bands"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -111,13 +114,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
 
     keyed = _keyed(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = keyed.select("node", "doc_id", "text").mapInArrow(sign, f"node binary, doc_id {kind}, bands array<int>")
-    found = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"), F.first("bands").alias("bands")))
-    buckets = materialize(shared_buckets(found))
-    needed = buckets.select("node").distinct().join(found.select("node", "class_id"), "node")
-    texts = keyed.withColumnRenamed("node", "__node").join(needed, (F.col("__node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).select("node", "text").dropDuplicates(["node"])
-    payloads = texts.mapInArrow(sets, "node binary, payload binary")
-    links, edges = count_links(buckets, found.select("node", "members", "bands"), payloads, jaccard_at_least(threshold))
+    signed = keyed.select("node", "doc_id", "text").mapInArrow(sign, f"node binary, doc_id {kind}, sketch binary, bands array<int>")
+    found = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+
+    def payloads(needed: DataFrame) -> DataFrame:
+        needed = needed.join(found.select("node", "class_id"), "node")
+        texts = keyed.withColumnRenamed("node", "__node").join(needed, (F.col("__node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).select("node", "text").dropDuplicates(["node"])
+        return texts.mapInArrow(sets, "node binary, payload binary")
+
+    links, edges = count_links(shared_buckets(found), found, payloads, jaccard_at_least(threshold), bands)
     return classified(found, links, edges)
 
 

@@ -13,28 +13,43 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as `spark.checkpoint.dir` names it; a temporary one if unset (tests)."""
+    """The folder that driver and executors share, as `spark.checkpoint.dir` names it. If unset, a temporary one in local
+    mode (tests); on a cluster that is an error."""
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tracklark-")
         sc.setCheckpointDir(path)
         path = sc.getCheckpointDir()
     return path
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    The folder is removed when the driver's JVM ends.
+    The folder is removed by `drop`, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    at, files = _folder(spark, path)
+    files.deleteOnExit(at)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written = path
+    return made
+
+
+def drop(df: DataFrame) -> None:
+    """Removes a table that `materialize` gave and that nothing will read again."""
+    at, files = _folder(df.sparkSession, df._written)
+    files.delete(at, True)
 
 
 def id_text(column: str = "doc_id") -> Column:
