@@ -1,28 +1,30 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard, with shards' results merged.
 
-Vectors are dealt into shards of about SHARD rows by a hash of their ids, so that copies of a common vector spread over
-all shards. Each shard's graph is built by one task and kept as flat arrays of neighbours; it is written to the shared
-folder. Blocks of queries meet every shard's graph, each pair of block and shard in a task's group of its own, and the
-best of all shards are merged with a window over each query's few rows.
+Vectors are dealt into bands of like length (within a factor of two) and each band into shards of about SHARD rows by a
+hash, so that copies of a common vector spread over all shards. Each shard's graph is built by one task and kept as
+flat arrays of neighbours; it is written to the shared folder. Every query is sent to every shard's task, which loads
+its graph once and searches for the queries as they stream past; the best of all shards are merged with a window over
+each query's few rows.
 
 The nearness is the inner product. A coordinate that makes all of a shard's vectors equally long turns it into a
-Euclidean distance, for which the graph is made; results are scored in double precision on the vectors as given.
-Copies within a shard are one vertex.
+Euclidean distance, for which the graph is made; all that a search finds is scored in double precision on the vectors
+as given. Copies within a shard are one vertex.
 """
 
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize, table
 
 SHARD = 16_000
-QUERIES = 2_000
 M = 16
 EF_BUILD = 80
 EF_SEARCH = 160
@@ -199,80 +201,112 @@ def valid(vector: str) -> Column:
     return F.coalesce(usable & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def build_graphs(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(dim, shard, graph) for `vec_id`, `embedding`; vectors of different lengths don't share a graph."""
-    shards = max(1, -(-vectors.count() // shard))
-    dealt = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"))
+def build_graphs(vectors: DataFrame, shard: int | None = None) -> DataFrame:
+    """(dim, band, shard, graph) for distinct rows of `vec_id`, `embedding` (array<double>).
+
+    Vectors of different dimensions don't share a graph, nor do those whose lengths differ by more than a factor of two:
+    the longest of a shard would leave too little of the others' distances.
+    """
+    largest = F.array_max(F.transform("embedding", F.abs))  # squares are taken of shares of it, as they might overflow
+    squares = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + (x / F.col("largest")) * (x / F.col("largest")))
+    dealt = vectors.withColumn("largest", largest).select("vec_id", "embedding", F.size("embedding").alias("dim"), F.floor(F.log2("largest") + F.log2(squares) / 2).cast("int").alias("band"))
+    shards = dealt.groupBy("dim", "band").agg(F.ceil(F.count("*") / (shard or SHARD)).alias("shards"))
+    dealt = dealt.join(shards, ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards"))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id")
+        group = group.sort_values("vec_id", kind="stable")
         x, first = np.unique(np.stack(group["embedding"].to_list()), axis=0, return_inverse=True)
         first = first.ravel()
         order = np.argsort(first, kind="stable")
-        longest = (x * x).sum(1)
-        scaled = np.concatenate([x, np.sqrt(longest.max() - longest)[:, None]], 1) / np.sqrt(longest.max())
+        unit = x / np.abs(x).max()
+        squares = (unit * unit).sum(1)
+        scaled = np.concatenate([unit, np.sqrt(squares.max() - squares)[:, None]], 1) / np.sqrt(squares.max())
         graph = Graph.build(scaled.astype(np.float32))
         arrays = {f"links{i}": a.astype(np.int32) for i, a in enumerate(graph.links)} | {f"members{i}": a.astype(np.int32) for i, a in enumerate(graph.members)}
         saved = _saved(x=x, scaled=scaled.astype(np.float32), ids=group["vec_id"].to_numpy()[order], starts=np.searchsorted(first[order], np.arange(len(x) + 1)), **arrays)
-        return pd.DataFrame({"dim": [group["dim"].iloc[0]], "shard": [group["shard"].iloc[0]], "graph": [saved]})
+        return pd.DataFrame({**{c: [group[c].iloc[0]] for c in ("dim", "band", "shard")}, "graph": [saved]})
 
-    return dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, graph binary")
+    return dealt.select("vec_id", "embedding", "dim", "band", "shard").groupBy("dim", "band", "shard").applyInPandas(build, "dim int, band int, shard long, graph binary")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF_SEARCH) -> DataFrame:
-    """The k nearest found for each query: query_id, rank, vec_id, score. Both tables have `vec_id`, `embedding`.
+class _Shard:
+    """A shard's graph as it was written."""
 
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids; rows that repeat
-    an id count once (with the least vector). A query's own id is not among its results; ties go to the smaller id.
-    Fewer than k rows come back where there are fewer candidates.
-    """
-    once = lambda t: t.where(F.col("vec_id").isNotNull() & valid("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    vectors = materialize(once(vectors))
-    queries = materialize(once(queries))
-    graphs = materialize(build_graphs(vectors))
-    blocks = max(1, -(-queries.count() // QUERIES))
-    asked = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("block"))
-    # every block meets every shard: the shards' names go to the queries, a row for each shard
-    names = graphs.groupBy("dim").agg(F.collect_list("shard").alias("shards"))
-    asked = asked.join(names, "dim").withColumn("shard", F.explode("shards")).drop("shards")
-    graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def search(graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "vec_id", "score"]
-        if not len(graph) or not len(asked):
-            return pd.DataFrame({c: [] for c in columns}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        a = np.load(io.BytesIO(graph["graph"].iloc[0]))
+    def __init__(self, saved: bytes):
+        a = np.load(io.BytesIO(saved))
         layers = sum(n.startswith("links") for n in a.files)
-        made = Graph(a["scaled"], [a[f"members{i}"] for i in range(layers)], [a[f"links{i}"] for i in range(layers)])
-        x, ids, starts = a["x"], a["ids"], a["starts"]
-        q = np.stack(asked["embedding"].to_list())
-        length = np.sqrt((q * q).sum(1, keepdims=True))
-        found = made.search(np.concatenate([q / length, np.zeros((len(q), 1))], 1).astype(np.float32), max(ef, k + 1))
-        found = found[:, : 4 * k + 1]
-        score = np.einsum("nd,nkd->nk", q, x[np.maximum(found, 0)])
+        self.x, self.ids, self.starts = a["x"], a["ids"], a["starts"]
+        self.graph = Graph(a["scaled"], [a[f"members{i}"] for i in range(layers)], [a[f"links{i}"] for i in range(layers)])
+
+    def nearest(self, names: np.ndarray, q: np.ndarray, k: int, ef: int) -> Iterator[tuple[int, int, float]]:
+        """(number of the query, vec_id, score) of the k best found for each query; not of the query's own row."""
+        if len(self.x) <= ef:
+            found = np.broadcast_to(np.arange(len(self.x)), (len(q), len(self.x)))
+        else:
+            unit = q / np.abs(q).max(1, keepdims=True)
+            unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+            found = self.graph.search(np.concatenate([unit, np.zeros((len(q), 1))], 1).astype(np.float32), ef)
+        score = np.einsum("nd,nkd->nk", q, self.x[np.maximum(found, 0)])
         score[found < 0] = -np.inf
         order = np.argsort(-score, axis=1, kind="stable")
-        rows = []
-        for i, own in enumerate(asked["vec_id"].to_numpy()):
-            n = 0
-            last = None
-            best = []
+        for i, own in enumerate(names):
+            best, last = [], None
             for j in order[i]:
                 v, s = found[i, j], score[i, j]
-                if v < 0 or (n >= k and s < last):
+                if v < 0 or (len(best) >= k and s < last):
                     break
-                mine = ids[starts[v] : min(starts[v + 1], starts[v] + k + 1)]
-                mine = mine[mine != own]
-                best += [(own, int(c), s) for c in mine]
-                n += len(mine)
+                mine = self.ids[self.starts[v] : min(self.starts[v + 1], self.starts[v] + k + 1)]
+                if own in mine and np.array_equal(self.x[v], q[i]):
+                    mine = mine[mine != own]
+                best += [(-s, int(c)) for c in mine]
                 last = s
-            rows += sorted(best, key=lambda r: (-r[2], r[1]))[:k]
-        return pd.DataFrame(rows, columns=columns)
+            for s, c in sorted(best)[:k]:
+                yield i, c, -float(s)
 
-    key = ["dim", "shard", "block"]
-    found = asked.groupBy(*key).cogroup(graphs.groupBy(*key))
-    found = found.applyInPandas(lambda a, g: search(g, a), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF_SEARCH, shard: int | None = None) -> DataFrame:
+    """The k nearest found for each query: query_id, rank, vec_id, score. Both tables have `vec_id`, `embedding`; other
+    columns are ignored.
+
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids. Equal rows count
+    once; rows that share an id but not their vector are candidates each, and queries each. A query's own row is not
+    among its results; ties go to the smaller id. Fewer than k rows come back where there are fewer candidates.
+    """
+    once = lambda t: t.where(F.col("vec_id").isNotNull() & valid("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).distinct()
+    graphs = materialize(build_graphs(once(vectors), shard))
+    asked = once(queries).select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("query_row"), "embedding", F.size("embedding").alias("dim"))
+    # every query meets every shard of its dimension: the shards' names go to the queries, a graph is sent once
+    names = graphs.groupBy("dim").agg(F.collect_list(F.struct("band", "shard")).alias("at"))
+    asked = asked.join(names, "dim").select("query_id", "query_row", "embedding", "dim", F.inline("at"))
+    place = ["dim", "band", "shard"]
+    rows = asked.select(*place, "query_id", "query_row", "embedding", F.lit(None).cast("binary").alias("graph"))
+    rows = rows.unionByName(graphs.select(*place, "graph"), allowMissingColumns=True)
+    rows = rows.repartition(*place).sortWithinPartitions(*place, F.col("query_id").isNotNull())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            graph = batch.column(6)
+            lo = 0
+            while lo < len(keys):
+                if keys[lo] != at:  # a shard's first row is its graph
+                    at, held = keys[lo], _Shard(graph[lo].as_py())
+                    lo += 1
+                    continue
+                hi = lo
+                while hi < len(keys) and keys[hi] == at and hi - lo < _LINES:
+                    hi += 1
+                part = batch.slice(lo, hi - lo)
+                ids, row = part.column(3).to_numpy(), part.column(4).to_numpy()
+                q = part.column(5).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
+                found = list(held.nearest(ids, q, k, max(ef, k + 1)))
+                n = np.array([f[0] for f in found], int)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[n]), pa.array(row[n]), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], ["query_id", "query_row", "vec_id", "score"])
+                lo = hi
+
+    found = rows.mapInArrow(search, "query_id long, query_row long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
