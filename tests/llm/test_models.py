@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from tracklark.llm import language_model as lm
 from tracklark.llm.neighbours import Graph, nearest
 from tracklark.llm.text import words
+from tracklark.llm import toxicity, url_filter
+from tracklark.llm.storage import smallest
 from tracklark.llm.toxicity import keep_clean, op8_toxicity, score, train
-from tracklark.llm.url_filter import host_and_path, judge, rule_for
+from tracklark.llm.url_filter import host_and_path, judge, ngrams, rule_for
 
 from ..conftest import SF
 
@@ -103,6 +105,57 @@ def test_toxicity_held_out(toxic, spark):
     assert score(odd.limit(0), model).count() == 0
 
 
+def plain_ftrl(rows, passes):
+    """Weights by slot, one coordinate at a time."""
+    z, n = Counter(), Counter()
+    bias = 2**toxicity.BITS
+
+    def weight(i):
+        l1 = 0.0 if i == bias else toxicity.L1 if i < bias // 2 else toxicity.L1_PAIR
+        if abs(z[i]) <= l1:
+            return 0.0
+        return (math.copysign(l1, z[i]) - z[i]) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(passes):
+        for label, slots in rows:
+            x = {int(i): 1.0 if i < bias // 2 else toxicity.PAIR for i in slots} | {bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v * (toxicity.POSITIVE if label else 1.0)
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_ftrl_is_the_plain_one(toxic):
+    docs, _ = toxic
+    made = toxicity.Features()
+    rows = [(int(r.doc_id % 4 == 0), np.unique(np.concatenate(made.of(r.text)))) for r in docs.collect()]
+    got, want = toxicity.learned(rows, 3).weights(), plain_ftrl(rows, 3)
+    assert {int(i): got[i] for i in np.flatnonzero(got)} == pytest.approx(want)
+
+
+def test_pairs_of_ordinary_words_are_learned():
+    """Texts that are toxic only by two words beside each other, which all texts hold."""
+    r, made, rows = np.random.default_rng(6), toxicity.Features(), []
+    for i in range(900):
+        w = [f"w{k}" for k in r.permutation(60)[:20]]
+        w[3:3], w[12:12] = (["red", "herring"], []) if i % 3 == 0 else (["red"], ["herring"])
+        rows.append((int(i % 3 == 0), np.unique(np.concatenate(made.of(" ".join(w))))))
+    model = toxicity.learned(rows[:700]).weights()
+    assert (model[2 ** (toxicity.BITS - 1) : -1] != 0).any()
+    x = [model[s] @ np.where(s < 2 ** (toxicity.BITS - 1), 1, toxicity.PAIR) + model[-1] for _, s in rows[700:]]
+    assert np.mean([(v >= 0) == y for v, (y, _) in zip(x, rows[700:])]) > 0.95
+
+
+def test_smallest(spark):
+    frame = spark.range(5000).withColumn("h", F.xxhash64("id"))
+    want = [r.id for r in frame.orderBy("h", "id").limit(100).collect()]
+    assert [r.id for r in smallest(frame, "h", 100, "id").collect()] == want
+    assert smallest(frame, "h", 9000).count() == 5000
+
+
 def test_toxicity_without_labels(toxic):
     docs, labels = toxic
     for some in (labels.limit(0), labels.where("toxic = 0")):
@@ -139,6 +192,31 @@ def test_url_judgement(spark):
     assert all(r.verdict in ("allow", "block") for r in judge(frame.where("page_id >= 300")).collect())
 
 
+def test_regression_is_the_plain_one():
+    rows = [(ngrams(f"host{i}.{'net' if i % 3 else 'org'}", f"/a{i % 7}"), int(i % 3 > 0)) for i in range(60)]
+    w, n = Counter(), Counter()
+    for _ in range(2):
+        for slots, y in rows:
+            at = [int(i) for i in slots] + [2**url_filter.BITS]
+            p = 1 / (1 + math.exp(-sum(w[i] for i in at)))
+            for i, g in [(i, p - y + 1e-5 * w[i]) for i in at]:
+                n[i] += g * g
+                w[i] -= 0.1 * g / math.sqrt(n[i] + 1e-8)
+    got = url_filter.learned(rows, 2)
+    assert {int(i): got[i] for i in np.flatnonzero(got)} == pytest.approx({i: x for i, x in w.items() if x})
+
+
+def test_regression_on_hosts_left_out(spark):
+    """URLs that the rules decide, judged by a regression that hasn't seen their hosts."""
+    host, path = host_and_path()
+    rows = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/pages.parquet").select(host.alias("host"), path.alias("path"))
+    rows = rows.withColumn("r", rule_for(F.col("host"), F.col("path"))).where("r is not null").select("host", "path", (F.col("r.verdict") == "block").alias("blocked"))
+    out = F.crc32(F.col("host").cast("binary")) % 5 == 0
+    w = url_filter.train(rows.where(~out))
+    told = [(r.blocked, w[ngrams(r.host, r.path)].sum() + w[-1] >= 0) for r in rows.where(out).collect()]
+    assert len(told) > 100 and sum(a == b for a, b in told) / len(told) > 0.95
+
+
 def test_graph_recall():
     r = np.random.default_rng(1)
     x = r.standard_normal((3000, 24)).astype(np.float32)

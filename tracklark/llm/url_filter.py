@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import table
+from .storage import smallest, table
 
 BITS = 16
 TRAIN_URLS = 10_000
@@ -59,20 +59,27 @@ def ngrams(host: str, path: str) -> np.ndarray:
     return np.unique(np.concatenate(slots)).astype(np.int32) if slots else np.zeros(0, np.int32)
 
 
+def learned(rows: list[tuple[np.ndarray, int]], passes: int = PASSES) -> np.ndarray:
+    """Weights by slot and, last, the bias after `passes` of stochastic gradient steps over (slots, blocked), with rates
+    that fall by slot (AdaGrad) and a little L2; zeros unless there are both verdicts."""
+    made = [(np.append(slots, 2**BITS), y) for slots, y in rows]
+    w, n = np.zeros(2**BITS + 1), np.full(2**BITS + 1, 1e-8)
+    for _ in range(passes if len({y for _, y in made}) == 2 else 0):
+        for at, y in made:
+            g = 1 / (1 + np.exp(-np.clip(w[at].sum(), -35, 35))) - y + 1e-5 * w[at]
+            n[at] += g * g
+            w[at] -= 0.1 * g / np.sqrt(n[at])
+    return w
+
+
 def train(labelled: DataFrame, urls: int = TRAIN_URLS, passes: int = PASSES, seed: int = 31) -> np.ndarray:
     """Weights by slot and, last, the bias, from (`host`, `path`, `blocked`). Without both verdicts all are 0."""
     sample = labelled.where(F.col("blocked").isNotNull()).groupBy("host", "path").agg(F.max("blocked").cast("int").alias("blocked"))
-    sample = sample.withColumn("at", F.xxhash64(F.lit(seed), "host", "path")).orderBy("at", "host", "path").limit(urls)
+    sample = smallest(sample.withColumn("at", F.xxhash64(F.lit(seed), "host", "path")), "at", urls, "host", "path")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        made = [(np.append(ngrams(h, p), 2**BITS), y) for _, h, p, y in rows]
-        w, n = np.zeros(2**BITS + 1), np.full(2**BITS + 1, 1e-8)
-        for _ in range(passes if len({y for _, y in made}) == 2 else 0):
-            for at, y in made:
-                g = 1 / (1 + np.exp(-np.clip(w[at].sum(), -35, 35))) - y + 1e-5 * w[at]
-                n[at] += g * g
-                w[at] -= 0.1 * g / np.sqrt(n[at])
+        w = learned([(ngrams(h, p), y) for _, h, p, y in rows], passes)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["weights"])
 
     made = sample.select("at", "host", "path", "blocked").coalesce(1).mapInArrow(fit, "weights binary").collect()
@@ -83,7 +90,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, url
     """`pages` with host, path, rule, verdict (allow or block) and `blocked`, the regression's probability.
 
     URLs that are null or have no `://` have an empty host and path, fit no rule and are judged by the regression.
-    Columns of the input with these names are replaced; repeated rows are judged each.
+    Columns of the input with these names are replaced; repeated rows are judged each, and an empty table gives an empty
+    one. Of rules of equal length that fit, the one given last counts. A URL is read in one piece, however long.
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "blocked")]
     host, path = host_and_path(url)
