@@ -49,6 +49,20 @@ def test_fractional_ranks_are_those_of_brute_force(spark):
     assert [place[r.doc_id] for r in got] == sorted(place.values())
 
 
+@pytest.mark.parametrize("crowded", [100_000, 7])
+def test_equal_rows_stay_together(spark, crowded):
+    rows = [(i, f"s{i % 2}", i // 6 if i < 1200 else -1) for i in range(1800)]  # groups of six, and one of a third
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text long")
+    got = stratified_shards(frame, 4, ranges=64, together=("text",), crowded=crowded).toPandas()
+    assert set(got.groupby("shard").size()) == {450}
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+        assert abs((g.source == "s0").sum() - 225) <= 2
+    split = got[got.text >= 0].groupby("text").shard.nunique()
+    assert (split > 1).sum() <= 40 and split.max() <= 2
+    assert got[got.text < 0].shard.nunique() <= 3
+
+
 def test_sharding_query(spark):
     got = op10_sharding(spark, SF).toPandas()
     text = spark.read.parquet(f"{SF}/documents.parquet").toPandas().set_index("doc_id").text
