@@ -6,8 +6,9 @@ those that fit. When none fits, the piece with the largest product is cut to wha
 the segment or loss limit binds. Documents of more than a sequence give whole sequences first.
 
 Each task packs its own partition as a stream: a pool of POOL pieces at most is open, whatever the partition's size,
-and only the last bins of a partition may stay short. Nothing is shuffled. A task that is run again makes the same
-sequences, for it reads the same rows in the same order.
+and only the last bins of a partition may stay short for want of pieces. The result is written to the shared folder,
+and the pieces of those last bins are packed once more, by a task for every MERGED of them. Texts are not shuffled. A
+task that is run again makes the same sequences, for it reads the same rows in the same order.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import table
+from .storage import materialize, table
 
 SEQUENCE = 1024
-SEGMENTS = 64
+SEGMENTS = 256
 POOL = 2048
+MERGED = 4096
 _CACHE = 600_000
 #: White space but for space, tab and line ends. Fixed values.
 _RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -138,69 +141,100 @@ class Packer:
             yield made
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, tokens: int = SEQUENCE, segments: int = SEGMENTS, loss: int | None = None, end_id: int = 0, keep: tuple[str, ...] = ("doc_id",), loss_share: str | None = None) -> DataFrame:
-    """A row for each piece of each text: `keep`, `start`, `length`, `ids`, `doc_tokens`, `loss_tokens`, `sequence_id`, `offset`.
+def _emitter(checksum: bool, first: int) -> tuple[Callable, Callable]:
+    """Collects the rows of sequences, numbered from `first`, and makes record batches of them."""
+    rows: list[tuple] = []
+    sequence = first
 
-    A text is its ids and then `end_id`; null counts as empty. `ids` holds the piece's ids (little-endian, 32 bits).
-    `loss_share` names a column with the share (0 to 1, null: 1) of a text's last ids that bear loss. Repeated rows
-    and ids are packed as rows of their own. `sequence_id` is the task's number and a count within the task.
+    def put(made: list[tuple], short: bool) -> None:
+        nonlocal sequence
+        offset = 0
+        for (row, begin, ids, doc_tokens, loss_from), start, n in made:
+            piece = ids[4 * start : 4 * (start + n)]
+            rows.append((*row, begin + start, n, piece if short or not checksum else None, zlib.crc32(piece), doc_tokens, max(0, start + n - max(start, loss_from)), sequence, offset, short))
+            offset += n
+        sequence += 1
+
+    def flush(kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+        types = [*kinds, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return put, flush
+
+
+def pack(docs: DataFrame, tokenizer_path: str | None = None, tokens: int = SEQUENCE, segments: int = SEGMENTS, loss: int | None = None, end_id: int = 0, keep: tuple[str, ...] = ("doc_id",), loss_share: str | None = None, checksum: bool = False) -> DataFrame:
+    """A row for each piece of each text: `keep`, `start`, `length`, `ids`, `ids_crc32`, `doc_tokens`, `loss_tokens`, `sequence_id`, `offset`.
+
+    A text is its ids and then `end_id`; null counts as empty. `ids` holds the piece's ids (little-endian, 32 bits); with
+    `checksum` it is left out. `loss_share` names a column with the share (0 to 1, null: 1) of a text's last ids that
+    bear loss. Repeated rows and ids are packed as rows of their own; of pieces with equal products the one that came
+    first into its place in the pool is taken. An empty table gives an empty one. Only the columns named are read, so
+    others may have any name; those in `keep` must not be named as the result's.
     """
     schema = docs.select(*keep).schema
-    for name, kind in (("start", "long"), ("length", "long"), ("ids", "binary"), ("doc_tokens", "long"), ("loss_tokens", "long"), ("sequence_id", "long"), ("offset", "long")):
+    for name, kind in (("start", "long"), ("length", "long"), ("ids", "binary"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("loss_tokens", "long"), ("sequence_id", "long"), ("offset", "long"), ("__short", "boolean")):
         schema = schema.add(name, kind)
     end = np.array([end_id], "<u4").tobytes()
     docs = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"), (F.lit(1.0) if loss_share is None else F.coalesce(loss_share, F.lit(1.0))).cast("double").alias("__share"))
+    limit = min(tokens, loss or tokens)
+    width, names = len(keep), schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, packer = PieceTokenizer(tokenizer_path), Packer(tokens, segments, loss)
-        sequence = TaskContext.get().partitionId() << 36
-        rows: list[tuple] = []
-
-        def put(made: list[tuple]) -> None:
-            nonlocal sequence
-            offset = 0
-            for (row, ids, loss_from), start, n in made:
-                rows.append((*row, start, n, ids[4 * start : 4 * (start + n)], len(ids) // 4, max(0, start + n - max(start, loss_from)), sequence, offset))
-                offset += n
-            sequence += 1
-
-        def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_pydict({f.name: pa.array([r[i] for r in rows], kinds[i]) for i, f in enumerate(schema)})
-            rows.clear()
-            return made
-
-        kinds: list = [None] * len(keep) + [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        limit = min(tokens, loss or tokens)
+        put, flush = _emitter(checksum, TaskContext.get().partitionId() << 36)
+        kinds = None
         for batch in batches:
-            kinds[: len(keep)] = [batch.schema.field(i).type for i in range(len(keep))]
+            kinds = [batch.schema.field(i).type for i in range(width)]
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                columns = [part.column(i).to_pylist() for i in range(len(keep) + 2)]
+                columns = [part.column(i).to_pylist() for i in range(width + 2)]
                 for row, text_ids, share in zip(zip(*columns[:-2], strict=True), map(tokenizer.of, columns[-2]), columns[-1], strict=True):
                     ids = text_ids + end
                     n = len(ids) // 4
-                    item, start = (row, ids, n - round(share * n)), 0
+                    item, start = (row, 0, ids, n, n - round(share * n)), 0
                     while n - start >= limit:  # whole sequences
-                        put([(item, start, limit)])
+                        put([(item, start, limit)], False)
                         start += limit
                     if start < n:
-                        packer.add(item, start, n, item[2])
+                        packer.add(item, start, n, item[4])
                     for made in packer.bins():
-                        put(made)
-                if rows:
-                    yield flush()
-        for made in packer.bins(0):
-            put(made)
-        if rows:
-            yield flush()
-
-    return docs.mapInArrow(run, schema)
+                        put(made, False)
+                yield flush(kinds, names)
+        if kinds is not None:
+            for made in packer.bins(0):
+                put(made, sum(n for _, _, n in made) < tokens)
+            yield flush(kinds, names)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packs the pieces of short bins: each is an item whose ids are those from `start` on."""
+        packer = Packer(tokens, segments, loss)
+        put, flush = _emitter(checksum, 1 << 61 | TaskContext.get().partitionId() << 36)
+        kinds = None
+        for batch in batches:
+            kinds = [batch.schema.field(i).type for i in range(width)]
+            for *row, start, n, ids, _, doc_tokens, loss_tokens, _, _, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                packer.add((row, start, ids, doc_tokens, n - loss_tokens), 0, n, n - loss_tokens)
+                for made in packer.bins():
+                    put(made, False)
+            yield flush(kinds, names)
+        if kinds is not None:
+            for made in packer.bins(0):
+                put(made, False)
+            yield flush(kinds, names)
+
+    first = materialize(docs.mapInArrow(run, schema))
+    short = first.where("__short")
+    tasks = short.select("sequence_id").distinct().count() // MERGED + 1
+    merged = short.coalesce(tasks).mapInArrow(again, schema)
+    return first.where("not __short").unionByName(merged).drop("__short", *(["ids"] if checksum else []))
 
 
 def packed_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str = "", tokenizer_path: str | None = None) -> DataFrame:
     """The pieces of all texts, with a checksum in place of the ids."""
-    made = pack(docs.select("doc_id", "text"), tokenizer_path)
-    return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+    made = pack(docs.select("doc_id", "text"), tokenizer_path, checksum=True)
+    return made.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
