@@ -118,7 +118,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     found = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
 
     def payloads(needed: DataFrame) -> DataFrame:
-        needed = needed.join(found.select("node", "class_id"), "node")
+        # written first, so that the join below is planned by its size: where it is small, texts aren't shuffled for it
+        needed = materialize(needed.join(found.select("node", "class_id"), "node"))
         texts = keyed.withColumnRenamed("node", "__node").join(needed, (F.col("__node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).select("node", "text").dropDuplicates(["node"])
         return texts.mapInArrow(sets, "node binary, payload binary")
 
