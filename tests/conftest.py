@@ -7,6 +7,7 @@ sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 os.environ.setdefault("OMP_NUM_THREADS", "1")
 
+import pandas as pd  # noqa: E402
 import pytest  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
@@ -45,7 +46,7 @@ def as_rows(frame):
     """A pandas frame as sorted rows of plain values, columns by name."""
 
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
             return ""
         if isinstance(v, bool) or type(v).__name__ == "bool":
             return str(bool(v))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklark.config import CueConfig
+from tracklark.operators.candidates import align, explode_candidates, new_points, number_cues, select_loops
 from tracklark.operators.tracks import assign_batches, first_song, tracks_in_library, tracks_missing
 from tracklark.plans import derived, jobs
 from tracklark.sources import analyses as responses
@@ -144,7 +145,7 @@ def test_responses(spark):
 
 def test_batches(spark):
     t = spark.createDataFrame([(f"p{i % 7}", i) for i in range(50)], "path string, i long")
-    rows = assign_batches(t, ["path", "i"], 5, limit=23, ranges=4).orderBy("idx").collect()
+    rows = assign_batches(t, ["path", "i"], 5, limit=23).orderBy("idx").collect()
     assert [r.i for r in rows] == [i for _, i in sorted((f"p{i % 7}", i) for i in range(50))][:23]
     assert [r.batch_id for r in rows] == [i // 5 for i in range(23)]
     assert assign_batches(t.limit(0), ["path", "i"]).count() == 0
@@ -177,7 +178,39 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == jobs.annotate_library(library, analysed).orderBy("library_id", "song_ord").collect()
 
 
-def test_plan_shape(spark):
-    plan = jobs.make_points(derived.analysed_tracks(spark, SF), ["k"])._jdf.queryExecution().toString()
+def test_plan_shape(spark, tmp_path):
+    """Annotating stored tables: one exchange for each of the analyses, the attributes and the songs, and no other."""
+    derived.library(spark, SF).write.parquet(str(tmp_path / "library"))
+    derived.library_analyses(spark, SF).write.parquet(str(tmp_path / "analyses"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        done = jobs.annotate_library(spark.read.parquet(str(tmp_path / "library")), spark.read.parquet(str(tmp_path / "analyses")))
+        plan = done._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange") == 3
+    assert plan.count("FileScan") == 3 and plan.count("ArrowEvalPython") == 1
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "Exchange SinglePartition" not in plan
+
+
+def test_many_comments_and_loops(spark, library):
+    """Nothing is cut off: not comments, nor loops of which the last ranks first."""
+    loops = [(float(i % 50), 16.0, ["fx"], f"n{i}", None) for i in range(3000)] + [(20.0, 16.0, ["drums"], "best", None)]
+    found = analyses(spark, library, "/m/a.mp3").withColumn("loop_segments", F.lit(None).cast(ANALYSIS.split("loop_segments ")[1]))
+    found = found.drop("loop_segments").crossJoin(spark.createDataFrame([(loops,)], "loop_segments " + ANALYSIS.split("loop_segments ")[1]))
+    long = library.withColumn("comments", F.transform(F.sequence(F.lit(1), F.lit(70_000)), lambda i: i.cast("string")))
+    row = jobs.annotate_library(long, found).where("song_ord = 0").first()
+    assert len(row.comments) == 70_000 and row.comments[-1] == "70000"
+    assert {p._Name for p in row.pois if p._Type == "loop"} == {"bestl", "n0l", "n1l"}
+
+
+@pytest.mark.parametrize("policy", ["batch", "single"])
+def test_points_in_one_pass_are_those_of_the_operators(spark, policy):
+    cfg = CueConfig(policy=policy)
+    found = align(explode_candidates(derived.analysed_tracks(spark, SF), cfg), cfg)
+    want = new_points(number_cues(found.where("kind = 'cue'"), ["k"]), select_loops(found.where("kind = 'loop'"), ["k"], cfg), ["k"])
+    columns = ["k", "ord", "t", "kind", "num", "name", "color", "beats", "slot"]
+    rows = lambda t: sorted(map(tuple, t.select(columns).collect()))
+    assert [r[:2] for r in rows(want)] == [r[:2] for r in rows(jobs.make_points(derived.analysed_tracks(spark, SF), ["k"], cfg))]
+    assert set(rows(want)) == set(rows(jobs.make_points(derived.analysed_tracks(spark, SF), ["k"], cfg)))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, CueConfig
 from ..functions.beats import cue_in_range, loop_in_range, snap_to_downbeat, working_bpm
-from ..functions.elements import classify_color, cue_name, has_elements, known, loop_name, loop_priority, raw_loop_name
+from ..functions.elements import classify_color, cue_name, encode_color, has_elements, known, loop_name, loop_priority, raw_loop_name
+from ..functions.text import format_position
 
 Keys = list[str]
 
@@ -26,10 +27,8 @@ def explode_loops(tracks: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
 
 
 def explode_candidates(tracks: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
-    """Cues (the first of each track) and loops as one table with `kind`, so that the tracks are made once for both.
-
-    Each track also has one row of kind `track`, candidates or not.
-    """
+    """Cues (the first of each track) and loops as one table with `kind`. Each track also has one row of kind `track`,
+    candidates or not."""
     kept = [c for c in tracks.columns if c not in ("measure_changes", "loop_segments")]
 
     def one(kind: str, time: str, name: str, beats):
@@ -104,3 +103,47 @@ def summary_labels(points: DataFrame, keys: Keys) -> DataFrame:
     """`label`: Cue 1, Cue 2, ..., Loop 1, ... by time within the kind."""
     n = F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("t", "made"))
     return points.withColumn("label", F.concat(F.when(F.col("kind") == "cue", "Cue ").otherwise("Loop "), n.cast("string")))
+
+
+def _first_of_each_name(loops: Column, most: int) -> Column:
+    """The first `most` elements of an array with different names, in its order; one pass, whatever the array's length."""
+    known_name = lambda some, name: F.exists(some, lambda y: y["name"].eqNullSafe(name))
+    return F.aggregate(loops, F.slice(loops, 1, 0), lambda some, x: F.when((F.size(some) < most) & ~known_name(some, x["name"]), F.concat(some, F.array(x))).otherwise(some))
+
+
+def points_of_tracks(tracks: DataFrame, keys: Keys, cfg: CueConfig = DEFAULT) -> DataFrame:
+    """(keys, points): the numbered cues and chosen loops of every track, chronological, in one array.
+
+    The same as `number_cues`, `select_loops` and `new_points`, in one pass: scalars are made from exploded candidates,
+    which one aggregation on the track collects again; numbers, ranks, names and order follow within the row. Tracks
+    without candidates have an empty array. Points have t, looped, made, num, name, color, beats, at, code, slot.
+    """
+    found = align(explode_candidates(tracks, cfg), cfg)
+    kind, elements = F.col("kind"), F.col("elements")
+    fit = has_elements(elements)
+    color = classify_color(elements)
+    shown = [color.alias("color"), F.col("beats"), format_position(F.col("t")).alias("at"), encode_color(color, cfg).alias("code")]
+    cue = F.struct("pos", fit.alias("fit"), "t", cue_name(F.col("name"), elements, F.lit(0)).alias("name"), *shown)
+    loop = F.struct(loop_priority(elements, cfg.policy).alias("rank"), "pos", (fit & loop_in_range(F.col("t"), F.col("song_length"), cfg)).alias("fit"), "t", loop_name(F.col("name"), elements).alias("name"), *shown)
+    rows = found.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when((kind == "cue") & cue_in_range(F.col("t"), F.col("song_length")), cue))).alias("cues"),
+        F.array_sort(F.collect_list(F.when(kind == "loop", loop))).alias("loops"),
+    )
+
+    def point(looped: bool):
+        def made(x: Column, i: Column) -> Column:
+            n = (i + 1).cast("long")
+            return F.struct(x["t"].alias("t"), F.lit(looped).alias("looped"), n.alias("made"), (F.lit("-1") if looped else n.cast("string")).alias("num"), *(x[c].alias(c) for c in ("name", "color", "beats", "at", "code", "fit")))
+
+        return made
+
+    cues = F.filter(F.transform("cues", point(False)), lambda x: x["fit"])
+    if cfg.policy == "batch":
+        rows = rows.withColumn("loops", F.filter(F.transform(F.slice("loops", 1, cfg.max_loops), point(True)), lambda x: x["fit"]))
+        loops = _first_of_each_name(F.col("loops"), cfg.max_loops)
+    else:
+        loops = F.filter(F.transform(_first_of_each_name(F.col("loops"), cfg.max_loops), point(True)), lambda x: x["fit"])
+    none = F.lit(None).cast("long")
+    cues = F.transform(cues, lambda x: x.withField("slot", none))
+    loops = F.transform(F.array_sort(loops), lambda x, i: x.withField("slot", (i + 1).cast("long")))
+    return rows.select(*keys, F.array_sort(F.concat(cues, loops)).alias("points"))

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, CueConfig
-from ..functions.elements import encode_color
-from ..functions.text import format_position, sanitize_xml_text
+from ..functions.text import sanitize_xml_text
 from ..schemas import POI
 
 
@@ -25,27 +23,21 @@ def removed_count(pois: Column) -> Column:
     return F.size(F.filter(F.coalesce(pois, F.array().cast(f"array<{POI}>")), lambda p: is_replaceable_poi(p["_Type"], p["_Num"])))
 
 
-def as_poi(cfg: CueConfig = DEFAULT) -> Column:
-    """A document's point from columns name, t, num, color, kind, beats, slot."""
-    return F.struct(
-        F.col("name").alias("_Name"), format_position(F.col("t")).alias("_Pos"), F.col("num").alias("_Num"), encode_color(F.col("color"), cfg).alias("_Color"),
-        F.col("kind").alias("_Type"), F.col("beats").cast("string").alias("_Size"), F.col("slot").cast("string").alias("_Slot"),
-    )
-
-
 def color_comment(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, comment): the track's colours, sorted, with spaces between."""
     colors = F.array_join(F.array_sort(F.collect_set("color")), " ")
     return points.groupBy(*keys).agg(sanitize_xml_text(colors).alias("comment"))
 
 
-def collected_points(points: DataFrame, marks: DataFrame, keys: list[str], cfg: CueConfig = DEFAULT) -> DataFrame:
-    """(keys, new_pois, comment) for every track in `marks` (keys), from chronological points."""
-    made = points.select(*keys, F.struct("ord", as_poi(cfg).alias("poi")).alias("p"), "color")
-    rows = made.unionByName(marks.select(*keys), allowMissingColumns=True)
-    ordered = F.transform(F.array_sort(F.collect_list("p")), lambda x: x["poi"])
-    colors = F.array_join(F.array_sort(F.collect_set("color")), " ")
-    return rows.groupBy(*keys).agg(ordered.alias("new_pois"), sanitize_xml_text(colors).alias("comment"))
+def collected_points(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, new_pois, comment) of tracks (keys, points), as `points_of_tracks` makes them."""
+    text = lambda c: c.cast("string")
+    poi = lambda p: F.struct(
+        p["name"].alias("_Name"), p["at"].alias("_Pos"), p["num"].alias("_Num"), p["code"].alias("_Color"),
+        F.when(p["looped"], "loop").otherwise("cue").alias("_Type"), text(p["beats"]).alias("_Size"), text(p["slot"]).alias("_Slot"),
+    )
+    colors = F.array_join(F.array_sort(F.array_distinct(F.transform("points", lambda p: p["color"]))), " ")
+    return points.select(*keys, F.transform("points", poi).alias("new_pois"), sanitize_xml_text(colors).alias("comment"))
 
 
 def replace_pois(old: Column, new: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ KEY = ["library_id", "nfc_path"]
 
 
 def with_key(df: DataFrame, path: str = "path") -> DataFrame:
-    return df.withColumn("nfc_path", nfc_path(F.col(path)))
+    """`df` with `nfc_path`; a null path's is empty. Never null, so that no join asks for it twice to look for nulls."""
+    return df.withColumn("nfc_path", F.coalesce(nfc_path(F.col(path)), F.lit("")))
 
 
 def input_union(*inputs: DataFrame) -> DataFrame:
@@ -48,7 +51,8 @@ def _number(text: Column) -> Column:
 
 
 def attributes(library: DataFrame, on: list[str]) -> DataFrame:
-    """Length, BPM and grid start for each key: each from the first song (by `song_ord`) that has a usable one.
+    """Length, BPM and grid start for each key: each from the first song (by `song_ord`) that has a usable one; `first_ord`
+    is the first song's place.
 
     `library` has song_length, scan_bpm and tags_bpm as text or numbers, and grid_pos.
     """
@@ -61,6 +65,7 @@ def attributes(library: DataFrame, on: list[str]) -> DataFrame:
     return library.groupBy(*on).agg(
         first(length, F.col("song_length").isNotNull()).alias("song_length"), first(bpm, usable).alias("bpm"),
         first(_number(F.col("grid_pos")), F.col("grid_pos").isNotNull()).alias("grid_pos"),
+        F.min("song_ord").alias("first_ord"),
     )
 
 
@@ -69,42 +74,52 @@ def attribute_maps(library: DataFrame) -> DataFrame:
     dealt = library.repartition(*KEY)
     by_path = attributes(dealt, [*KEY, "path"])
     entry = F.struct("path", F.struct("song_length", "bpm", "grid_pos"))
-    return by_path.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(entry)).alias("spellings"))
+    return by_path.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(entry)).alias("spellings"), F.min("first_ord").alias("first_ord"))
 
 
 def with_attributes(tracks: DataFrame, library: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
-    """`tracks` (library_id, path, nfc_path) that are in the library, with song_length, bpm and grid_pos.
+    """`tracks` (library_id, path, nfc_path) that are in the library, with song_length, bpm, grid_pos and
+    first_ord, the place of the first song with the path in whatever spelling.
 
     A path that isn't spelled as in the library has none of them, unless `attribute_key` is "nfc".
     """
+    # by the path as written: a condition on its normal form would be asked of the other side too, normalising twice
+    songs = library.where("path <> ''")
     if cfg.attribute_key == "nfc":
-        return tracks.join(attributes(library.where("nfc_path <> ''"), KEY), KEY)
-    found = tracks.join(attribute_maps(library.where("nfc_path <> ''")), KEY)
+        return tracks.join(attributes(songs, KEY), KEY)
+    found = tracks.join(attribute_maps(songs), KEY)
     a = F.try_element_at("spellings", F.col("path"))
-    return found.select(*tracks.columns, a["song_length"].alias("song_length"), a["bpm"].alias("bpm"), a["grid_pos"].alias("grid_pos"))
+    return found.select(*tracks.columns, a["song_length"].alias("song_length"), a["bpm"].alias("bpm"), a["grid_pos"].alias("grid_pos"), "first_ord")
+
+
+def _checkpointed(rows: DataFrame) -> DataFrame:
+    """The rows as they are now, in the folder that `spark.checkpoint.dir` names (a temporary one if unset in local mode)."""
+    sc = rows.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="tracklark-"))
+    return rows.checkpoint()
 
 
-def assign_batches(inventory: DataFrame, order: list[str], size: int = DEFAULT.batch_size, limit: int | None = None, ranges: int = 256) -> DataFrame:
+def assign_batches(inventory: DataFrame, order: list[str], size: int = DEFAULT.batch_size, limit: int | None = None) -> DataFrame:
     """`inventory` with `idx` (position in order) and `batch_id` (position // size); the first `limit` rows, if given.
 
-    No window spans the whole table: a fixed number of rows, chosen by hash, cut the order into ranges; rows are
-    numbered within their range, and the ranges' counts are summed up. The cuts only spread the work.
+    The sort deals the rows into ranges of about equal size, as many as shuffles have partitions. Rows are numbered within
+    their range, and the ranges' counts are summed up. Rows that are equal in `order` stand in the order of a hash of
+    all their columns.
     """
-    key = F.struct(*order)
-    chosen = inventory.select(key.alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(ranges).collect()  # at most `ranges` keys
-    cuts = [F.struct(*(F.lit(v).alias(c) for v, c in zip(k, order, strict=True))) for k in sorted((r["k"] for r in chosen), key=lambda k: [(v is not None, v) for v in k])]
-    step = 16
-    passed = lambda some: F.size(F.filter(some, lambda c: c <= F.col("__key")))
-    coarse = passed(F.array(*cuts[step - 1 :: step])) if len(cuts) >= step else F.lit(0)
-    fine = passed(F.slice(F.array(*cuts), F.col("__coarse") * step + 1, step)) if cuts else F.lit(0)
-    rows = inventory.withColumn("__key", key).withColumn("__coarse", coarse).withColumn("__range", F.col("__coarse") * step + fine).drop("__coarse")
+    tie = F.xxhash64(*inventory.columns)
+    rows = _checkpointed(inventory.orderBy(*order, tie).withColumn("__id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("__range", F.shiftright("__id", 33))
     counts = rows.groupBy("__range").agg(F.count("*").alias("__n"))
-    counts = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__range").orderBy("__key"))
-    rows = rows.withColumn("__at", within).join(counts, "__range").withColumn("idx", F.col("__before") + F.col("__at") - 1)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    counts = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    rows = rows.join(counts, "__range").withColumn("idx", F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1))
     if limit:
         rows = rows.where(F.col("idx") < limit)
-    return rows.withColumn("batch_id", F.floor(F.col("idx") / size).cast("long")).drop("__key", "__range", "__at", "__before")
+    return rows.withColumn("batch_id", F.floor(F.col("idx") / size).cast("long")).drop("__id", "__range", "__before")
 
 
 def latest_analysis(analyses: DataFrame, on: list[str] = KEY) -> DataFrame:

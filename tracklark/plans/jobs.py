@@ -10,20 +10,16 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, CueConfig
 from ..functions.elements import cue_base_name, decode_color, known
 from ..functions.text import basename, capitalize, one_decimal
-from ..operators.candidates import align, explode_candidates, explode_cues, explode_loops, new_points, number_cues, select_loops
+from ..operators.candidates import align, explode_cues, explode_loops, points_of_tracks, select_loops
 from ..operators.pois import collected_points, replace_pois
 from ..operators.tracks import KEY, latest_analysis, with_attributes, with_key
 
 
-def _points(found: DataFrame, keys: list[str], cfg: CueConfig) -> DataFrame:
-    cues = number_cues(found.where("kind = 'cue'"), keys)
-    loops = select_loops(found.where("kind = 'loop'"), keys, cfg)
-    return new_points(cues, loops, keys)
-
-
 def make_points(tracks: DataFrame, keys: list[str], cfg: CueConfig = DEFAULT) -> DataFrame:
-    """New points of tracks (keys, bpm, song_length, grid_pos, measure_changes, loop_segments), in time order."""
-    return _points(align(explode_candidates(tracks, cfg), cfg), keys, cfg)
+    """New points of tracks (keys, bpm, song_length, grid_pos, measure_changes, loop_segments), in time order (`ord` from 1)."""
+    rows = points_of_tracks(tracks, keys, cfg).select(*keys, F.posexplode("points").alias("ord", "p"))
+    kind = F.when(F.col("p.looped"), "loop").otherwise("cue").alias("kind")
+    return rows.select(*keys, "p.t", kind, "p.made", "p.num", "p.name", "p.color", "p.beats", (F.col("ord") + 1).cast("long").alias("ord"), "p.slot")
 
 
 def annotate_library(library: DataFrame, analyses: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
@@ -31,21 +27,18 @@ def annotate_library(library: DataFrame, analyses: DataFrame, cfg: CueConfig = D
 
     `library`: library_id, song_ord, path, nfc_path, song_length, scan_bpm, tags_bpm, grid_pos, pois, comments.
     `analyses`: library_id, path, batch_id, idx, measure_changes, loop_segments; the last one of a track counts.
-    Of songs with the same path the first is edited; songs without a path are not. One hash partitioning on the track's
-    key serves joins, windows and aggregations.
+    Of songs with the same path the first is edited; songs without a path are not. Three exchanges, all on the track's
+    key: the analyses, the attributes of the library, and its songs; candidates are exploded and collected between them.
     """
     latest = latest_analysis(with_key(analyses.select("library_id", "path", "batch_id", "idx", "measure_changes", "loop_segments")))
     tracks = with_attributes(latest, library, cfg)
-    found = align(explode_candidates(tracks, cfg), cfg)
-    new = collected_points(_points(found, KEY, cfg), found.where("kind = 'track'"), KEY, cfg)
-    new = new.withColumnRenamed("nfc_path", "__nfc").withColumn("__edited", F.lit(True))
+    new = collected_points(points_of_tracks(tracks, [*KEY, "first_ord"], cfg), [*KEY, "first_ord"])
     # old points stay nested in their song's row; songs without a path get keys of their own
     own = F.concat(F.lit("\x00"), F.col("song_ord").cast("string"))
     songs = library.withColumn("__nfc", F.when(F.col("nfc_path") != "", F.col("nfc_path")).otherwise(own))
-    in_order = Window.partitionBy("library_id", "__nfc").orderBy("song_ord")
-    songs = songs.withColumn("__first", F.row_number().over(in_order) == 1).join(new, ["library_id", "__nfc"], "left")
-    edited = F.coalesce("__edited", F.lit(False)) & F.col("__first")
-    comments = F.concat(F.array(F.coalesce("comment", F.lit(""))), F.slice("comments", 2, 1_000_000))
+    songs = songs.join(new.withColumnRenamed("nfc_path", "__nfc"), ["library_id", "__nfc"], "left")
+    edited = F.coalesce(F.col("first_ord") == F.col("song_ord"), F.lit(False))
+    comments = F.concat(F.array(F.coalesce("comment", F.lit(""))), F.filter("comments", lambda c, i: i > 0))
     return songs.withColumn("pois", F.when(edited, replace_pois(F.col("pois"), F.col("new_pois"))).otherwise(F.col("pois"))).withColumn("comments", F.when(edited, comments).otherwise(F.col("comments"))).select(*library.columns)
 
 

@@ -183,7 +183,7 @@ def j3_first_song(spark, d):
 
 def j4_track_attributes(spark, d):
     songs = _t(spark, d).select("custkey", F.col("k").alias("song_ord"), "song_length", "scan_bpm", "tags_bpm", F.col("beatgrid_pos").alias("grid_pos"))
-    return tracks.attributes(songs, ["custkey"])
+    return tracks.attributes(songs, ["custkey"]).drop("first_ord")
 
 
 def j5_analyses_to_tracks(spark, d):
