@@ -13,7 +13,7 @@ from tracklark.plans import derived, jobs
 from tracklark.sources import analyses as responses
 from tracklark.sources import library as documents
 from tracklark.sources.inventory import audio_inventory
-from tracklark.streaming.incremental import annotate_incremental, latest_version
+from tracklark.streaming.incremental import annotate_incremental, latest_version, library_at, write_first_version
 
 from .conftest import SF
 
@@ -170,14 +170,27 @@ def test_properties(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     library, analysed = derived.library(spark, SF).where("song_ord % 5 = 1"), derived.library_analyses(spark, SF).where("batch_id % 3 = 0")
-    library.write.parquet(str(tmp_path / "lib/v=0"))
+    write_first_version(library, str(tmp_path / "lib"))
     analysed.select("library_id", "path", "batch_id", "idx", F.to_json(F.struct("measure_changes", "loop_segments")).alias("raw")).repartition(2, "batch_id").write.json(str(tmp_path / "in"))
     (tmp_path / "in" / "bad.json").write_text(json.dumps({"library_id": "lib1", "path": "/music/none.mp3", "batch_id": 9999, "idx": 0, "raw": "broken"}))
     annotate_incremental(spark, str(tmp_path / "in"), str(tmp_path / "lib"), str(tmp_path / "cp"), files_per_batch=1).awaitTermination()
-    got = latest_version(spark, str(tmp_path / "lib")).orderBy("library_id", "song_ord").collect()
+    got = latest_version(spark, str(tmp_path / "lib")).select(library.columns).orderBy("library_id", "song_ord").collect()
     assert got == jobs.annotate_library(library, analysed).orderBy("library_id", "song_ord").collect()
 
 
+def test_stream_writes_only_what_it_touches(spark, tmp_path):
+    library, analysed = derived.library(spark, SF), derived.library_analyses(spark, SF).where("library_id = 'lib1'")
+    write_first_version(library, str(tmp_path / "lib"))
+    raw = analysed.select("library_id", "path", "batch_id", "idx", F.to_json(F.struct("measure_changes", "loop_segments")).alias("raw"))
+    for n in (0, 1, 2):
+        raw.where(f"batch_id % 3 = {n}").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    annotate_incremental(spark, str(tmp_path / "in"), str(tmp_path / "lib"), str(tmp_path / "cp"), files_per_batch=1).awaitTermination()
+    folders = {f"{p.parent.name}/{p.name}" for p in (tmp_path / "lib").glob("v=*/library_id=*")}
+    assert folders == {"v=0/library_id=lib0", "v=0/library_id=lib2", "v=0/library_id=lib3", "v=2/library_id=lib1", "v=3/library_id=lib1"}
+    rows = lambda t: t.select(library.columns).orderBy("library_id", "song_ord").collect()
+    assert rows(library_at(spark, str(tmp_path / "lib"), 3)) == rows(jobs.annotate_library(library, analysed))
+
+
 def test_plan_shape(spark, tmp_path):
     """Annotating stored tables: one exchange for each of the analyses, the attributes and the songs, and no other."""
     derived.library(spark, SF).write.parquet(str(tmp_path / "library"))

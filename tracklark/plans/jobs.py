@@ -44,7 +44,12 @@ def annotate_library(library: DataFrame, analyses: DataFrame, cfg: CueConfig = D
 
 def annotated_points(library: DataFrame, analyses: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
     """The points of the annotated library, a row each, in document order."""
-    rows = annotate_library(library, analyses, cfg).select("library_id", "path", "song_ord", F.posexplode("pois").alias("poi_ord", "p"))
+    return poi_rows(annotate_library(library, analyses, cfg))
+
+
+def poi_rows(library: DataFrame) -> DataFrame:
+    """A row for each point of a library's songs."""
+    rows = library.select("library_id", "path", "song_ord", F.posexplode("pois").alias("poi_ord", "p"))
     return rows.select("library_id", "path", "song_ord", F.col("poi_ord").cast("long").alias("poi_ord"), F.col("p._Type").alias("type"), F.col("p._Num").alias("num"), F.col("p._Slot").alias("slot"), F.col("p._Name").alias("name"), F.col("p._Pos").alias("pos"), F.col("p._Color").alias("color"), F.col("p._Size").alias("size"))
 
 

@@ -86,6 +86,8 @@ TABLES = {
     "oldpoints": "SELECT k, pos, (['cue', 'loop', 'beatgrid'])[linenumber % 3 + 1] AS type, ([NULL, '0', '-1', '2', '00'])[suppkey % 5 + 1] AS num FROM candidates",
     "statuses": "SELECT k, k // 5 AS batch_id, CASE WHEN k % 10 = 0 THEN 'not_on_disk' WHEN k % 3 = 0 THEN 'not_in_library' WHEN k % 7 = 0 THEN 'analysis_failed' ELSE 'applied' END AS status FROM tracks",
 }
+#: A song's points before any annotation, as text.
+OLD = "beatgrid:0.05|cue:1:old:1.0:4278190335|cue:0:keep:2.0"
 REPLACEABLE = "type IN ('cue', 'loop') AND coalesce(num, '0') <> '0'"
 
 
@@ -136,8 +138,8 @@ ORACLE_SQL = {
         "j2_tracks_missing": f"SELECT k, file_path {T} WHERE k % 3 = 0",
         "j3_first_song": f"SELECT '/music/' || custkey AS path, min(k) AS song_ord {T} GROUP BY custkey",
         "j4_track_attributes": f"SELECT custkey, arg_min(song_length, k) FILTER (song_length IS NOT NULL) AS song_length, arg_min(bpm, k) FILTER (bpm IS NOT NULL) AS bpm, arg_min(beatgrid_pos, k) FILTER (beatgrid_pos IS NOT NULL) AS grid_pos FROM (SELECT *, {BPM} AS bpm {T} ) GROUP BY custkey",
-        "j5_analyses_to_tracks": f"SELECT k, file_path, cues, loops {T} JOIN sized USING (k)",
-        "j6_batch_position_join": f"SELECT k, k // 5 AS batch_id, cues IS NULL OR k % 4 = 0 AS failed, CASE WHEN k % 4 = 0 THEN 0 ELSE coalesce(cues, 0) END AS cues {T} LEFT JOIN sized USING (k)",
+        "j5_analyses_to_tracks": f"SELECT k, file_path, cues, loops, printf('%.3f', coalesce(seconds, 0e0)) AS seconds {T} JOIN sized USING (k)",
+        "j6_batch_position_join": f"SELECT k, k // 5 AS batch_id, cues IS NULL OR k % 4 = 0 AS failed, CASE WHEN k % 4 = 0 THEN 0 ELSE coalesce(cues, 0) END AS cues, printf('%.3f', CASE WHEN k % 4 = 0 THEN 0e0 ELSE coalesce(seconds, 0e0) END) AS seconds {T} LEFT JOIN sized USING (k)",
         "j7_candidates_before_end": f"SELECT k, pos, kind FROM aligned WHERE CASE WHEN kind = 'cue' THEN {CUE_FITS} ELSE {LOOP_FITS} END",
         "j8_nearest_downbeat": "SELECT kind, count(*) AS candidates, count(*) FILTER (t <> ts) AS moved FROM aligned GROUP BY kind",
         "a1_color_comment": "SELECT k, comment FROM comments",
@@ -158,11 +160,14 @@ ORACLE_SQL = {
         "w8_latest_analysis": f"SELECT partkey, batch_id, idx FROM (SELECT partkey, k // 5 AS batch_id, k * 10 + pos AS idx {C} ) QUALIFY row_number() OVER (PARTITION BY partkey ORDER BY batch_id DESC, idx DESC) = 1",
         "u1_replace_pois": "SELECT path, count(*) AS points, count(*) FILTER (name IN ('old', 'keep') OR type = 'beatgrid') AS kept FROM annotated GROUP BY path",
         "u2_upsert_library": "SELECT library_id, k AS song_ord, file_path AS path, CASE WHEN edited THEN comment ELSE 'old' END || '|second' AS comments FROM songs JOIN comments USING (k)",
-        "u3_input_union": rf"SELECT arg_ord, k FROM (SELECT 0::bigint AS arg_ord, * {T} WHERE k % 2 = 0 UNION ALL SELECT 1, * {T} WHERE k % 3 = 0) WHERE regexp_matches(lower(file_path), '\.(mp3|flac|wav|m4a|aac|ogg|opus|mpeg)$')",
-        "s2_read_library": f"SELECT file_path AS path, song_length::varchar AS song_length, '0.05' AS grid_pos, 3::bigint AS points, 'old|second' AS comments {T}",
+        "u3_input_union": rf"SELECT arg_ord, k FROM (SELECT 0::bigint AS arg_ord, * {T} WHERE k % 3 <> 0 UNION ALL SELECT 1, * {T} WHERE k % 2 = 0) WHERE regexp_matches(lower(file_path), '\.(mp3|flac|wav|m4a|aac|ogg|opus|mpeg)$')",
+        "s2_read_library": f"SELECT file_path AS path, song_length::varchar AS song_length, '0.05' AS grid_pos, '{OLD}' AS contents, 'old|second' AS comments {T}",
+        "k1_export_library": "SELECT library_id, path, poi_ord, type, num, slot, name, pos, color, size FROM annotated",
+        "k2_publish_library": f"SELECT file_path AS path, song_length, scan_bpm, tags_bpm, 0.05e0 AS grid_pos, '{OLD}' AS contents, 'old|second' AS comments {T}",
+        "k3_snapshot_library": f"SELECT 'lib' || (k % 4)::varchar AS library_id, k AS song_ord, file_path AS path, '{OLD}' AS contents, 'old|second' AS comments {T}",
         "s3_repair_library_text": f"SELECT k, pos, '<VirtualDJ_Database><Song>' || pos || '</Song></VirtualDJ_Database>' AS repaired {C}",
         "s4_read_analyses": "SELECT k, k % 11 = 0 OR k % 13 = 0 AS failed, CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN 0 ELSE cues END AS cues, printf('%.3f', CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN 0e0 ELSE coalesce(seconds, 0e0) END) AS seconds FROM sized",
-        "s5_read_batch_analyses": "SELECT k // 5 AS batch_id, row_number() OVER (PARTITION BY k // 5 ORDER BY k) - 1 AS idx, cues, loops FROM sized",
+        "s5_read_batch_analyses": "SELECT k // 5 AS batch_id, row_number() OVER (PARTITION BY k // 5 ORDER BY k) - 1 AS idx, cues, loops, printf('%.3f', coalesce(seconds, 0e0)) AS seconds FROM sized",
         "b1_annotate_library": "SELECT library_id, path, song_ord, poi_ord, type, num, slot, name, pos, color, size FROM annotated",
         "b2_preview": f"""SELECT k, kind, place + 1 AS n, coalesce(name, CASE kind WHEN 'cue' THEN 'cue' || (place + 1) ELSE 'loop' || (place + 1) || 'l' END) AS name, printf('%.1f', ts) AS at, {SHOWN.replace('x', 'color')} AS color, CASE kind WHEN 'loop' THEN coalesce(length_beats, 16e0) END AS beats, array_to_string(elements, ',') AS elements FROM aligned a WHERE place < CASE kind WHEN 'cue' THEN 6 ELSE 3 END""",
         "b3_preview_detailed": f"SELECT k, 'cue' AS kind, place + 1 AS n, coalesce(nullif(name, ''), {_base("(place + 1)::varchar")}) AS name, printf('%.1f', t) AS at, {SHOWN.replace('x', 'color')} AS color, NULL::double AS beats FROM aligned WHERE kind = 'cue' AND a.place < 6 UNION ALL SELECT k, 'loop', row_number() OVER (PARTITION BY k ORDER BY t, rank), ln, printf('%.1f', t), {SHOWN.replace('x', 'color')}, coalesce(length_beats, 16e0) FROM ({_SINGLE_FIRST % _loop(False)}) WHERE rank <= 3".replace("FROM aligned WHERE kind = 'cue' AND a.place", "FROM aligned a WHERE kind = 'cue' AND a.place"),
@@ -170,6 +175,6 @@ ORACLE_SQL = {
         "b5_track_status": "SELECT k, batch_id, status FROM statuses",
         "k4_run_report": "SELECT batch_id, count(*) AS tracks, count(*) FILTER (status = 'applied') AS applied FROM statuses GROUP BY ROLLUP (batch_id)",
         "b6_color_index": "SELECT color, type, path, pos, name FROM found",
-        "t1_annotate_incremental": "SELECT library_id, k AS song_ord, file_path AS path, CASE WHEN edited THEN comment ELSE 'old' END || '|second' AS comments FROM songs JOIN comments USING (k)",
+        "t1_annotate_incremental": "SELECT library_id, k AS song_ord, file_path AS path, CASE WHEN edited THEN comment ELSE 'old' END || '|second' AS comments, n AS points FROM songs JOIN comments USING (k) JOIN (SELECT song_ord AS k, count(*) AS n FROM annotated GROUP BY song_ord) USING (k)",
     }.items()
 }

@@ -188,13 +188,13 @@ def j4_track_attributes(spark, d):
 
 def j5_analyses_to_tracks(spark, d):
     joined = _t(spark, d).select("k", "file_path").join(derived.analyses(spark, d), "k")
-    return joined.select("k", "file_path", F.size("measure_changes").cast("long").alias("cues"), F.size("loop_segments").cast("long").alias("loops"))
+    return joined.select("k", "file_path", F.size("measure_changes").cast("long").alias("cues"), F.size("loop_segments").cast("long").alias("loops"), _seconds())
 
 
 def j6_batch_position_join(spark, d):
     files = _t(spark, d).select("k", F.expr("k div 5").alias("batch_id"), (F.col("k") % 5).alias("idx_in_batch"))
     results = derived.analyses(spark, d).where("k % 4 <> 0").select(F.expr("k div 5").alias("batch_id"), (F.col("k") % 5).alias("idx"), "measure_changes", "loop_segments")
-    return responses.batch_position_join(files, results).select("k", "batch_id", "failed", F.coalesce(F.size("measure_changes"), F.lit(0)).cast("long").alias("cues"))
+    return responses.batch_position_join(files, results).select("k", "batch_id", "failed", F.coalesce(F.size("measure_changes"), F.lit(0)).cast("long").alias("cues"), _seconds())
 
 
 def j7_candidates_before_end(spark, d):
@@ -298,7 +298,7 @@ def u2_upsert_library(spark, d):
 
 def u3_input_union(spark, d):
     t = _t(spark, d).select("k", "file_path")
-    return tracks.audio_only(tracks.input_union(t.where("k % 2 = 0"), t.where("k % 3 = 0")), "file_path").select(F.col("arg_ord").cast("long").alias("arg_ord"), "k")
+    return tracks.audio_only(tracks.input_union(t.where("k % 3 <> 0"), t.where("k % 2 = 0")), "file_path").select(F.col("arg_ord").cast("long").alias("arg_ord"), "k")
 
 
 def s2_read_library(spark, d):
@@ -306,7 +306,7 @@ def s2_read_library(spark, d):
     path = _scratch(spark, "library")
     documents.write_library(derived.library(spark, d), path)
     back = documents.read_export(spark, path)
-    return back.select("path", "song_length", "grid_pos", F.size("pois").cast("long").alias("points"), F.array_join("comments", "|").alias("comments"))
+    return back.select("path", "song_length", "grid_pos", _contents().alias("contents"), F.array_join("comments", "|").alias("comments"))
 
 
 def s3_repair_library_text(spark, d):
@@ -323,15 +323,20 @@ def _responses(spark, d):
 
 def s4_read_analyses(spark, d):
     parsed = responses.read_analyses(_responses(spark, d))
+    return parsed.select("k", "failed", F.coalesce(F.size("measure_changes"), F.lit(0)).cast("long").alias("cues"), _seconds())
+
+
+def _seconds():
+    """The sum of the cues' times as text."""
     total = F.aggregate("measure_changes", F.lit(0.0), lambda s, c: s + c["timestamp"])
-    return parsed.select("k", "failed", F.coalesce(F.size("measure_changes"), F.lit(0)).cast("long").alias("cues"), F.format_string("%.3f", F.coalesce(total, F.lit(0.0))).alias("seconds"))
+    return F.format_string("%.3f", F.coalesce(total, F.lit(0.0))).alias("seconds")
 
 
 def s5_read_batch_analyses(spark, d):
     a = derived.analyses(spark, d).withColumn("batch_id", F.expr("k div 5"))
     listed = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("k", "measure_changes", "loop_segments"))), lambda x: x.dropFields("k")))
     raw = a.groupBy("batch_id").agg(listed.alias("list")).select("batch_id", F.when(F.col("batch_id") % 2 == 0, F.col("list")).otherwise(F.concat(F.lit('{"analyses":'), "list", F.lit("}"))).alias("raw"))
-    return responses.read_batch_analyses(raw).select("batch_id", "idx", F.size("measure_changes").cast("long").alias("cues"), F.size("loop_segments").cast("long").alias("loops"))
+    return responses.read_batch_analyses(raw).select("batch_id", "idx", F.size("measure_changes").cast("long").alias("cues"), F.size("loop_segments").cast("long").alias("loops"), _seconds())
 
 
 def b1_annotate_library(spark, d):
@@ -370,15 +375,44 @@ def b6_color_index(spark, d):
 
 def t1_annotate_incremental(spark, d):
     """Responses arriving in files; the final library, to be equal to that of one batch."""
-    from .streaming.incremental import annotate_incremental, latest_version
+    from .streaming.incremental import annotate_incremental, latest_version, write_first_version
 
     path = _scratch(spark, "incremental")
-    derived.library(spark, d).write.parquet(f"{path}/library/v=0")
+    write_first_version(derived.library(spark, d), f"{path}/library")
     a = derived.library_analyses(spark, d)
     a.select("library_id", "path", "batch_id", "idx", F.to_json(F.struct("measure_changes", "loop_segments")).alias("raw")).repartition(3, "batch_id").write.json(f"{path}/responses")
     annotate_incremental(spark, f"{path}/responses", f"{path}/library", f"{path}/checkpoint", files_per_batch=1).awaitTermination()
     rows = latest_version(spark, f"{path}/library")
-    return rows.select("library_id", "song_ord", "path", F.array_join("comments", "|").alias("comments"))
+    return rows.select("library_id", "song_ord", "path", F.array_join("comments", "|").alias("comments"), F.size("pois").cast("long").alias("points"))
+
+
+def k1_export_library(spark, d):
+    """The points of the annotated library after an export and the reading of it."""
+    path = _scratch(spark, "export")
+    documents.write_library(jobs.annotate_library(derived.library(spark, d), derived.library_analyses(spark, d)), path)
+    return jobs.poi_rows(documents.read_export(spark, path)).drop("song_ord")
+
+
+def k2_publish_library(spark, d):
+    """The songs and points of a checked and published export, by the reader of well-formed files."""
+    path = _scratch(spark, "publish")
+    if not documents.publish(derived.library(spark, d), spark, f"{path}/staging", f"{path}/out"):
+        raise RuntimeError("the export isn't what was written")
+    number = lambda c: F.col(c).cast("double").alias(c)
+    rows = documents.read_library(spark, f"{path}/out/*/*")
+    return rows.select("path", number("song_length"), number("scan_bpm"), number("tags_bpm"), number("grid_pos"), _contents().alias("contents"), F.array_join("comments", "|").alias("comments"))
+
+
+def k3_snapshot_library(spark, d):
+    path = _scratch(spark, "snapshots")
+    documents.snapshot_library(derived.library(spark, d), path, "20250101_000000")
+    rows = spark.read.parquet(f"{path}/snapshot=20250101_000000")
+    return rows.select("library_id", "song_ord", "path", _contents().alias("contents"), F.array_join("comments", "|").alias("comments"))
+
+
+def _contents():
+    """A song's points as text; what is null is left out."""
+    return F.array_join(F.transform("pois", lambda p: F.concat_ws(":", p["_Type"], p["_Num"], p["_Name"], p["_Pos"], p["_Color"])), "|")
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -387,7 +421,11 @@ def _scratch(spark: SparkSession, name: str) -> str:
     import uuid
 
     sc = spark.sparkContext
-    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tracklark-")
+    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tracklark-")
     path = f"{base}/{name}-{uuid.uuid4().hex}"
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -1,9 +1,14 @@
-"""Incremental annotation: analyses that arrive as files are applied batch by batch; the library table is the state."""
+"""Incremental annotation: analyses that arrive as files are applied batch by batch; the library table is the state.
+
+The table has a folder v=<version>/library_id=<id> for each version in which a library was written: version 0 holds all
+of them, and each micro-batch only those that it has analyses for. A library stands as its newest folder says.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT, CueConfig
@@ -13,26 +18,61 @@ from ..sources.analyses import read_analyses
 RAW = "library_id string, path string, batch_id long, idx long, raw string"
 
 
+def write_first_version(library: DataFrame, path: str) -> None:
+    library.write.partitionBy("library_id").parquet(f"{path}/v=0")
+
+
+def library_at(spark: SparkSession, library: str, version: int) -> DataFrame:
+    """The library table as it stood at a version. Folders of later versions are not read, whole or not."""
+    stored = [f for f in spark.read.parquet(library).schema if f.name not in ("v", "library_id")]
+    schema = T.StructType([*stored, T.StructField("v", T.LongType()), T.StructField("library_id", T.StringType())])
+    rows = spark.read.schema(schema).parquet(library).where(F.col("v") <= version)
+    newest = rows.groupBy("library_id").agg(F.max("v").alias("v"))  # of folder names; a row for each library
+    return rows.join(newest, ["library_id", "v"]).drop("v")
+
+
 def annotate_incremental(spark: SparkSession, responses: str, library: str, checkpoint: str, files_per_batch: int = 100, cfg: CueConfig = DEFAULT) -> StreamingQuery:
     """Apply JSON-lines response files (library_id, path, batch_id, idx, raw) under `responses` to the library table.
 
-    `library` holds versions v=0, 1, ...: micro-batch n reads the version that stood before it and writes v=n+1, so a
-    batch that is run again writes the same. A response that can't be parsed leaves its track as it was; later responses
-    for a track replace earlier ones. Stops when all files that are there have been applied.
+    Micro-batch n reads the table as of version n and writes version n+1 of the libraries that it has analyses for, so a
+    batch that is run again writes the same. Folders that version n no longer needs are then deleted. A response that
+    can't be parsed leaves its track as it was; later responses for a track replace earlier ones. Stops when all files
+    that are there have been applied.
     """
     stream = spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).json(responses)
 
     def apply(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        before = session.read.parquet(f"{library}/v={number}")
         good = read_analyses(batch).where(~F.col("failed")).drop("failed")
-        annotate_library(before, good, cfg).write.mode("overwrite").parquet(f"{library}/v={number + 1}")
+        touched = library_at(session, library, number).join(good.select("library_id").distinct(), "library_id", "left_semi")
+        annotate_library(touched, good, cfg).write.mode("overwrite").partitionBy("library_id").parquet(f"{library}/v={number + 1}")
+        _expire(session, library, number)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, library: str) -> list[int]:
+    at, fs = _files(spark, library)
+    return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(at) if s.getPath().getName().startswith("v="))
+
+
+def _expire(spark: SparkSession, library: str, version: int) -> None:
+    """Deletes libraries' folders that neither `version` nor a later one reads."""
+    seen: set[str] = set()
+    for v in reversed([v for v in _versions(spark, library) if v <= version]):
+        at, fs = _files(spark, f"{library}/v={v}")
+        for s in fs.listStatus(at):
+            name = s.getPath().getName()
+            if name in seen:
+                fs.delete(s.getPath(), True)
+            elif name.startswith("library_id="):
+                seen.add(name)
+
+
 def latest_version(spark: SparkSession, library: str) -> DataFrame:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(library)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    last = max(int(s.getPath().getName()[2:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v="))
-    return spark.read.parquet(f"{library}/v={last}")
+    return library_at(spark, library, _versions(spark, library)[-1])
