@@ -24,26 +24,48 @@ DOCS = "doc_id long, text string"
 def brute_scores(rows, roles):
     """Base and model log10 probabilities by plain counting; weights by EM over single tokens."""
     texts = [[*words(t), lm.END] for _, t in rows]
-    count = lambda keep: (Counter(w for t, r in zip(texts, roles) if keep(r) for w in t), Counter(p for t, r in zip(texts, roles) if keep(r) for p in zip([lm.END, *t[:-1]], t)))
-    (u, b), (hu, hb) = count(lambda r: r != lm.OTHER), count(lambda r: r == lm.HELD)
-    n, v = sum(u.values()), len(u)
-    cells = Counter()
-    for t, r in zip(texts, roles):
-        if r == lm.HELD:
-            for h, w in zip([lm.END, *t[:-1]], t):
-                c, cw, p = u[h] - hu[h], u[w] - hu[w], b[h, w] - hb[h, w]
-                k2 = round(lm.STEP * math.log2(p / c * (v + 1))) if p else lm.NONE
-                k1 = round(lm.STEP * math.log2(cw / (n - sum(hu.values())) * (v + 1))) if cw else lm.NONE
-                cells[1 + int(math.log2(c)) if c else 0, k2, k1] += 1
-    weights = lm.learn_weights(sorted((*k, x) for k, x in cells.items()))
+
+    def count(keep):
+        some = [t for t, r in zip(texts, roles) if keep(r)]
+        grams = lambda k: Counter(g for t in some for g in zip(*([lm.END] * (k - 1 - i) + t for i in range(k))))
+        c = grams(1) + grams(2) + grams(3)
+        c[()] = sum(map(len, some))
+        # a pair of ends stands before each text
+        c[lm.END, lm.END] = len(some) if some else 0
+        return c, grams(2)
+
+    (c, pairs), (held, held_pairs) = count(lambda r: r != lm.OTHER), count(lambda r: r == lm.HELD)
+    n, v = c[()], sum(len(g) == 1 for g in c)
+    left, left_pairs = Counter(c), Counter(pairs)
+    left.subtract(held)
+    left_pairs.subtract(held_pairs)
+
+    def bucket(x):
+        return 1 + int(math.log2(x)) if x else 0
+
+    def step(estimate, base):
+        return round(lm.STEP * math.log2(estimate / base)) if estimate else lm.NONE
+
+    def short(c, pairs, h, w):
+        l = weights[bucket(c[h,])]
+        return l[0] * (pairs[h, w] / c[h,] if c[h,] else 0) + l[1] * c[w,] / max(1, c[()]) + l[2] / (v + 1)
+
+    deleted = [g for t, r in zip(texts, roles) if r == lm.HELD for g in zip([lm.END] * 2 + t, [lm.END, *t], t)]
+    cells = Counter((bucket(left[h,]), step(left_pairs[h, w] and left_pairs[h, w] / left[h,], 1 / (v + 1)), step(left[w,] / max(1, left[()]), 1 / (v + 1))) for _, h, w in deleted)
+    weights = lm.learn_weights(sorted((*k, x) for k, x in cells.items()), 3)
+    cells = Counter((bucket(left[g, h]), step(left[g, h, w] and left[g, h, w] / left[g, h], short(left, left_pairs, h, w))) for g, h, w in deleted)
+    long_weights = lm.learn_weights(sorted((*k, x) for k, x in cells.items()), 2)
     out = []
     for t in texts:
-        base = sum(math.log10((u[w] + 1) / (n + v + 1)) for w in t)
+        base = sum(math.log10((c[w,] + 1) / (n + v + 1)) for w in t)
         model = 0.0
-        for h, w in zip([lm.END, *t[:-1]], t):
-            l = weights[1 + int(math.log2(u[h])) if u[h] else 0]
-            model += math.log10(l[0] * (b[h, w] / u[h] if u[h] else 0) + l[1] * u[w] / max(1, n) + l[2] / (v + 1))
-        out.append((len(t), sum(u[w] > 0 for w in t), n, base, model))
+        for g, h, w in zip([lm.END] * 2 + t, [lm.END, *t], t):
+            p = short(c, pairs, h, w)
+            if c[g, h]:
+                l = long_weights[bucket(c[g, h])]
+                p = l[0] * c[g, h, w] / c[g, h] + l[1] * p
+            model += math.log10(p)
+        out.append((len(t), sum(c[w,] > 0 for w in t), n, base, model))
     return out
 
 
@@ -74,7 +96,7 @@ def test_language_model_beats_base_on_held_out(spark):
 
 
 def test_weights_sum_to_one():
-    w = lm.learn_weights([(3, 10, 4, 5.0), (3, lm.NONE, lm.NONE, 2.0), (0, lm.NONE, 3, 4.0)])
+    w = lm.learn_weights([(3, 10, 4, 5.0), (3, lm.NONE, lm.NONE, 2.0), (0, lm.NONE, 3, 4.0)], 3)
     assert w.sum(1) == pytest.approx(1) and (w > 0).all()
     assert w[3, 0] > w[3, 1]
 

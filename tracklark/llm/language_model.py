@@ -1,26 +1,31 @@
-"""A bigram language model by deleted interpolation, over all texts.
+"""A trigram language model by deleted interpolation, over all texts.
 
-P(w | h) = l2(b) c(h, w) / c(h) + l1(b) c(w) / N + l0(b) / (V + 1), where b is the bucket of the context's frequency c(h)
-(by powers of two, 0 for unseen contexts). The mixture weights of each bucket are learned by expectation-maximisation on
+P2(w | v) = l2(b) c(v, w) / c(v) + l1(b) c(w) / N + l0(b) / (V + 1), where b is the bucket of the context's frequency c(v)
+(by powers of two, 0 for unseen contexts), and P(w | u, v) = l3(b) c(u, v, w) / c(u, v) + (1 - l3(b)) P2(w | v), where b
+is the bucket of c(u, v); P2 alone where (u, v) is unseen. A text's first word has only the end of a text before it, so
+its longer context is that one too. The mixture weights of each bucket are learned by expectation-maximisation on
 held-out counts: one part of the training documents (HELD) is deleted from all counts, and the weights that make that
-part likeliest are found; the counts used for scoring are those of all training documents.
+part likeliest are found, first those of P2, then l3; the counts used for scoring are those of all training documents.
 
 How it runs. Tokens are never joined one by one:
-1. Each task turns its documents into chunks of about CHUNK tokens: a vocabulary of 64-bit word hashes and the texts as
-   numbers in it, written to the shared folder.
-2. Each chunk asks for the counts of its distinct words and pairs of words. Requests go to ranges of the hash space
-   as sorted blocks; however common a word pair is, a chunk names it once. A range adds up the training counts that the
-   requests carry and answers each chunk in the order of its keys.
-3. Chunks meet their answers, once to collect the held-out evidence and once to score.
-
-What is shuffled is proportional to the chunks' distinct pairs, a few bytes each; the number of ranges follows the
+1. Each task turns its documents into chunks of about CHUNK tokens, those of HELD documents apart: a vocabulary of 64-bit
+   word hashes and the texts as numbers in it, written to the shared folder.
+2. Each chunk asks for the counts of its distinct words, pairs and triples of words. Requests go to ranges of the hash
+   space as sorted blocks; however common an n-gram is, a chunk names it once. A range adds up the training counts that
+   the requests carry and answers each chunk in the order of its keys.
+3. Chunks meet their answers: those of HELD documents twice to collect evidence, all of them once to score.
+
+Words have 64-bit keys. The hashes of pairs and triples are cut to SPARE bits more than the number of tokens has, so that
+at any size an unseen one is taken for another with a chance of at most 2^-SPARE, and a sorted key costs about three bytes.
+
+What is shuffled is proportional to the chunks' distinct n-grams, a few bytes each; the number of ranges follows the
 number of tokens. Only the evidence for EM is collected: counts in cells of (bucket, log ratios), at most
 48 x 200 x 200 cells and some thousands in practice, whatever the input's size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,7 @@ from .text import WordHashes, mix, words
 
 CHUNK = 1_500_000
 RANGE = 3_000_000
+SPARE = 16  # bits of a pair's or triple's key beyond those of the number of tokens
 END = b"\n"  # no word holds white space
 STEP = 4  # cells to a factor of two
 TRAIN, HELD, OTHER = 0, 1, 2
@@ -52,7 +58,7 @@ def unsqueeze(data: bytes, kind: type) -> np.ndarray:
 
 
 class Chunk:
-    """Texts as numbers; the pairs and words they need, in the order of their hashes."""
+    """Texts as numbers; the words, pairs and triples they need, in the order of their hashes."""
 
     def __init__(self, vocabulary: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, roles: np.ndarray):
         self.lengths, self.roles = lengths, roles
@@ -66,66 +72,85 @@ class Chunk:
         end = self.word[self.starts + lengths - 1]
         self.context = np.concatenate([[0], self.word[:-1]]) if len(tokens) else self.word
         self.context[self.starts] = end
-        codes = self.context * len(order) + self.word
-        found, inverse = np.unique(codes, return_inverse=True)
-        keys = mix(self.word_keys[found // len(order)], self.word_keys[found % len(order)])
-        order = np.argsort(keys, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.pair_keys, self.pair = keys[order], rank[inverse]
-        self.role = np.repeat(roles, lengths)
-
-    def counts(self, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Times that each key is in training texts, and in the held part of them."""
-        return tuple(np.bincount(of[keep], minlength=n).astype(np.uint32) for keep in (self.role != OTHER, self.role == HELD))
+        ends = np.concatenate([[np.uint64(0)], self.word_keys])[end[:1] + 1]  # the key of END; none in an empty chunk
+        n_words = len(order)
+        self.pair_keys, self.pair = _numbered(self.context * n_words + self.word, lambda x: mix(self.word_keys[x // n_words], self.word_keys[x % n_words]))
+        # the pair before each token; at a text's start, two ends
+        before = np.concatenate([[0], self.pair[:-1]]) if len(tokens) else self.pair
+        before[self.starts] = len(self.pair_keys)
+        pairs = np.concatenate([self.pair_keys, mix(ends, ends)])
+        self.triple_keys, self.triple = _numbered(before * n_words + self.word, lambda x: mix(pairs[x // n_words], self.word_keys[x % n_words]))
+        self.trained = np.repeat(roles != OTHER, lengths)
+
+    def parts(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Keys and their numbers at each token, for words, pairs and triples."""
+        return [(self.word_keys, self.word), (self.pair_keys, self.pair), (self.triple_keys, self.triple)]
+
+    def found(self, counts: list[np.ndarray]) -> list[np.ndarray]:
+        """At each token the counts of the word, its context, the pair, the longer context and the triple."""
+        words, pairs, triples = counts
+        context = words[self.context]
+        longer = np.concatenate([[0], pairs[self.pair[:-1]]]) if len(self.pair) else context.copy()
+        longer[self.starts] = context[self.starts]
+        return [words[self.word], context, pairs[self.pair], longer, triples[self.triple]]
+
+
+def _numbered(codes: np.ndarray, key: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the distinct codes, and the place of each code's key among them."""
+    found, inverse = np.unique(codes, return_inverse=True)
+    keys = key(found)
+    order = np.argsort(keys, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return keys[order], rank[inverse]
 
 
 def _chunks(docs: DataFrame, role: str) -> DataFrame:
-    """A row for each chunk, from `doc_id`, `text` and the column `role`."""
+    """A row for each chunk, from `doc_id`, `text` and the column `role`; `held` chunks have HELD documents and no others."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"chunk long, doc_ids array<{kind}>, roles binary, lengths binary, vocabulary binary, tokens binary, n_tokens long, n_train long, n_held long"
+    schema = f"chunk long, held boolean, doc_ids array<{kind}>, roles binary, lengths binary, vocabulary binary, tokens binary, n_tokens long, n_train long"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    class Open:
+        """A chunk that still takes documents."""
+
+        def __init__(self):
+            self.index: dict[bytes, int] = {}
+            self.ids, self.roles, self.lengths, self.parts, self.total = [], [], [], [], 0
+
+        def add(self, doc_id: object, text: str | None, role: int) -> None:
+            tokens, index = [*words(text), END], self.index
+            for t in tokens:
+                if t not in index:
+                    index[t] = len(index)
+            self.parts.append(np.fromiter(map(index.__getitem__, tokens), np.uint32, len(tokens)))
+            self.ids.append(doc_id)
+            self.roles.append(role)
+            self.lengths.append(len(tokens))
+            self.total += len(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, hashes = TaskContext.get().partitionId() << 32, WordHashes()
-        index: dict[bytes, int] = {}
-        ids, roles, lengths, parts = [], [], [], []
-
-        def numbered(text: str | None) -> np.ndarray:
-            tokens = [*words(text), END]
-            try:
-                return np.fromiter(map(index.__getitem__, tokens), np.uint32, len(tokens))
-            except KeyError:
-                for t in tokens:
-                    if t not in index:
-                        index[t] = len(index)
-                return np.fromiter(map(index.__getitem__, tokens), np.uint32, len(tokens))
-
-        def flush() -> pa.RecordBatch:
+        open_chunks = {False: Open(), True: Open()}
+
+        def flush(held: bool) -> pa.RecordBatch:
             nonlocal number
-            n, r = np.array(lengths, np.int32), np.array(roles, np.uint8)
-            row = [number, ids.copy(), r.tobytes(), n.tobytes(), squeeze(hashes.of(list(index))), squeeze(np.concatenate(parts)), int(n.sum()), int(n[r != OTHER].sum()), int(n[r == HELD].sum())]
+            c, open_chunks[held] = open_chunks[held], Open()
+            n, r = np.array(c.lengths, np.int32), np.array(c.roles, np.uint8)
+            row = [number, held, c.ids, r.tobytes(), n.tobytes(), squeeze(hashes.of(list(c.index))), squeeze(np.concatenate(c.parts)), c.total, int(n[r != OTHER].sum())]
             number += 1
-            for x in (ids, roles, lengths, parts, index):
-                x.clear()
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names)
 
-        names = [x.split()[0] for x in schema.split(", ")]
-        kinds = [pa.int64(), None, *[pa.binary()] * 4, *[pa.int64()] * 3]
-        total = 0
+        kinds = [pa.int64(), pa.bool_(), None, *[pa.binary()] * 4, *[pa.int64()] * 2]
         for batch in batches:
-            kinds[1] = pa.list_(batch.schema.field(0).type)
+            kinds[2] = pa.list_(batch.schema.field(0).type)
             for i, t, r in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                made = numbered(t.as_py())
-                ids.append(i)
-                roles.append(r)
-                lengths.append(len(made))
-                parts.append(made)
-                total += len(made)
-                if total >= CHUNK:
-                    yield flush()
-                    total = 0
-        if ids:
-            yield flush()
+                open_chunks[r == HELD].add(i, t.as_py(), r)
+                if open_chunks[r == HELD].total >= CHUNK:
+                    yield flush(r == HELD)
+        for held, c in list(open_chunks.items()):
+            if c.ids:
+                yield flush(held)
 
     return docs.select("doc_id", "text", F.col(role).cast("int").alias("role")).mapInArrow(run, schema)
 
@@ -146,38 +171,52 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield b.slice(i, 1).to_pylist()[0]
 
 
-def _answers(chunks: DataFrame, ranges: int) -> DataFrame:
-    """(chunk, part, range, counts, held) for part 0 (words) and 1 (pairs), and rows of chunk -1 with the words trained."""
+def _answers(chunks: DataFrame, ranges: int, bits: int) -> DataFrame:
+    """(chunk, held, part, range, counts, held_counts) for part 0 (words), 1 (pairs) and 2 (triples), the counts of HELD
+    documents for their chunks only; and rows of chunk -1 with the number of different words trained.
+
+    Keys of pairs and triples are cut to `bits` bits; those of a chunk that get equal are answered with their sum.
+    """
+    asking = {"chunk": pa.int64(), "held": pa.bool_(), "part": pa.int32(), "range": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
+    answering = {"chunk": pa.int64(), "held": pa.bool_(), "part": pa.int32(), "range": pa.int32(), "counts": pa.binary(), "held_counts": pa.binary(), "trained": pa.int64()}
+
+    def batch(kinds: dict[str, pa.DataType], *row: object) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds.values(), strict=True)], list(kinds))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             c = _open(row)
-            for part, keys, of in ((0, c.word_keys, c.word), (1, c.pair_keys, c.pair)):
-                counts = c.counts(of, len(keys))
+            for part, (keys, of) in enumerate(c.parts()):
+                counts = np.bincount(of[c.trained], minlength=len(keys)).astype(np.uint32)
                 cuts = _cuts(keys, ranges)
+                if part:
+                    keys = keys >> np.uint64(64 - bits)
                 for i in np.flatnonzero(np.diff(cuts)):
                     lo, hi = cuts[i : i + 2]
                     gaps = np.diff(keys[lo:hi], prepend=np.uint64(0))
-                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]]), pa.array([part], pa.int32()), pa.array([int(i)], pa.int32()), pa.array([squeeze(gaps)], pa.binary()), *(pa.array([squeeze(x[lo:hi])], pa.binary()) for x in counts)], ["chunk", "part", "range", "keys", "counts", "held"])
+                    yield batch(asking, row["chunk"], row["held"], part, int(i), squeeze(gaps), squeeze(counts[lo:hi]))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[dict] = []
 
         def close() -> Iterator[pa.RecordBatch]:
+            part, place = group[0]["part"], group[0]["range"]
             keys = [np.cumsum(unsqueeze(r["keys"], np.uint64), dtype=np.uint64) for r in group]
+            sizes = [len(k) for k in keys]
             found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            counts, held = (np.bincount(inverse, np.concatenate([unsqueeze(r[k], np.uint32) for r in group])).astype(np.int64) for k in ("counts", "held"))
+            del keys
+            n = len(found)
             del found
+            times = np.concatenate([unsqueeze(r["counts"], np.uint32) for r in group])
+            counts = np.bincount(inverse, times, n).astype(np.int64)
+            times[np.repeat([not r["held"] for r in group], sizes)] = 0
+            held = np.bincount(inverse, times, n).astype(np.int64)
             at = 0
-            for r, k in zip(group, keys, strict=True):
-                mine = inverse[at : at + len(k)]
-                at += len(k)
-                yield answer(r["chunk"], r["part"], r["range"], squeeze(counts[mine]), squeeze(held[mine]), 0)
-            yield answer(-1, group[0]["part"], group[0]["range"], b"", b"", int((counts > 0).sum()))
-
-        def answer(*row: object) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["chunk", "part", "range", "counts", "held", "trained"])
+            for r, size in zip(group, sizes, strict=True):
+                mine = inverse[at : at + size]
+                at += size
+                yield batch(answering, r["chunk"], r["held"], part, place, squeeze(counts[mine]), squeeze(held[mine]) if r["held"] else None, 0)
+            yield batch(answering, -1, False, part, place, None, None, int((counts > 0).sum()))
 
         for row in _rows(batches):
             if group and (row["part"], row["range"]) != (group[0]["part"], group[0]["range"]):
@@ -187,8 +226,8 @@ def _answers(chunks: DataFrame, ranges: int) -> DataFrame:
         if group:
             yield from close()
 
-    asked = chunks.mapInArrow(ask, "chunk long, part int, range int, keys binary, counts binary, held binary")
-    return asked.repartition("part", "range").sortWithinPartitions("part", "range", "chunk").mapInArrow(add, "chunk long, part int, range int, counts binary, held binary, trained long")
+    asked = chunks.mapInArrow(ask, "chunk long, held boolean, part int, range int, keys binary, counts binary")
+    return asked.repartition("part", "range").sortWithinPartitions("part", "range", "chunk").mapInArrow(add, "chunk long, held boolean, part int, range int, counts binary, held_counts binary, trained long")
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -196,20 +235,21 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, 1 + np.floor(np.log2(np.maximum(context, 1))), 0).astype(np.int64)
 
 
-def learn_weights(cells: list[tuple[int, int, int, float]], rounds: int = 60) -> np.ndarray:
-    """Weights (bucket, order 2 to 0) by EM from counts in cells of (bucket, log2 f2 / f0, log2 f1 / f0), in STEPs.
+def learn_weights(cells: list[tuple], orders: int, rounds: int = 60) -> np.ndarray:
+    """Weights (bucket, order) by EM from counts in cells of (bucket, log2 ratio for each order but the last, count).
 
-    A ratio of 0 has the cell NONE. One imagined token for each order keeps all weights above 0.
+    Ratios are those of an order's estimate to the last order's, in STEPs; a ratio of 0 has the cell NONE. One imagined
+    token for each order keeps all weights above 0.
     """
-    weights = np.full((64, 3), 1 / 3)
+    weights = np.full((64, orders), 1 / orders)
     if not cells:
         return weights
-    b, r2, r1, n = (np.array(x) for x in zip(*cells, strict=True))
-    ratio = np.stack([np.where(r2 == NONE, 0, 2.0 ** (r2 / STEP)), np.where(r1 == NONE, 0, 2.0 ** (r1 / STEP)), np.ones(len(b))], 1)
+    b, *cells, n = (np.array(x) for x in zip(*cells, strict=True))
+    ratio = np.stack([*(np.where(r == NONE, 0, 2.0 ** (r / STEP)) for r in cells), np.ones(len(b))], 1)
     for _ in range(rounds):
         share = weights[b] * ratio
         share *= (n / share.sum(1))[:, None]
-        total = np.ones((64, 3))
+        total = np.ones((64, orders))
         np.add.at(total, b, share)
         weights = total / total.sum(1, keepdims=True)
     return weights
@@ -218,61 +258,95 @@ def learn_weights(cells: list[tuple[int, int, int, float]], rounds: int = 60) ->
 NONE = -1000
 
 
+def steps(estimate: np.ndarray, base: np.ndarray | float) -> np.ndarray:
+    """The cells of the ratios of estimates to a base."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(estimate > 0, np.round(STEP * np.log2(estimate / base)), NONE).astype(np.int64)
+
+
+def short_model(w: np.ndarray, h: np.ndarray, p: np.ndarray, n: int, v: int, weights: np.ndarray) -> np.ndarray:
+    """P2 of words with counts w, contexts h and pairs p among n training tokens, v of them different."""
+    l = weights[bucket(h)]
+    return l[:, 0] * p / np.maximum(h, 1) + l[:, 1] * w / max(1, n) + l[:, 2] / (v + 1)
+
+
 def score(docs: DataFrame, role: str) -> DataFrame:
     """`doc_id`, `role`, counts and scores of all texts; `role` is TRAIN, HELD (training, deleted for EM) or OTHER.
 
-    Null and empty texts are one token, the end. Repeated rows count and are scored each. With no training documents
-    every text scores 0 tokens known and the weights' fallback.
+    Null and empty texts are one token, the end. Repeated rows count and are scored each, null ids too; other columns,
+    whatever their names, aren't read. A text is never cut: a long one is a chunk by itself, so it must fit a task. An
+    empty table gives no rows. With no training documents every text has 0 known tokens and the weights' fallback.
     """
     chunks = materialize(_chunks(docs, role))
-    sums = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_train", "n_held"))).first()
+    sums = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_train")), F.coalesce(F.sum(F.when(F.col("held"), F.col("n_train"))), F.lit(0)).alias("n_held")).first()
     n, n_held = sums["n_train"], sums["n_held"]
     ranges = max(1, -(-sums["n_tokens"] // RANGE))
-    answers = materialize(_answers(chunks.select("chunk", "roles", "lengths", "vocabulary", "tokens"), ranges))
+    bits = min(64, sums["n_tokens"].bit_length() + SPARE)
+    answers = materialize(_answers(chunks.select("chunk", "held", "roles", "lengths", "vocabulary", "tokens"), ranges, bits))
     trained = answers.where("chunk = -1 and part = 0").agg(F.coalesce(F.sum("trained"), F.lit(0)).alias("v")).first()["v"]
-    nulls = [F.lit(None).cast(chunks.schema[c].dataType).alias(c) for c in ("doc_ids", "roles", "lengths", "vocabulary", "tokens")]
-    parts = chunks.select("chunk", F.lit(-1).alias("part"), F.lit(-1).alias("range"), F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("held"), "doc_ids", "roles", "lengths", "vocabulary", "tokens")
-    parts = parts.union(answers.where("chunk >= 0").select("chunk", "part", "range", "counts", "held", *nulls))
-    parts = parts.repartition("chunk").sortWithinPartitions("chunk", "part", "range")
+    payload = ("doc_ids", "roles", "lengths", "vocabulary", "tokens")
+
+    def meeting(sent: DataFrame, told: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+        """Chunks and behind each of them its answers."""
+        told = told.select("chunk", "part", "range", *fields, *(F.lit(None).cast(chunks.schema[c].dataType).alias(c) for c in payload))
+        none = [F.lit(None).cast("binary").alias(f) for f in fields]
+        rows = sent.select("chunk", F.lit(-1).alias("part"), F.lit(-1).alias("range"), *none, *payload).union(told)
+        return rows.repartition("chunk").sortWithinPartitions("chunk", "part", "range")
 
     def met(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Iterator[tuple[dict, Chunk, list[list[np.ndarray]]]]:
-        """Chunks, with the counts of their words and of their pairs for each field."""
+        """Chunks, with the counts of their words, pairs and triples for each field."""
         row, found = None, None
+
+        def closed() -> tuple[dict, Chunk, list[list[np.ndarray]]]:
+            return row, _open(row), [[np.concatenate(x) for x in of] for of in found]
+
         for r in _rows(batches):
             if r["part"] == -1:
                 if row is not None:
-                    yield row, _open(row), joined(found)
-                row, found = r, [[[] for _ in fields] for _ in (0, 1)]
+                    yield closed()
+                row, found = r, [[[] for _ in range(3)] for _ in fields]
             else:
                 for k, f in enumerate(fields):
-                    found[r["part"]][k].append(unsqueeze(r[f], np.int64))
+                    found[k][r["part"]].append(unsqueeze(r[f], np.int64))
         if row is not None:
-            yield row, _open(row), joined(found)
-
-    def joined(found: list) -> list[list[np.ndarray]]:
-        return [[np.concatenate(x) for x in part] for part in found]
-
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, c, ((words_all, words_held), (pairs_all, pairs_held)) in met(batches, ("counts", "held")):
-            at = np.flatnonzero(c.role == HELD)
-            if not len(at):
-                continue
-            w, h, p = (words_all - words_held)[c.word[at]], (words_all - words_held)[c.context[at]], (pairs_all - pairs_held)[c.pair[at]]
-            f0 = 1 / (trained + 1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cell2 = np.where(p > 0, np.round(STEP * np.log2(p / np.maximum(h, 1) / f0)), NONE).astype(np.int64)
-                cell1 = np.where(w > 0, np.round(STEP * np.log2(w / max(1, n - n_held) / f0)), NONE).astype(np.int64)
-            cells, times = np.unique(np.stack([bucket(h), cell2, cell1], 1), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(cells[:, k]) for k in range(3)), pa.array(times.astype(np.int64))], ["b", "r2", "r1", "n"])
-
-    cells = parts.mapInArrow(evidence, "b long, r2 long, r1 long, n long").groupBy("b", "r2", "r1").agg(F.sum("n").alias("n")).collect()
-    weights = learn_weights(sorted(tuple(x) for x in cells))
+            yield closed()
+
+    both = ("counts", "held_counts")
+    held = meeting(chunks.where("held"), answers.where("held and chunk >= 0"), both)
+    n_left = max(1, n - n_held)
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """Counts at the tokens of HELD documents, those documents deleted."""
+        for _, c, (counts, deleted) in met(batches, both):
+            yield [a - b for a, b in zip(c.found(counts), c.found(deleted), strict=True)]
+
+    def cells(evidence: Callable[[list[np.ndarray]], list[np.ndarray]], names: list[str]) -> list[tuple]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for counts in left(batches):
+                found, times = np.unique(np.stack(evidence(counts), 1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in found.T), pa.array(times.astype(np.int64))], [*names, "n"])
+
+        made = held.mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "n"]))
+        return sorted(tuple(x) for x in made.groupBy(names).agg(F.sum("n").alias("n")).collect())
+
+    def short_evidence(counts: list[np.ndarray]) -> list[np.ndarray]:
+        w, h, p, _, _ = counts
+        return [bucket(h), steps(p / np.maximum(h, 1), 1 / (trained + 1)), steps(w / n_left, 1 / (trained + 1))]
+
+    weights = learn_weights(cells(short_evidence, ["b", "r2", "r1"]), 3)
+
+    def long_evidence(counts: list[np.ndarray]) -> list[np.ndarray]:
+        w, h, p, g, t = counts
+        return [bucket(g), steps(t / np.maximum(g, 1), short_model(w, h, p, n_left, trained, weights))]
+
+    long_weights = learn_weights(cells(long_evidence, ["b", "r3"]), 2)
+    long_weights[0] = 0, 1  # an unseen context says nothing
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, c, ((words_all,), (pairs_all,)) in met(batches, ("counts",)):
-            w, h, p = words_all[c.word], words_all[c.context], pairs_all[c.pair]
-            l = weights[bucket(h)]
-            model = np.log10(l[:, 0] * p / np.maximum(h, 1) + l[:, 1] * w / max(1, n) + l[:, 2] / (trained + 1))
+        for row, c, (counts,) in met(batches, ("counts",)):
+            w, h, p, g, t = c.found(counts)
+            l = long_weights[bucket(g)]
+            model = np.log10(l[:, 0] * t / np.maximum(g, 1) + l[:, 1] * short_model(w, h, p, n, trained, weights))
             base = np.log10((w + 1) / (n + trained + 1))
             sums = [np.add.reduceat(x, c.starts) for x in (model, base, (w > 0).astype(np.int64))]
             ids = pa.array(row["doc_ids"], pa_id)
@@ -280,6 +354,7 @@ def score(docs: DataFrame, role: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType
     pa_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind.simpleString())
+    parts = meeting(chunks, answers.where("chunk >= 0"), ("counts",))
     return parts.mapInArrow(scores, f"doc_id {kind.simpleString()}, role int, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
