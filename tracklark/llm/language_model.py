@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .storage import fold, materialize, table
 from .text import WordHashes, mix, words
 
-CHUNK = 1_500_000
-RANGE = 3_000_000
+CHUNK = 1_000_000
+RANGE = 2_000_000
 SPARE = 16  # bits of a pair's or triple's key beyond those of the number of tokens
 END = b"\n"  # no word holds white space
 STEP = 4  # cells to a factor of two
@@ -63,23 +63,23 @@ class Chunk:
     def __init__(self, vocabulary: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, roles: np.ndarray):
         self.lengths, self.roles = lengths, roles
         self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
-        # number words by the order of their hashes
+        # number words by the order of their hashes; numbers at each token are short ones, as all of them stay in memory
         order = np.argsort(vocabulary, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         self.word_keys = vocabulary[order]
         self.word = rank[tokens]
         end = self.word[self.starts + lengths - 1]
-        self.context = np.concatenate([[0], self.word[:-1]]) if len(tokens) else self.word
+        self.context = np.concatenate([[0], self.word[:-1]]).astype(np.int32) if len(tokens) else self.word
         self.context[self.starts] = end
         ends = np.concatenate([[np.uint64(0)], self.word_keys])[end[:1] + 1]  # the key of END; none in an empty chunk
         n_words = len(order)
-        self.pair_keys, self.pair = _numbered(self.context * n_words + self.word, lambda x: mix(self.word_keys[x // n_words], self.word_keys[x % n_words]))
+        self.pair_keys, self.pair = _numbered(self.context, n_words, self.word, lambda x: mix(self.word_keys[x // n_words], self.word_keys[x % n_words]))
         # the pair before each token; at a text's start, two ends
-        before = np.concatenate([[0], self.pair[:-1]]) if len(tokens) else self.pair
+        before = np.concatenate([[0], self.pair[:-1]]).astype(np.int32) if len(tokens) else self.pair
         before[self.starts] = len(self.pair_keys)
         pairs = np.concatenate([self.pair_keys, mix(ends, ends)])
-        self.triple_keys, self.triple = _numbered(before * n_words + self.word, lambda x: mix(pairs[x // n_words], self.word_keys[x % n_words]))
+        self.triple_keys, self.triple = _numbered(before, n_words, self.word, lambda x: mix(pairs[x // n_words], self.word_keys[x % n_words]))
         self.trained = np.repeat(roles != OTHER, lengths)
 
     def parts(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -95,13 +95,17 @@ class Chunk:
         return [words[self.word], context, pairs[self.pair], longer, triples[self.triple]]
 
 
-def _numbered(codes: np.ndarray, key: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the distinct codes, and the place of each code's key among them."""
+def _numbered(before: np.ndarray, n_words: int, word: np.ndarray, key: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the distinct codes before * n_words + word, and the place of each code's key among them."""
+    codes = before.astype(np.int64)
+    codes *= n_words
+    codes += word
     found, inverse = np.unique(codes, return_inverse=True)
+    del codes
     keys = key(found)
     order = np.argsort(keys, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     return keys[order], rank[inverse]
 
 
@@ -156,7 +160,7 @@ def _chunks(docs: DataFrame, role: str) -> DataFrame:
 
 
 def _open(row: dict) -> Chunk:
-    return Chunk(unsqueeze(row["vocabulary"], np.uint64), unsqueeze(row["tokens"], np.uint32).astype(np.int64), np.frombuffer(row["lengths"], np.int32).astype(np.int64), np.frombuffer(row["roles"], np.uint8))
+    return Chunk(unsqueeze(row["vocabulary"], np.uint64), unsqueeze(row["tokens"], np.uint32), np.frombuffer(row["lengths"], np.int32).astype(np.int64), np.frombuffer(row["roles"], np.uint8))
 
 
 def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -207,6 +211,7 @@ def _answers(chunks: DataFrame, ranges: int, bits: int) -> DataFrame:
             del keys
             n = len(found)
             del found
+            inverse = inverse.astype(np.int32)
             times = np.concatenate([unsqueeze(r["counts"], np.uint32) for r in group])
             counts = np.bincount(inverse, times, n).astype(np.int64)
             times[np.repeat([not r["held"] for r in group], sizes)] = 0
@@ -232,7 +237,7 @@ def _answers(chunks: DataFrame, ranges: int, bits: int) -> DataFrame:
 
 def bucket(context: np.ndarray) -> np.ndarray:
     """The bucket of a context's frequency: 0 if unseen, else 1 plus the power of two."""
-    return np.where(context > 0, 1 + np.floor(np.log2(np.maximum(context, 1))), 0).astype(np.int64)
+    return np.where(context > 0, 1 + np.floor(np.log2(np.maximum(context, 1))), 0).astype(np.int8)
 
 
 def learn_weights(cells: list[tuple], orders: int, rounds: int = 60) -> np.ndarray:
@@ -266,8 +271,11 @@ def steps(estimate: np.ndarray, base: np.ndarray | float) -> np.ndarray:
 
 def short_model(w: np.ndarray, h: np.ndarray, p: np.ndarray, n: int, v: int, weights: np.ndarray) -> np.ndarray:
     """P2 of words with counts w, contexts h and pairs p among n training tokens, v of them different."""
-    l = weights[bucket(h)]
-    return l[:, 0] * p / np.maximum(h, 1) + l[:, 1] * w / max(1, n) + l[:, 2] / (v + 1)
+    b = bucket(h)
+    model = weights[:, 0][b] * p / np.maximum(h, 1)
+    model += weights[:, 1][b] * w / max(1, n)
+    model += weights[:, 2][b] / (v + 1)
+    return model
 
 
 def score(docs: DataFrame, role: str) -> DataFrame:
@@ -345,8 +353,12 @@ def score(docs: DataFrame, role: str) -> DataFrame:
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, c, (counts,) in met(batches, ("counts",)):
             w, h, p, g, t = c.found(counts)
-            l = long_weights[bucket(g)]
-            model = np.log10(l[:, 0] * t / np.maximum(g, 1) + l[:, 1] * short_model(w, h, p, n, trained, weights))
+            counts.clear()
+            model = short_model(w, h, p, n, trained, weights)
+            del h, p
+            share = long_weights[:, 0][bucket(g)]
+            model = np.log10(share * t / np.maximum(g, 1) + (1 - share) * model)
+            del share, g, t
             base = np.log10((w + 1) / (n + trained + 1))
             sums = [np.add.reduceat(x, c.starts) for x in (model, base, (w > 0).astype(np.int64))]
             ids = pa.array(row["doc_ids"], pa_id)
