@@ -90,6 +90,16 @@ def test_language_model_without_training(spark):
     assert lm.score(frame.limit(0), "role").count() == 0
 
 
+def test_language_model_with_other_columns(spark):
+    rows = [("a", "x y x y", lm.TRAIN, 1, "c"), (None, "x y", lm.HELD, 2, None), ("a", None, lm.OTHER, 3, "d")]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, role int, chunk int, score string")
+    got = sorted(lm.score(frame, "role").collect(), key=lambda r: r.n_tokens)
+    want = sorted(brute_scores([r[:2] for r in rows], [r[2] for r in rows]))
+    assert [r.doc_id for r in got] == ["a", None, "a"]
+    assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [w[:3] for w in want]
+    assert [r.score for r in got] == pytest.approx([w[4] for w in want])
+
+
 def test_language_model_beats_base_on_held_out(spark):
     sums = lm.op2_lm_scoring(spark, SF).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert sums[1] > sums[0]
