@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracklark.llm import linking
+from tracklark.llm import linking, skew
 from tracklark.llm.components import components
 from tracklark.llm.embedding_duplicates import axes_needed, cosine_at_least, count_needed, embedding_duplicates, lists_needed
 from tracklark.llm.near_duplicates import band_plan, jaccard_at_least, near_duplicates, one_of_each_group
+from tracklark.llm.skew import join_counted
 from tracklark.llm.text import WordHashes, shingles, words
 
 DOCS = "doc_id long, text string, note string"
@@ -111,6 +112,25 @@ def test_verifier():
             assert (verify(sets * times, sets * times, asked) == np.tile(want, (times, times)) & asked).all()
 
 
+@pytest.mark.parametrize("heavy", [20_000, 10, 1])
+def test_joins_with_counted_keys(spark, heavy):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(300)] + [(None, -1)], "key int, value int")
+    counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("value").alias("most"))
+    got = join_counted(rows, counted, ["key"], "n", 301, heavy)
+    assert sorted(got.collect()) == sorted(rows.join(counted, "key").collect())
+    assert join_counted(rows.limit(0), counted.limit(0), ["key"], "n", 0, heavy).count() == 0
+
+
+@pytest.mark.parametrize("heavy", [20_000, 40, 1])
+def test_components_with_hubs(spark, monkeypatch, heavy):
+    monkeypatch.setattr(skew, "HEAVY", heavy)
+    n = 400
+    edges = [(n, k) for k in range(1, n, 2)] + [(k, 0) for k in range(2, n, 2)] + [(n + 1, n), (2000, 1000)]
+    frame = spark.createDataFrame([(a.to_bytes(2, "big"), b.to_bytes(2, "big")) for a, b in edges], "a binary, b binary")
+    got = {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in components(frame).collect()}
+    assert got == {k: k % 2 for k in range(2, n)} | {n: 1, n + 1: 1, 2000: 1000}
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(60) if i % 20 != 19] + [(90, 3), (91, 90), (91, 3)]
     frame = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in edges], "a binary, b binary")

@@ -2,8 +2,8 @@
 
 Each round is a few joins and aggregations over the edges alone, written to the shared folder in place
 of the round before; nothing is collected.
-A vertex with very many edges is only ever a join key (which adaptive execution splits) or an aggregation key (which
-is summed before the shuffle).
+A vertex with very many edges is only ever an aggregation key, which is summed before the shuffle, or a join key, whose
+edges are joined where they are (see skew.py).
 """
 
 from __future__ import annotations
@@ -11,18 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_counted
 from .storage import drop, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+    return join_counted(both.where("v > u"), least, ["u"], "n", 2 * n).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = join_counted(edges, least, ["a"], "n", n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -32,8 +33,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     mark = F.struct(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x"))
     last = edges.select(mark.alias("m")).first()["m"]
     for _ in range(most_rounds if last["n"] else 0):
-        before, edges = edges, materialize(_small_star(_large_star(edges)))
+        large = materialize(_large_star(edges, last["n"]))  # a row for each edge
+        before, edges = edges, materialize(_small_star(large, last["n"]))
         drop(before)
+        drop(large)
         now = edges.select(mark.alias("m")).first()["m"]
         if now == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

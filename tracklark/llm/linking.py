@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .skew import join_counted
 from .storage import drop, materialize
 
 BLOCK = 2048
@@ -41,20 +42,22 @@ def sketch(bands: np.ndarray, places: np.ndarray | None = None) -> bytes:
 def shared_buckets(nodes: DataFrame) -> DataFrame:
     """Rows (band, hash, segment, node, own, above, below) for nodes (node, bands) in buckets that can hold a new pair."""
     rows = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
+    total = nodes.agg(F.sum(F.size("bands"))).first()[0] or 0
     found = rows.groupBy("band", "hash").agg(F.count("*").alias("own"), F.bit_xor(F.xxhash64("node")).alias("__x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("__y")).where("own > 1")
     first = found.groupBy("own", "__x", "__y").agg(F.min(F.struct("band", "hash")).alias("__b")).select("__b.band", "__b.hash", "own")
     zero = F.lit(0).cast("long")
-    return rows.join(first, ["band", "hash"]).select("band", "hash", zero.alias("segment"), "node", "own", zero.alias("above"), zero.alias("below"))
+    return join_counted(rows, first, ["band", "hash"], "own", total).select("band", "hash", zero.alias("segment"), "node", "own", zero.alias("above"), zero.alias("below"))
 
 
 def shared_windows(nodes: DataFrame, window: float) -> DataFrame:
     """The same for nodes (node, bands, places), whose buckets are lists sorted by place: `above` and `below` count the
     nodes of the next and of the previous segment."""
     rows = nodes.select("node", F.posexplode(F.arrays_zip("bands", "places")).alias("band", "at")).select("node", "band", "at.bands", F.floor(F.col("at.places") / window).alias("segment")).withColumnRenamed("bands", "hash")
+    total = nodes.agg(F.sum(F.size("bands"))).first()[0] or 0
     counts = rows.groupBy("band", "hash", "segment").agg(F.count("*").alias("n"))
     seen = F.inline(F.array(*(F.struct((F.col("segment") + d).alias("segment"), *(F.when(F.lit(d == e), F.col("n")).otherwise(0).alias(name) for e, name in ((0, "own"), (-1, "above"), (1, "below")))) for d in (0, -1, 1))))
     met = counts.select("band", "hash", seen).groupBy("band", "hash", "segment").agg(*(F.sum(c).alias(c) for c in ("own", "above", "below"))).where("own > 0 and own + above + below > 1")
-    return rows.join(met, ["band", "hash", "segment"]).select("band", "hash", "segment", "node", "own", "above", "below")
+    return join_counted(rows, met, ["band", "hash", "segment"], "own", total).select("band", "hash", "segment", "node", "own", "above", "below")
 
 
 def _groups(buckets: DataFrame, block: int) -> DataFrame:
@@ -236,5 +239,5 @@ def classified(found: DataFrame, links: DataFrame, edges: DataFrame) -> DataFram
     """
     rooted = found.select("node", "class_id", "members").join(links, "node", "left").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialize(rooted)
-    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("class_id").isNull(), "class_id", F.col("node").alias("of"))).alias("least"))
-    return rooted.join(least, "root").select("node", "class_id", "members", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("least.class_id").alias("component_id"), (F.col("node") == F.col("least.of")).alias("first"))
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("class_id").isNull(), "class_id", F.col("node").alias("of"))).alias("least"), F.count("*").alias("__n"))
+    return join_counted(rooted, least, ["root"], "__n", rooted.count()).select("node", "class_id", "members", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("least.class_id").alias("component_id"), (F.col("node") == F.col("least.of")).alias("first"))
