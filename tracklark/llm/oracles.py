@@ -77,4 +77,24 @@ SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM valid J
 UNION ALL SELECT vec_id, 0, vec_id, true FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM valid)
 """
 
-ORACLE_SQL = {"op3_embedding_near_dedup": OP3, "op4_mixing": OP4, "op6_ngram_jaccard_join": OP6}
+
+
+def _op11(dimensions: int = 64, k: int = 8, rounds: int = 10, scale: int = 1024, seed: int = 3) -> str:
+    """Rounds of assignment (all distances) and update, each a table of its own."""
+    by = "sum((p[1] - p[2]) * (p[1] - p[2]))"
+    nearest = f"SELECT r, min(row(d, c)) AS near FROM (SELECT r, c, (SELECT {by} FROM (SELECT unnest(list_zip(t.v, m.v)) AS p)) AS d FROM kept t, %s m) GROUP BY r"
+    parts = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale}e0 * x::double)::bigint) AS v FROM embeddings WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c, v FROM kept ORDER BY sha256('{seed}:' || vec_id), v LIMIT {k})",
+    ]
+    for i in range(rounds):
+        parts += [
+            f"a{i} AS MATERIALIZED ({nearest % f'c{i}'})",
+            f"s{i} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT near[2] AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept JOIN a{i} USING (r)) GROUP BY c, i)",
+            f"c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.v, o.v) AS v FROM c{i} o LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::bigint ORDER BY i) AS v FROM s{i} GROUP BY c) n USING (c))",
+        ]
+    parts.append(f"found AS ({nearest % f'c{rounds}'})")
+    return f"WITH {', '.join(parts)} SELECT vec_id, near[2]::int AS cluster, near[1]::bigint AS distance, (sum(near[1]) OVER (PARTITION BY near[2]))::bigint AS cluster_inertia, (sum(near[1]) OVER ())::bigint AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256 FROM kept JOIN found USING (r) JOIN c{rounds} m ON m.c = near[2]"
+
+
+ORACLE_SQL = {"op11_centroid_clustering": _op11(), "op3_embedding_near_dedup": OP3, "op4_mixing": OP4, "op6_ngram_jaccard_join": OP6}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import op11_centroid_clustering
 from .embedding_duplicates import op3_embedding_near_dedup
 from .html_text import op5_html_extraction
 from .language_model import op2_lm_scoring
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
