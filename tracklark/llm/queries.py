@@ -11,6 +11,7 @@ from .near_duplicates import op6_ngram_jaccard_join
 from .neighbours import op1_nearest_neighbours
 from .oracles import ORACLE_SQL
 from .packing import op9_packing
+from .periodic_runs import op12_periodic_runs
 from .sharding import op10_sharding
 from .toxicity import op8_toxicity
 from .url_filter import op7_url_filter
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
