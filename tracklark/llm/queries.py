@@ -12,6 +12,7 @@ from .neighbours import op1_nearest_neighbours
 from .oracles import ORACLE_SQL
 from .packing import op9_packing
 from .periodic_runs import op12_periodic_runs
+from .personal_data import op13_personal_data
 from .sharding import op10_sharding
 from .toxicity import op8_toxicity
 from .url_filter import op7_url_filter
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_personal_data": op13_personal_data,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
