@@ -12,6 +12,7 @@ from tracklark.operators.tracks import assign_batches, first_song, tracks_in_lib
 from tracklark.plans import derived, jobs
 from tracklark.sources import analyses as responses
 from tracklark.sources import library as documents
+from tracklark.sources import published
 from tracklark.sources.inventory import audio_inventory
 from tracklark.streaming.incremental import annotate_incremental, latest_version, library_at, write_first_version
 
@@ -88,17 +89,147 @@ def test_path_forms(spark, library):
 
 
 def test_round_trip_and_publish(spark, library, tmp_path):
-    staging, target = str(tmp_path / "staging"), str(tmp_path / "out")
-    assert documents.publish(library, spark, staging, target)
+    target = str(tmp_path / "out")
+    assert published.publish(library, spark, target)
     texts = [p.read_bytes() for p in (tmp_path / "out").rglob("part-*")]
     assert all(b"<?xml" not in t and t.count(b"\r\n") == t.count(b"\n") for t in texts)
-    back = documents.read_damaged_library(spark, target + "/*/*").orderBy("song_ord").collect()
+    back = documents.read_damaged_library(spark, published.published_path(spark, target) + "/*/*").orderBy("song_ord").collect()
     assert [(r.path, r.pois, r.comments, r.scan_bpm) for r in back] == [(r.path, r.pois, r.comments, r.scan_bpm) for r in library.orderBy("song_ord").collect()]
     documents.snapshot_library(library, str(tmp_path / "snap"), "20250101_000000")
     with pytest.raises(Exception, match="exist"):
         documents.snapshot_library(library, str(tmp_path / "snap"), "20250101_000000")
 
 
+def test_published_again_and_again(spark, library, tmp_path, monkeypatch):
+    """Each publish replaces the one before; one that fails its check, or that breaks off at any step, changes nothing."""
+    target = str(tmp_path / "out")
+    paths = lambda: sorted(r.path for r in published.read_published(spark, target).collect())
+    with pytest.raises(FileNotFoundError):
+        published.read_published(spark, target)
+    renamed = library.withColumn("path", F.concat(F.lit("/n"), "path"))
+    assert published.publish(library, spark, target)
+    old = paths()
+    open_reader = published.read_published(spark, target)
+    assert published.publish(renamed, spark, target)
+    new = paths()
+    assert new != old and sorted(r.path for r in open_reader.collect()) == old
+    write = documents.write_library
+
+    def tampered(library, path, cfg):
+        write(library, path, cfg)
+        f = next(p for p in (tmp_path / "out" / "versions").rglob("part-*") if path.rsplit("/", 1)[1] in str(p))
+        f.write_bytes(f.read_bytes().replace(b"/m/b.mp3", b"/m/z.mp3"))
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+
+    monkeypatch.setattr(published, "write_library", tampered)
+    assert not published.publish(library, spark, target) and paths() == new
+    monkeypatch.setattr(published, "write_library", write)
+    for step in ("write_library", "verify_export", "replace_text"):
+        with monkeypatch.context() as m:
+            m.setattr(published, step, lambda *_: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                published.publish(library, spark, target)
+        assert paths() == new
+    assert len(published.vacuum(spark, target)) == 2 and paths() == new
+    assert published.publish(library, spark, target) and published.publish(library, spark, target) and paths() == old
+    assert len(list((tmp_path / "out" / "versions").iterdir())) == 2
+
+
+CHANGES = {
+    "path": "regexp_replace(path, 'b.mp3', 'c.mp3')", "song_length": "'1'", "scan_bpm": "'3'", "comments": "array('x')",
+    "pois": "transform(pois, p -> named_struct('_Name', p._Name, '_Pos', p._Pos || '0', '_Num', p._Num, '_Color', p._Color, '_Type', p._Type, '_Size', p._Size, '_Slot', p._Slot))",
+}
+
+
+@pytest.mark.parametrize("column", CHANGES)
+def test_any_change_is_found(spark, library, tmp_path, column):
+    documents.write_library(library, str(tmp_path / "out"))
+    assert published.verify_export(library, spark, str(tmp_path / "out"))
+    changed = library.withColumn(column, F.when(F.col("song_ord") == 1, F.expr(CHANGES[column])).otherwise(F.col(column)))
+    assert not published.verify_export(changed, spark, str(tmp_path / "out"))
+    swapped = library.withColumn("song_ord", F.when(F.col("song_ord") < 2, 1 - F.col("song_ord")).otherwise(F.col("song_ord")))
+    assert not published.verify_export(swapped, spark, str(tmp_path / "out"))
+    assert not published.verify_export(library.where("song_ord < 4"), spark, str(tmp_path / "out"))
+
+
+FOREIGN_HEAD = '<?xml version="1.0"?>\n<VirtualDJ_Database Version="8.5">\n <!-- mine -->\n <SongList/>\n'
+
+
+def _foreign(i):
+    if i % 5 == 0:
+        return f'<Song FilePath="/m/{i}.mp3" New=\'"1"\' />\n  <!-- between -->'
+    return f"""<Song FilePath="/m/{i}.mp3" FileSize="{i}" Flag='a>b/>'>
+  <Tags Author="A&amp;{i}" Title="é" Bpm="0.46"/><Infos SongLength="200.5" PlayCount="3"/>
+  <!-- <Poi Type="cue" Num="3"/> --><![CDATA[<Comment>no</Comment>]]>
+  <Poi Pos="0.05" Type="beatgrid" Extra="x"/>
+  <Poi Name="old" Pos="1.0" Num="1" Type="cue"><Inner/></Poi>
+  <Poi Name="num-less" Pos="1.5" Type='cue'/>
+  <Poi Name="keep" Pos="2.0" Num='0' Type="cue" Odd='1'/>
+  <Comment>old &amp; x</Comment>
+  <Link NetSearch="u{i}"/>
+ </Song>\r\n """
+
+
+@pytest.fixture(scope="module")
+def foreign(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("foreign") / "a.xml"
+    text = FOREIGN_HEAD + "".join(map(_foreign, range(60))) + "</VirtualDJ_Database>\n"
+    path.write_bytes(text.encode())
+    return str(path), text
+
+
+@pytest.mark.parametrize("split", ["128m", "4k"])
+def test_unedited_export_is_byte_equal(spark, foreign, tmp_path, split):
+    """But for line ends, however many tasks read the document."""
+    path, text = foreign
+    text = text.replace("\n <SongList/>", "")
+    (tmp_path / "a.xml").write_bytes(text.encode())
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.set(f"spark.sql.files.{name}", split)
+    try:
+        rows = documents.read_raw_library(spark, str(tmp_path / "a.xml"))
+        assert rows.count() == 60 and [r.path for r in rows.orderBy("song_ord").collect()] == [f"/m/{i}.mp3" for i in range(60)]
+        documents.write_library(rows, str(tmp_path / "out"))
+    finally:
+        for name in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{name}")
+    (made,) = (tmp_path / "out").rglob("part-*")
+    want = text.replace("\r\n", "\n").replace("\n", "\r\n").rstrip()
+    assert made.read_bytes().decode() == want
+    assert published.verify_export(rows, spark, str(tmp_path / "out"))
+
+
+def test_edit_replaces_points_and_first_comment_alone(spark, foreign, tmp_path):
+    path, text = foreign
+    (tmp_path / "a.xml").write_bytes(text.replace("\n <SongList/>", "").encode())
+    rows = documents.read_raw_library(spark, str(tmp_path / "a.xml"))
+    found = analyses(spark, rows, "/m/7.mp3").union(analyses(spark, rows, "/m/5.mp3"))
+    done = jobs.annotate_library(rows, found)
+    raw = {r.path: (r.raw, r) for r in done.collect()}
+    added = '<Poi Name="Drums In" Pos="46.000000" Num="1" Color="4278255360" Type="cue" />'
+    gone = '<Poi Name="old" Pos="1.0" Num="1" Type="cue"><Inner/></Poi>\n  '
+    near = '<Poi Name="Drums In" Pos="46.050000" Num="1" Color="4278255360" Type="cue" />'
+    assert raw["/m/7.mp3"][0] == _foreign(7).rstrip().replace(gone, "").replace("<Comment>old &amp; x</Comment>", "<Comment>green</Comment>").replace("</Song>", f"{near}</Song>")
+    assert raw["/m/5.mp3"][0] == f"""<Song FilePath="/m/5.mp3" New='"1"'>{added}<Comment>green</Comment></Song>"""
+    assert raw["/m/8.mp3"][0] == _foreign(8).rstrip()
+    documents.write_library(done, str(tmp_path / "out"))
+    assert published.verify_export(done, spark, str(tmp_path / "out")) and not published.verify_export(rows, spark, str(tmp_path / "out"))
+    broken = rows.withColumn("raw", F.regexp_replace("raw", "<Link", "<Link<"))  # written as it stands, but no XML
+    documents.write_library(broken, str(tmp_path / "broken"))
+    assert not published.verify_export(broken, spark, str(tmp_path / "broken"))
+    again = documents.read_raw_library(spark, str(tmp_path / "out"), folders=True)
+    assert [p._Name for p in again.where("path = '/m/7.mp3'").first().pois] == [None, "num-less", "keep", "Drums In"]
+
+
+def test_raw_text_of_damaged_files(spark, foreign, tmp_path):
+    """A file that needs a repair is read whole, and keeps the repaired text."""
+    _, text = foreign
+    (tmp_path / "a.xml").write_bytes((text.replace("</Song>", "</Song></Song>", 1) + "rest").encode())
+    rows = documents.read_raw_library(spark, str(tmp_path / "a.xml")).orderBy("song_ord").collect()
+    assert [r.path for r in rows] == [f"/m/{i}.mp3" for i in range(60)]
+    assert rows[0].head == FOREIGN_HEAD and rows[1].raw == _foreign(1).rstrip() and rows[-1].after.rstrip().endswith("</VirtualDJ_Database>")
+
+
 def test_export_in_documents(spark, library, tmp_path):
     """A library is many documents, read by song; only damaged ones are parsed whole."""
     cfg = CueConfig(songs_per_document=2)
@@ -108,14 +239,14 @@ def test_export_in_documents(spark, library, tmp_path):
     files = sorted((tmp_path / "out").rglob("part-*"))
     assert len(files) == 6
     rows = lambda t: sorted((r.asDict(True) for r in t.select(two.columns).collect()), key=lambda r: (r["library_id"], r["song_ord"]))
-    assert documents._damaged_files(spark, path, cfg) == []
+    assert documents.damaged_files(spark, path, cfg) == []
     assert rows(documents.read_export(spark, path, cfg)) == rows(two)
     for f, (old, new) in zip(files, [(b"</Song>", b"</Song></Song>"), (b"<Song ", b"<Song \x01"), (b"</VirtualDJ_Database>", b"</VirtualDJ_Database>\n<Song FilePath='x'></Song>"), (b"</VirtualDJ_Database>", b"</VirtualDJ_Database></VirtualDJ_Database>rest")]):
         f.write_bytes(f.read_bytes().replace(old, new))
         (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
-    assert len(documents._damaged_files(spark, path, cfg)) == 4
+    assert len(documents.damaged_files(spark, path, cfg)) == 4
     assert rows(documents.read_export(spark, path, cfg)) == rows(two)
-    assert documents.verify_export(two, spark, path, cfg)
+    assert not published.verify_export(two, spark, path, cfg)  # readable, but not what was written
 
 
 def test_clean_reader(spark, tmp_path):

@@ -92,6 +92,35 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_key(rows)
 
 
+def song_text_sql(old: str = "OLD", comment: str = "'old'", new: str = "''") -> str:
+    """SQL of a track's song as a document has it, with attributes and elements that no schema names. `old` is "OLD" for
+    the point that an edit replaces or "" for none, `comment` and `new` are SQL of the first comment and of new points."""
+    text = lambda c: f"cast({c} AS string)"
+    lines = [
+        f"""'<Song FilePath="' || file_path || '" FileSize="' || {text("k * 1000")} || '" Flag="a>b">'""",
+        f"""'  <Tags Author="A ' || {text("custkey")} || ' &amp; Co" Year="1999"' || coalesce(' Bpm="' || {text("tags_bpm")} || '"', '') || '/>'""",
+        f"""'  <Infos PlayCount="' || {text("k % 7")} || '"' || coalesce(' SongLength="' || {text("song_length")} || '"', '') || '/>'""",
+        f"""'  <Scan' || coalesce(' Bpm="' || {text("scan_bpm")} || '"', '') || ' Key="Am"/><!-- <Poi Type="cue" Num="9"/> -->'""",
+        f"""'  <Link Kind="grid"/>' || coalesce('<Poi Pos="' || {text("beatgrid_pos")} || '" Type="beatgrid" Extra="x"/>', '')""",
+        *(["""'  <Poi Name="old" Pos="1.0" Num="1" Color="4278190335" Type="cue"></Poi>'"""] if old else []),
+        """'  <Poi Name="keep" Pos="2.0" Num="0" Type="cue" Odd="1"/>'""",
+        f"'  <Comment>' || {comment} || '</Comment>'",
+        f"""'  <Comment>second</Comment><Link NetSearch="u' || {text("k")} || '"/>'""",
+    ]
+    return " || chr(10) || ".join(lines) + f" || chr(10) || ' ' || {new} || '</Song>'"
+
+
+def write_foreign_library(spark: SparkSession, sf_dir: str, path: str, songs_per_document: int = 50_000) -> None:
+    """The tracks as library documents that another program might have written, by library_id and document."""
+    t = tracks(spark, sf_dir)
+    rows = spark.sql(f"SELECT 'lib' || cast(k % 4 AS string) AS library_id, k div {songs_per_document} AS document, 0 AS part, k, {song_text_sql()} AS value FROM {{t}}", t=t)
+    frame = rows.select("library_id", "document").distinct()
+    for part, text in ((-1, '<VirtualDJ_Database Version="8.5">\n <!-- kept -->'), (1, "</VirtualDJ_Database>")):
+        rows = rows.union(frame.select("library_id", "document", F.lit(part), F.lit(0), F.lit(text)))
+    to = ["library_id", "document"]
+    rows.repartition(*to).sortWithinPartitions(*to, "part", "k").select(*to, "value").write.partitionBy(*to).text(path)
+
+
 def library_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analyses of the tracks whose number isn't divisible by 3, by library and path."""
     t = tracks(spark, sf_dir).where("k % 3 <> 0").select("k", "file_path")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, CueConfig
 from ..functions.elements import cue_base_name, decode_color, known
+from ..functions.splice import spliced_song
 from ..functions.text import basename, capitalize, one_decimal
 from ..operators.candidates import align, explode_cues, explode_loops, points_of_tracks, select_loops
 from ..operators.pois import collected_points, replace_pois
@@ -29,6 +30,7 @@ def annotate_library(library: DataFrame, analyses: DataFrame, cfg: CueConfig = D
     `analyses`: library_id, path, batch_id, idx, measure_changes, loop_segments; the last one of a track counts.
     Of songs with the same path the first is edited; songs without a path are not. Three exchanges, all on the track's
     key: the analyses, the attributes of the library, and its songs; candidates are exploded and collected between them.
+    A song that carries its text (`raw`) has it edited too, at its points and first comment alone.
     """
     latest = latest_analysis(with_key(analyses.select("library_id", "path", "batch_id", "idx", "measure_changes", "loop_segments")))
     tracks = with_attributes(latest, library, cfg)
@@ -39,6 +41,8 @@ def annotate_library(library: DataFrame, analyses: DataFrame, cfg: CueConfig = D
     songs = songs.join(new.withColumnRenamed("nfc_path", "__nfc"), ["library_id", "__nfc"], "left")
     edited = F.coalesce(F.col("first_ord") == F.col("song_ord"), F.lit(False))
     comments = F.concat(F.array(F.coalesce("comment", F.lit(""))), F.filter("comments", lambda c, i: i > 0))
+    if "raw" in library.columns:
+        songs = songs.withColumn("raw", F.when(edited, spliced_song(F.col("raw"), F.col("new_pois"), F.col("comment"))).otherwise(F.col("raw")))
     return songs.withColumn("pois", F.when(edited, replace_pois(F.col("pois"), F.col("new_pois"))).otherwise(F.col("pois"))).withColumn("comments", F.when(edited, comments).otherwise(F.col("comments"))).select(*library.columns)
 
 

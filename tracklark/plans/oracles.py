@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..config import COLORS
-from .derived import candidates_sql, texts, tracks_sql
+from .derived import candidates_sql, song_text_sql, texts, tracks_sql
 
 
 def _pick(values: tuple[str, ...], n: str) -> str:
@@ -86,6 +86,13 @@ TABLES = {
     "oldpoints": "SELECT k, pos, (['cue', 'loop', 'beatgrid'])[linenumber % 3 + 1] AS type, ([NULL, '0', '-1', '2', '00'])[suppkey % 5 + 1] AS num FROM candidates",
     "statuses": "SELECT k, k // 5 AS batch_id, CASE WHEN k % 10 = 0 THEN 'not_on_disk' WHEN k % 3 = 0 THEN 'not_in_library' WHEN k % 7 = 0 THEN 'analysis_failed' ELSE 'applied' END AS status FROM tracks",
 }
+def _escaped(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+TABLES["elements"] = f"""SELECT k, string_agg('<Poi Name="' || {_escaped('name')} || '" Pos="' || printf('%.6f', t) || '" Num="' || num || '" Color="' || {CODE.replace('CASE c', 'CASE color')} || '" Type="' || kind || coalesce('" Size="' || beats::varchar || '" Slot="' || slot::varchar, '') || '" />', '' ORDER BY ord) AS added FROM points GROUP BY k"""
+_EDITED = song_text_sql("", "comment", "coalesce(added, '')").replace("'  <Comment>' || comment || '</Comment>'", "'  ' || CASE comment WHEN '' THEN '<Comment />' ELSE '<Comment>' || comment || '</Comment>' END")
+
 #: A song's points before any annotation, as text.
 OLD = "beatgrid:0.05|cue:1:old:1.0:4278190335|cue:0:keep:2.0"
 REPLACEABLE = "type IN ('cue', 'loop') AND coalesce(num, '0') <> '0'"
@@ -164,6 +171,9 @@ ORACLE_SQL = {
         "s2_read_library": f"SELECT file_path AS path, song_length::varchar AS song_length, '0.05' AS grid_pos, '{OLD}' AS contents, 'old|second' AS comments {T}",
         "k1_export_library": "SELECT library_id, path, poi_ord, type, num, slot, name, pos, color, size FROM annotated",
         "k2_publish_library": f"SELECT file_path AS path, song_length, scan_bpm, tags_bpm, 0.05e0 AS grid_pos, '{OLD}' AS contents, 'old|second' AS comments {T}",
+        "s2_read_raw_library": f"SELECT 'lib' || (k % 4)::varchar AS library_id, file_path AS path, scan_bpm::varchar AS scan_bpm, tags_bpm::varchar AS tags_bpm, 2 + (beatgrid_pos IS NOT NULL)::bigint AS points, {song_text_sql()} AS raw, true AS followed {T}",
+        "k1_lossless_edit": f"SELECT library_id, file_path AS path, replace(CASE WHEN edited THEN {_EDITED} ELSE {song_text_sql()} END, chr(10), chr(13) || chr(10)) AS raw FROM songs JOIN comments USING (k) LEFT JOIN elements USING (k)",
+        "k2_export_differences": f"SELECT 'lib' || (k % 4)::varchar AS library_id, k // 500 AS document, count(*) AS songs, 3 * count(*) AS points, count(*) AS songs_read, 3 * count(*) AS points_read {T} GROUP BY ALL HAVING count(*) FILTER (k % 4000 IN (1, 1002, 2003)) > 0",
         "k3_snapshot_library": f"SELECT 'lib' || (k % 4)::varchar AS library_id, k AS song_ord, file_path AS path, '{OLD}' AS contents, 'old|second' AS comments {T}",
         "s3_repair_library_text": f"SELECT k, pos, '<VirtualDJ_Database><Song>' || pos || '</Song></VirtualDJ_Database>' AS repaired {C}",
         "s4_read_analyses": "SELECT k, k % 11 = 0 OR k % 13 = 0 AS failed, CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN 0 ELSE cues END AS cues, printf('%.3f', CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN 0e0 ELSE coalesce(seconds, 0e0) END) AS seconds FROM sized",

@@ -15,6 +15,7 @@ from .plans import derived, jobs
 from .plans.oracles import ORACLE_SQL
 from .sources import analyses as responses
 from .sources import library as documents
+from .sources import published
 
 SINGLE = replace(DEFAULT, policy="single")
 K = ["k"]
@@ -393,16 +394,47 @@ def k1_export_library(spark, d):
     return jobs.poi_rows(documents.read_export(spark, path)).drop("song_ord")
 
 
+def s2_read_raw_library(spark, d):
+    """Songs of documents from elsewhere, with their text as it stands there."""
+    path = _scratch(spark, "foreign")
+    derived.write_foreign_library(spark, d, path)
+    rows = documents.read_raw_library(spark, path, folders=True)
+    return rows.select("library_id", "path", "scan_bpm", "tags_bpm", F.size("pois").cast("long").alias("points"), "raw", (F.length("after") > 0).alias("followed"))
+
+
+def k1_lossless_edit(spark, d):
+    """Documents from elsewhere, annotated and exported; the text of their songs in the export."""
+    path = _scratch(spark, "foreign")
+    derived.write_foreign_library(spark, d, f"{path}/in")
+    library = documents.read_raw_library(spark, f"{path}/in", folders=True)
+    documents.write_library(jobs.annotate_library(library, derived.library_analyses(spark, d)), f"{path}/out")
+    return documents.read_raw_library(spark, f"{path}/out", folders=True).select("library_id", "path", "raw")
+
+
 def k2_publish_library(spark, d):
-    """The songs and points of a checked and published export, by the reader of well-formed files."""
+    """The songs and points of a library that was published over an earlier one."""
     path = _scratch(spark, "publish")
-    if not documents.publish(derived.library(spark, d), spark, f"{path}/staging", f"{path}/out"):
-        raise RuntimeError("the export isn't what was written")
+    library = derived.library(spark, d)
+    for one in (jobs.annotate_library(library, derived.library_analyses(spark, d)), library):
+        if not published.publish(one, spark, path):
+            raise RuntimeError("the export isn't what was written")
     number = lambda c: F.col(c).cast("double").alias(c)
-    rows = documents.read_library(spark, f"{path}/out/*/*")
+    rows = published.read_published(spark, path)
     return rows.select("path", number("song_length"), number("scan_bpm"), number("tags_bpm"), number("grid_pos"), _contents().alias("contents"), F.array_join("comments", "|").alias("comments"))
 
 
+def k2_export_differences(spark, d):
+    """The documents of an export that no longer hold what the table does: some paths, points and comments have changed."""
+    path, cfg = _scratch(spark, "differences"), replace(DEFAULT, songs_per_document=500)
+    library = derived.library(spark, d)
+    documents.write_library(library, path, cfg)
+    k = F.col("song_ord") % 4000
+    moved = F.transform("pois", lambda p: p.withField("_Pos", F.lit("9.0")))
+    library = library.withColumn("path", F.when(k == 1, F.concat("path", F.lit("x"))).otherwise(F.col("path"))).withColumn("pois", F.when(k == 1002, moved).otherwise(F.col("pois")))
+    library = library.withColumn("comments", F.when(k == 2003, F.reverse("comments")).otherwise(F.col("comments")))
+    return published.export_differences(library, spark, path, cfg)
+
+
 def k3_snapshot_library(spark, d):
     path = _scratch(spark, "snapshots")
     documents.snapshot_library(derived.library(spark, d), path, "20250101_000000")
