@@ -1,6 +1,7 @@
 """Jobs on small libraries: selection, upserts, documents, streams and plans."""
 
 import json
+import os
 import unicodedata
 
 import pytest
@@ -14,6 +15,7 @@ from tracklark.sources import analyses as responses
 from tracklark.sources import library as documents
 from tracklark.sources import published
 from tracklark.sources.inventory import audio_inventory
+from tracklark.streaming import incremental
 from tracklark.streaming.incremental import annotate_incremental, latest_version, library_at, write_first_version
 
 from .conftest import SF
@@ -309,17 +311,85 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == jobs.annotate_library(library, analysed).orderBy("library_id", "song_ord").collect()
 
 
-def test_stream_writes_only_what_it_touches(spark, tmp_path):
-    library, analysed = derived.library(spark, SF), derived.library_analyses(spark, SF).where("library_id = 'lib1'")
-    write_first_version(library, str(tmp_path / "lib"))
-    raw = analysed.select("library_id", "path", "batch_id", "idx", F.to_json(F.struct("measure_changes", "loop_segments")).alias("raw"))
-    for n in (0, 1, 2):
-        raw.where(f"batch_id % 3 = {n}").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+def _send(folder, rows, n):
+    """A response file, later than those before it."""
+    folder.mkdir(exist_ok=True)
+    f = folder / f"{n}.json"
+    f.write_text("".join(json.dumps(r) + "\n" for r in rows))
+    os.utime(f, (1_700_000_000 + n, 1_700_000_000 + n))
+
+
+def _response(path, time, batch, idx=0, library="lib1", raw=None):
+    made = {"measure_changes": [{"timestamp": time, "elements": ["drums", "synth"], "cue_name": f"n{time}"}], "loop_segments": []}
+    return {"library_id": library, "path": path, "batch_id": batch, "idx": idx, "raw": raw or json.dumps(made)}
+
+
+RESPONSES = [(10.0, 1, 0), (20.0, 5, 2), (30.0, 5, 1), (40.0, 2, 9), (50.0, 5, 2), (60.0, None, None)]
+
+
+@pytest.mark.parametrize(("order", "split"), [([1, 0, 4, 3, 5, 2], 2), ([5, 4, 3, 2, 1, 0], 4)])
+def test_any_order_and_split_of_files_gives_what_one_batch_does(spark, tmp_path, order, split):
+    library = derived.library(spark, SF).where("song_ord < 40 and library_id = 'lib1'")
+    path = library.where("song_ord % 17 <> 0").first().path
+    write_first_version(library, str(tmp_path / "lib"), buckets=4)
+    rows = [_response(path, *RESPONSES[i]) for i in order]
+    for n in range(0, len(rows), split):
+        _send(tmp_path / "in", rows[n : n + split], n)
     annotate_incremental(spark, str(tmp_path / "in"), str(tmp_path / "lib"), str(tmp_path / "cp"), files_per_batch=1).awaitTermination()
-    folders = {f"{p.parent.name}/{p.name}" for p in (tmp_path / "lib").glob("v=*/library_id=*")}
-    assert folders == {"v=0/library_id=lib0", "v=0/library_id=lib2", "v=0/library_id=lib3", "v=2/library_id=lib1", "v=3/library_id=lib1"}
+    got = latest_version(spark, str(tmp_path / "lib")).select(library.columns).orderBy("song_ord").collect()
+    every = spark.createDataFrame(rows, "library_id string, path string, batch_id long, idx long, raw string")
+    want = jobs.annotate_library(library, responses.read_analyses(every)).orderBy("song_ord").collect()
+    assert got == want and sum(len(r.pois) for r in got) > 0
+
+
+def test_stream_writes_only_what_it_touches(spark, tmp_path):
+    """One response reads and writes one bucket; what no version needs is deleted."""
+    library = derived.library(spark, SF)
+    at = str(tmp_path / "lib")
+    write_first_version(library, at, buckets=16)
+    paths = [r.path for r in library.where("library_id = 'lib1' and song_ord % 17 <> 0 and song_ord % 19 <> 0").orderBy("song_ord").limit(2).collect()]
+    seen = []
+    apply = incremental._applier(at, CueConfig())
+    for n, path in enumerate(paths):
+        batch = spark.createDataFrame([_response(path, 45.0, n)], incremental.RAW)
+        apply(batch, n)
+        if n:
+            apply(batch, n)  # again, as after a failure
+        (bucket,) = {p.name for p in (tmp_path / "lib" / "data" / f"v={n + 1}").glob("bucket=*")}
+        seen.append((n + 1, bucket))
+    left = {(int(p.parent.name[2:]), p.name) for p in (tmp_path / "lib" / "data").glob("v=*/bucket=*")}
+    assert {(v, b) for v, b in left if v} == set(seen)
+    # version 1, of which a failed second batch would begin anew, is all there
+    assert {b for _, b in left} == {f"bucket={i}" for i in range(16)} and (0, seen[-1][1]) in left and (0, seen[0][1]) not in left
+    scanned = incremental._buckets(spark, at, incremental._state(spark, at, 2), [5])
+    assert scanned.inputFiles() and all("/bucket=5/" in f for f in scanned.inputFiles())
+    assert library_at(spark, at, 1).count() == latest_version(spark, at).count() == library.count()
+    with pytest.raises(FileNotFoundError):
+        library_at(spark, at, 0)
+    found = spark.createDataFrame([_response(p, 45.0, n) for n, p in enumerate(paths)], incremental.RAW)
+    want = jobs.annotate_library(library, responses.read_analyses(found))
     rows = lambda t: t.select(library.columns).orderBy("library_id", "song_ord").collect()
-    assert rows(library_at(spark, str(tmp_path / "lib"), 3)) == rows(jobs.annotate_library(library, analysed))
+    assert rows(latest_version(spark, at)) == rows(want)
+
+
+def test_rejected_responses_are_kept_and_counted(spark, tmp_path):
+    library = derived.library(spark, SF).where("library_id = 'lib1'")
+    path = library.first().path
+    at = str(tmp_path / "lib")
+    write_first_version(library, at, buckets=4)
+    bad = [_response("/gone.mp3", 1.0, 1), _response(path, 1.0, 9, raw="{broken"), _response(path, 1.0, 9, raw="{}"), {"library_id": None, "path": None, "batch_id": None, "idx": None, "raw": None}]
+    _send(tmp_path / "in", [_response(path, 45.0, 3), *bad[:2]], 0)
+    _send(tmp_path / "in", bad[2:], 1)
+    annotate_incremental(spark, str(tmp_path / "in"), at, str(tmp_path / "cp"), files_per_batch=1).awaitTermination()
+    told = {(r.path, r.raw, r.reason) for r in incremental.rejected(spark, at).collect()}
+    assert told == {("/gone.mp3", bad[0]["raw"], "not_in_library"), (path, "{broken", "unparsable"), (path, "{}", "unparsable"), (None, None, "unparsable")}
+    assert [tuple(r) for r in incremental.stream_report(spark, at).orderBy("batch").collect()] == [(0, 3, 1, 1, 1), (1, 2, 0, 2, 0)]
+    # sent again once the song is there
+    again = library.limit(1).withColumn("path", F.lit("/gone.mp3")).withColumn("nfc_path", F.lit("/gone.mp3"))
+    write_first_version(again, str(tmp_path / "new"), buckets=4)
+    incremental.rejected(spark, at).where("reason = 'not_in_library'").drop("reason").write.json(str(tmp_path / "resent"))
+    annotate_incremental(spark, str(tmp_path / "resent"), str(tmp_path / "new"), str(tmp_path / "cp2")).awaitTermination()
+    assert "n1.0" in [p._Name for p in latest_version(spark, str(tmp_path / "new")).first().pois]
 
 
 def test_plan_shape(spark, tmp_path):

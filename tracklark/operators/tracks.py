@@ -122,7 +122,12 @@ def assign_batches(inventory: DataFrame, order: list[str], size: int = DEFAULT.b
     return rows.withColumn("batch_id", F.floor(F.col("idx") / size).cast("long")).drop("__id", "__range", "__before")
 
 
-def latest_analysis(analyses: DataFrame, on: list[str] = KEY) -> DataFrame:
-    """Of several analyses of a track the one applied last: the highest batch, and position in it."""
-    last = Window.partitionBy(*on).orderBy(F.desc("batch_id"), F.desc("idx"))
+def content_hash() -> Column:
+    """A number for what an analysis says, which decides between analyses of the same place."""
+    return F.xxhash64("measure_changes", "loop_segments")
+
+
+def latest_analysis(analyses: DataFrame, on: list[str] = KEY, tie: str | None = None) -> DataFrame:
+    """Of several analyses of a track the one applied last: the highest batch, and position in it, and then of `tie`."""
+    last = Window.partitionBy(*on).orderBy(F.desc("batch_id"), F.desc("idx"), *([F.desc(tie)] if tie else []))
     return analyses.withColumn("__rn", F.row_number().over(last)).where("__rn = 1").drop("__rn")

@@ -13,7 +13,7 @@ from ..functions.splice import spliced_song
 from ..functions.text import basename, capitalize, one_decimal
 from ..operators.candidates import align, explode_cues, explode_loops, points_of_tracks, select_loops
 from ..operators.pois import collected_points, replace_pois
-from ..operators.tracks import KEY, latest_analysis, with_attributes, with_key
+from ..operators.tracks import KEY, content_hash, latest_analysis, with_attributes, with_key
 
 
 def make_points(tracks: DataFrame, keys: list[str], cfg: CueConfig = DEFAULT) -> DataFrame:
@@ -27,12 +27,14 @@ def annotate_library(library: DataFrame, analyses: DataFrame, cfg: CueConfig = D
     """`library` with the points and comment of every track that has an analysis; other songs pass unchanged.
 
     `library`: library_id, song_ord, path, nfc_path, song_length, scan_bpm, tags_bpm, grid_pos, pois, comments.
-    `analyses`: library_id, path, batch_id, idx, measure_changes, loop_segments; the last one of a track counts.
+    `analyses`: library_id, path, batch_id, idx, measure_changes, loop_segments; the last one of a track counts
+    (by batch_id, idx, and then a hash of what it says).
     Of songs with the same path the first is edited; songs without a path are not. Three exchanges, all on the track's
     key: the analyses, the attributes of the library, and its songs; candidates are exploded and collected between them.
     A song that carries its text (`raw`) has it edited too, at its points and first comment alone.
     """
-    latest = latest_analysis(with_key(analyses.select("library_id", "path", "batch_id", "idx", "measure_changes", "loop_segments")))
+    found = with_key(analyses.select("library_id", "path", "batch_id", "idx", "measure_changes", "loop_segments"))
+    latest = latest_analysis(found.withColumn("__hash", content_hash()), tie="__hash").drop("__hash")
     tracks = with_attributes(latest, library, cfg)
     new = collected_points(points_of_tracks(tracks, [*KEY, "first_ord"], cfg), [*KEY, "first_ord"])
     # old points stay nested in their song's row; songs without a path get keys of their own

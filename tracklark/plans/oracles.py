@@ -110,6 +110,8 @@ def _sql(body: str) -> str:
     return (f"WITH {', '.join(f'{n} AS ({TABLES[n]})' for n in need)} " if need else "") + body
 
 
+#: The older of two responses for each track with an analysis, and why it can't be used.
+REJECTED = "SELECT library_id, CASE WHEN k // 5 % 7 = 0 THEN '/none' ELSE '' END || file_path AS path, k // 5 - 1000000000 AS batch_id, k % 5 AS idx, CASE WHEN k // 5 % 10 = 0 THEN 'unparsable' WHEN k // 5 % 7 = 0 THEN 'not_in_library' END AS reason FROM songs WHERE edited"
 C, T = "FROM candidates", "FROM tracks"
 SHOWN = "upper(left(x, 1)) || lower(substr(x, 2))"
 _SINGLE_FIRST = f"SELECT *, row_number() OVER (PARTITION BY k ORDER BY r0) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY k, ln ORDER BY r0) AS again FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY {SINGLE}, place) AS r0, %s AS ln FROM aligned WHERE kind = 'loop')) WHERE again = 1"
@@ -185,6 +187,8 @@ ORACLE_SQL = {
         "b5_track_status": "SELECT k, batch_id, status FROM statuses",
         "k4_run_report": "SELECT batch_id, count(*) AS tracks, count(*) FILTER (status = 'applied') AS applied FROM statuses GROUP BY ROLLUP (batch_id)",
         "b6_color_index": "SELECT color, type, path, pos, name FROM found",
-        "t1_annotate_incremental": "SELECT library_id, k AS song_ord, file_path AS path, CASE WHEN edited THEN comment ELSE 'old' END || '|second' AS comments, n AS points FROM songs JOIN comments USING (k) JOIN (SELECT song_ord AS k, count(*) AS n FROM annotated GROUP BY song_ord) USING (k)",
+        "t1_annotate_incremental": "SELECT library_id, k AS song_ord, file_path AS path, CASE WHEN edited THEN comment ELSE 'old' END || '|second' AS comments, n AS points, times AS \"at\" FROM songs JOIN comments USING (k) JOIN (SELECT song_ord AS k, count(*) AS n, string_agg(pos, ',' ORDER BY poi_ord) AS times FROM annotated GROUP BY song_ord) USING (k)",
+        "t1_rejected_responses": f"SELECT library_id, path, batch_id, idx, reason FROM ({REJECTED}) WHERE reason IS NOT NULL",
+        "t1_stream_report": f"SELECT 2 * count(*) AS responses, count(*) + count(*) FILTER (reason IS NULL) AS usable, count(*) FILTER (reason = 'unparsable') AS unparsable, count(*) FILTER (reason = 'not_in_library') AS not_in_library FROM ({REJECTED})",
     }.items()
 }

@@ -374,17 +374,44 @@ def b6_color_index(spark, d):
     return _index(spark, d).select("color", "type", "path", "pos", "name")
 
 
-def t1_annotate_incremental(spark, d):
-    """Responses arriving in files; the final library, to be equal to that of one batch."""
-    from .streaming.incremental import annotate_incremental, latest_version, write_first_version
+def _stream(spark, d):
+    """A library after responses that came in files: the newest first, older ones of the same tracks after them, and some
+    that can't be used."""
+    from .streaming.incremental import annotate_incremental, write_first_version
 
     path = _scratch(spark, "incremental")
-    write_first_version(derived.library(spark, d), f"{path}/library")
+    write_first_version(derived.library(spark, d), f"{path}/library", buckets=8)
     a = derived.library_analyses(spark, d)
-    a.select("library_id", "path", "batch_id", "idx", F.to_json(F.struct("measure_changes", "loop_segments")).alias("raw")).repartition(3, "batch_id").write.json(f"{path}/responses")
+    raw = F.to_json(F.struct("measure_changes", "loop_segments"))
+    a.select("library_id", "path", "batch_id", "idx", raw.alias("raw")).repartition(2, "batch_id").write.json(f"{path}/responses")
+    early = F.struct(F.transform("measure_changes", lambda c: c.withField("timestamp", F.lit(1.0))).alias("measure_changes"), F.col("loop_segments"))
+    odd = F.col("batch_id") % 10 == 0
+    old = a.select("library_id", F.when(F.col("batch_id") % 7 == 0, F.concat(F.lit("/none"), "path")).otherwise(F.col("path")).alias("path"), (F.col("batch_id") - 10**9).alias("batch_id"), "idx", F.when(odd, "{broken").otherwise(F.to_json(early)).alias("raw"))
+    old.coalesce(1).write.mode("append").json(f"{path}/responses")
     annotate_incremental(spark, f"{path}/responses", f"{path}/library", f"{path}/checkpoint", files_per_batch=1).awaitTermination()
-    rows = latest_version(spark, f"{path}/library")
-    return rows.select("library_id", "song_ord", "path", F.array_join("comments", "|").alias("comments"), F.size("pois").cast("long").alias("points"))
+    return f"{path}/library"
+
+
+def t1_annotate_incremental(spark, d):
+    """Responses arriving in files, the newest first; the final library, to be equal to that of one batch."""
+    from .streaming.incremental import latest_version
+
+    rows = latest_version(spark, _stream(spark, d))
+    return rows.select("library_id", "song_ord", "path", F.array_join("comments", "|").alias("comments"), F.size("pois").cast("long").alias("points"), F.array_join(F.transform("pois", lambda p: p["_Pos"]), ",").alias("at"))
+
+
+def t1_rejected_responses(spark, d):
+    """The responses of a stream that couldn't be used, with the reason."""
+    from .streaming.incremental import rejected
+
+    return rejected(spark, _stream(spark, d)).select("library_id", "path", "batch_id", "idx", "reason")
+
+
+def t1_stream_report(spark, d):
+    """What became of all responses of a stream."""
+    from .streaming.incremental import REASONS, stream_report
+
+    return stream_report(spark, _stream(spark, d)).agg(*(F.sum(c).alias(c) for c in ("responses", "usable", *REASONS)))
 
 
 def k1_export_library(spark, d):

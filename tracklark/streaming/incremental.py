@@ -1,78 +1,162 @@
 """Incremental annotation: analyses that arrive as files are applied batch by batch; the library table is the state.
 
-The table has a folder v=<version>/library_id=<id> for each version in which a library was written: version 0 holds all
-of them, and each micro-batch only those that it has analyses for. A library stands as its newest folder says.
+The table is dealt into buckets by a hash of the track's key, as many as it was made with, whatever the number of libraries.
+A bucket's rows lie in `data/v=<version>/bucket=<number>`, and `state/<version>.json` says for each bucket in which version
+it was last written. A micro-batch reads and writes only the buckets that it has responses for, by their paths; nothing is
+listed. Songs have two more columns, the place (batch_id, idx) of the response that was applied to them and a hash of it:
+an older response changes nothing, in whatever order files arrive and however they are split.
+
+Responses that can't be used go to `rejected/batch=<n>` with a reason, and can be sent again from there. What became of the
+responses of a batch is counted on the way, and kept in `reports/<n>.json`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT, CueConfig
+from ..operators.tracks import KEY, content_hash, latest_analysis, with_key
 from ..plans.jobs import annotate_library
 from ..sources.analyses import read_analyses
+from ..sources.files import delete, exists, folder_names, read_text, replace_text
 
 RAW = "library_id string, path string, batch_id long, idx long, raw string"
+#: Buckets of a new table; what the state holds on the driver is a number for each.
+BUCKETS = 64
+MARK = ["applied_batch", "applied_idx", "applied_hash"]
+REASONS = ("unparsable", "not_in_library")
 
 
-def write_first_version(library: DataFrame, path: str) -> None:
-    library.write.partitionBy("library_id").parquet(f"{path}/v=0")
+def bucket_of(buckets: int) -> Column:
+    """By the track's key; songs without a path are spread by their place."""
+    own = F.when(F.col("nfc_path") == "", F.col("song_ord").cast("string")).otherwise(F.lit(""))
+    return F.pmod(F.xxhash64("library_id", "nfc_path", own), F.lit(buckets)).cast("int")
 
 
-def library_at(spark: SparkSession, library: str, version: int) -> DataFrame:
-    """The library table as it stood at a version. Folders of later versions are not read, whole or not."""
-    stored = [f for f in spark.read.parquet(library).schema if f.name not in ("v", "library_id")]
-    schema = T.StructType([*stored, T.StructField("v", T.LongType()), T.StructField("library_id", T.StringType())])
-    rows = spark.read.schema(schema).parquet(library).where(F.col("v") <= version)
-    newest = rows.groupBy("library_id").agg(F.max("v").alias("v"))  # of folder names; a row for each library
-    return rows.join(newest, ["library_id", "v"]).drop("v")
+def _state(spark: SparkSession, library: str, version: int) -> list[int]:
+    text = read_text(spark, f"{library}/state/{version}.json")
+    if text is None:
+        raise FileNotFoundError(f"{library} has no version {version}, or no longer")
+    return json.loads(text)
 
 
-def annotate_incremental(spark: SparkSession, responses: str, library: str, checkpoint: str, files_per_batch: int = 100, cfg: CueConfig = DEFAULT) -> StreamingQuery:
-    """Apply JSON-lines response files (library_id, path, batch_id, idx, raw) under `responses` to the library table.
+def write_first_version(library: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """The table as of version 0. `buckets` should make a bucket's rows some hundred MB."""
+    none = [F.lit(None).cast("long").alias(c) for c in MARK]
+    rows = library.select("*", *none).withColumn("bucket", bucket_of(buckets))
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data/v=0")
+    spark = library.sparkSession
+    full = {int(n.removeprefix("bucket=")) for n in folder_names(spark, f"{path}/data/v=0")}
+    schema = json.loads(library.select("*", *none).schema.json())
+    replace_text(spark, f"{path}/schema.json", json.dumps(schema))
+    replace_text(spark, f"{path}/state/0.json", json.dumps([0 if b in full else -1 for b in range(buckets)]))
 
-    Micro-batch n reads the table as of version n and writes version n+1 of the libraries that it has analyses for, so a
-    batch that is run again writes the same. Folders that version n no longer needs are then deleted. A response that
-    can't be parsed leaves its track as it was; later responses for a track replace earlier ones. Stops when all files
-    that are there have been applied.
-    """
-    stream = spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).json(responses)
 
-    def apply(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        good = read_analyses(batch).where(~F.col("failed")).drop("failed")
-        touched = library_at(session, library, number).join(good.select("library_id").distinct(), "library_id", "left_semi")
-        annotate_library(touched, good, cfg).write.mode("overwrite").partitionBy("library_id").parquet(f"{library}/v={number + 1}")
-        _expire(session, library, number)
+def _buckets(spark: SparkSession, library: str, state: list[int], wanted: list[int] | None = None) -> DataFrame:
+    """The rows of buckets (all by default) with `bucket`; the scan lists and reads no other folder."""
+    schema = T.StructType.fromJson(json.loads(read_text(spark, f"{library}/schema.json")))
+    paths = [f"{library}/data/v={v}/bucket={b}" for b, v in enumerate(state) if v >= 0 and (wanted is None or b in wanted)]
+    stored = T.StructType([*schema.fields, T.StructField("v", T.LongType()), T.StructField("bucket", T.IntegerType())])
+    if not paths:
+        return spark.createDataFrame([], stored).drop("v")
+    return spark.read.schema(stored).option("basePath", f"{library}/data").parquet(*paths).drop("v")
 
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def library_at(spark: SparkSession, library: str, version: int) -> DataFrame:
+    """The library table as it stood at a version that is still kept, with the columns it was made from."""
+    return _buckets(spark, library, _state(spark, library, version)).drop("bucket", *MARK)
 
-def _files(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+def latest_version(spark: SparkSession, library: str) -> DataFrame:
+    return library_at(spark, library, int(read_text(spark, f"{library}/state/latest")) if exists(spark, f"{library}/state/latest") else 0)
 
-def _versions(spark: SparkSession, library: str) -> list[int]:
-    at, fs = _files(spark, library)
-    return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(at) if s.getPath().getName().startswith("v="))
 
+def apply_responses(rows: DataFrame, good: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
+    """Library rows (with MARK) after responses that may be older than those applied to them, or come twice.
 
-def _expire(spark: SparkSession, library: str, version: int) -> None:
-    """Deletes libraries' folders that neither `version` nor a later one reads."""
-    seen: set[str] = set()
-    for v in reversed([v for v in _versions(spark, library) if v <= version]):
-        at, fs = _files(spark, f"{library}/v={v}")
-        for s in fs.listStatus(at):
-            name = s.getPath().getName()
-            if name in seen:
-                fs.delete(s.getPath(), True)
-            elif name.startswith("library_id="):
-                seen.add(name)
+    The mark of a track is kept with its first song, the one that is edited.
+    """
+    least = F.lit(-(2**63)).cast("long")
+    last = latest_analysis(with_key(good).withColumn("__hash", content_hash()), tie="__hash")
+    last = last.withColumn("__new", F.struct(F.coalesce("batch_id", least).alias("b"), F.coalesce("idx", least).alias("i"), F.col("__hash").alias("h")))
+    old = F.struct(*(F.col(c).alias(n) for n, c in zip("bih", MARK, strict=True)))
+    tracks = rows.where("nfc_path <> ''").groupBy(*KEY).agg(F.min("song_ord").alias("song_ord"), F.max(F.when(F.col(MARK[0]).isNotNull(), old)).alias("__old"))
+    newer = last.join(tracks, KEY).where(F.col("__old").isNull() | (F.col("__new") > F.col("__old")))
+    done = annotate_library(rows, newer.select("library_id", "path", "batch_id", "idx", "measure_changes", "loop_segments"), cfg)
+    told = done.join(newer.select(*KEY, "song_ord", "__new"), [*KEY, "song_ord"], "left")
+    return told.select(*(F.coalesce(f"__new.{'bih'[MARK.index(c)]}", c).alias(c) if c in MARK else c for c in rows.columns))
 
 
-def latest_version(spark: SparkSession, library: str) -> DataFrame:
-    return library_at(spark, library, _versions(spark, library)[-1])
+def annotate_incremental(spark: SparkSession, responses: str, library: str, checkpoint: str, files_per_batch: int = 100, cfg: CueConfig = DEFAULT) -> StreamingQuery:
+    """Apply JSON-lines response files (library_id, path, batch_id, idx, raw) under `responses` to the library table.
+
+    Of the responses for a track, in whatever files and order they come, the one of the highest (batch_id, idx) stands, of
+    several with the same place that of the highest hash: the table ends as one batch over all responses would leave it.
+    Micro-batch n reads version n and writes version n+1 of the buckets that it has responses for, so a batch that is run
+    again writes the same. Buckets that version n no longer needs are then deleted. A response that can't be parsed, or is
+    for no song of the library, goes to `rejected` with its reason and leaves all as it was. Stops when all files that
+    are there have been applied.
+    """
+    stream = spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).json(responses)
+    return stream.writeStream.foreachBatch(_applier(library, cfg)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _applier(library: str, cfg: CueConfig) -> Callable[[DataFrame, int], None]:
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        state = _state(spark, library, number)
+        batch = with_key(batch).withColumn("bucket", bucket_of_track(len(state)))
+        parsed = read_analyses(batch.withColumn("text", F.col("raw"))).persist()  # read and parsed once
+        try:
+            touched = sorted(r["bucket"] for r in parsed.where(~F.col("failed")).select("bucket").distinct().collect())  # at most one of each
+            rows = _buckets(spark, library, state, touched)
+            there = rows.where("nfc_path <> ''").select(*KEY).distinct().withColumn("__there", F.lit(True))
+            told = parsed.join(there, KEY, "left")
+            reason = F.when(F.col("failed"), REASONS[0]).when(F.col("__there").isNull(), REASONS[1])
+            counted = Observation(f"responses-{number}")
+            told = told.withColumn("reason", reason).observe(counted, F.count("*").alias("responses"), F.count_if(F.col("reason").isNull()).alias("usable"), *(F.count_if(F.col("reason") == r).alias(r) for r in REASONS))
+            bad = told.where(F.col("reason").isNotNull()).select("library_id", "path", "batch_id", "idx", F.col("text").alias("raw"), "reason")
+            bad.write.mode("overwrite").parquet(f"{library}/rejected/batch={number}")
+            good = parsed.where(~F.col("failed")).select("library_id", "path", "batch_id", "idx", "measure_changes", "loop_segments")
+            done = apply_responses(rows.drop("bucket"), good, cfg).withColumn("bucket", bucket_of(len(state)))
+            done.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{library}/data/v={number + 1}")
+            replace_text(spark, f"{library}/reports/{number}.json", json.dumps(counted.get))
+        finally:
+            parsed.unpersist()
+        # buckets without rows have no folder
+        replace_text(spark, f"{library}/state/{number + 1}.json", json.dumps([number + 1 if b in set(touched) and v >= 0 else v for b, v in enumerate(state)]))
+        replace_text(spark, f"{library}/state/latest", str(number + 1))
+        _expire(spark, library, number, state)
+
+    return apply
+
+
+def bucket_of_track(buckets: int) -> Column:
+    """The bucket of the song that a response with this key would change; as `bucket_of` for songs with a path."""
+    return F.pmod(F.xxhash64("library_id", "nfc_path", F.lit("")), F.lit(buckets)).cast("int")
+
+
+def _expire(spark: SparkSession, library: str, version: int, state: list[int]) -> None:
+    """Deletes buckets that `version` has replaced, and the state before it, which nothing reads any more."""
+    if version and exists(spark, f"{library}/state/{version - 1}.json"):
+        for b, (old, new) in enumerate(zip(_state(spark, library, version - 1), state, strict=True)):
+            if old != new:
+                delete(spark, f"{library}/data/v={old}/bucket={b}")
+        delete(spark, f"{library}/state/{version - 1}.json")
+
+
+def rejected(spark: SparkSession, library: str) -> DataFrame:
+    """All responses that couldn't be used, with `reason`; without it they can be written to where responses arrive."""
+    return spark.read.schema(f"{RAW}, reason string, batch long").parquet(f"{library}/rejected").drop("batch")
+
+
+def stream_report(spark: SparkSession, library: str) -> DataFrame:
+    """What became of the responses of each micro-batch: batch, responses, usable, and those rejected by reason."""
+    files = spark.read.schema(f"responses long, usable long, {', '.join(f'{r} long' for r in REASONS)}").json(f"{library}/reports")
+    return files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)", 1).cast("long").alias("batch"), "*")
