@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklark.llm.mixing import WEIGHTS, apportion, mix_documents, mix_plan, n_words, op4_mixing, source_targets, words_taken
+from tracklark.llm.oracles import ORACLE_SQL
 from tracklark.llm.sharding import op10_sharding, stratified_shards
 
 from ..conftest import SF
@@ -143,3 +144,33 @@ def test_mixed_texts(spark, docs):
 def test_mixing_query_is_stable(spark):
     a, b = (sorted(op4_mixing(spark, SF).collect(), key=str) for _ in range(2))
     assert a == b
+
+
+def test_small_sources_leave_the_blocks_of_others_as_they_are(spark, same_rows, tmp_path):
+    """Sources of 1, 30, 900 and 5,000 words beside large ones: the query equals its SQL, and picks stay bounded."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = lambda n: " ".join(f"w{i}" for i in range(n))
+    own = [(10**6 + i, text(n), "en", source, 1) for i, (n, source) in enumerate([(1, "tiny"), (10, "few"), (20, "few"), (900, "some"), (5000, "more"), (0, "none"), (400_000, "big")])]
+    both = docs.unionByName(spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long").select(docs.columns))
+    both.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    import duckdb
+
+    view = duckdb.connect()
+    view.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same_rows(op4_mixing(spark, str(tmp_path)), view.sql(ORACLE_SQL["op4_mixing"]).df())
+    sized = both.withColumn("size", n_words("text"))
+    rows = mix_plan(sized).select("doc_id", "source", "size", "source_size", "target", F.size("picks").alias("n"), words_taken().alias("taken")).collect()
+    assert all(r.n <= 2 * (r.size // 128 + 2) + 16 * 128 for r in rows) and sum(r.n for r in rows) < 20_000
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r.source, [r.target, 0])[1] += r.taken
+    assert all(abs(taken - target) <= (1 if s in ("tiny", "few", "some") else 3 * 128) for s, (target, taken) in by_source.items())
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["size", "target", "picks", "weight", "source_size", "quotas", "n_blocks", "text"]
+    docs = spark.createDataFrame([(i, f"a b c {i}" if i % 3 else None, "s", *(f"{n}{i}" for n in names[:-1])) for i in range(30)], f"doc_id long, text string, source string, {', '.join(f'{n} string' for n in names[:-1])}")
+    mixed = mix_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 0
+    assert all(r[n] == f"{n}{r.doc_id}" for r in mixed.collect() for n in names[:-1])
+    assert mix_documents(docs.limit(0)).count() == 0

@@ -275,3 +275,17 @@ def test_pipeline_by_stages(spark):
     assert packed.agg(F.sum("length")).first()[0] == sum(len(ids.of(r.text)) // 4 + 1 for r in mixed.collect())
     again = corpus_pipeline.run(spark, SF)
     assert again.drop("sequence_id", "offset").count() == packed.count()
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null texts, ids and sources, repeated rows, clashing names and an empty table go through every stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = docs.union(docs.limit(5)).union(spark.createDataFrame([(None, None, None, None, None), (7, "", "en", None, 0), (None, "one two three", None, "x", 3)], docs.schema))
+    names = ["node", "size", "target", "picks", "weight", "class_id", "score", "sequence_id", "start", "length"]
+    odd = odd.select("*", *(F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(n) for n in names))
+    for rows in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            before, rows = rows, materialize(stage(spark, rows, SF))
+            if name != "packing":
+                assert rows.columns == before.columns == odd.columns
+                assert rows.where(" or ".join(f"{n} <> '{n}' || coalesce(cast(doc_id AS string), '')" for n in names)).count() == 0

@@ -3,8 +3,10 @@
 1. Targets: a budget of `ratio` times all words is shared by weight; no source gets more than `cap` times its own
    size, and what it can't take is shared again by weight. The fixed point is min(cap * size, level * weight), so the
    level is found from running sums over the sources in order of cap * size / weight.
-2. Blocks: a source's documents, in seeded order, form one stream of words, cut into equal blocks of
-   `block_words`, or of an eighth of the smallest source that has words if that is less (1 at least).
+2. Blocks: a source's documents, in seeded order, form one stream of words, cut into equal blocks of `block_words`. A
+   source of fewer than eight blocks is small: its blocks are single words, so that it too comes near its target, and small
+   sources are apportioned among themselves. What a small source has is bounded, and so are the blocks of one word: no row
+   has more picks than two for each of its blocks of `block_words`, and 16 * `block_words` more, whatever the sources.
 3. Quotas: blocks are given to sources by the highest quotients target / 1, target / 3, target / 5, ... Shard m of the
    mix gets what the first H(m + 1) blocks give beyond the first H(m): whole numbers that never go negative, because
    the method is house-monotone. Quotas at a house H come from rounding target / divisor and then giving (taking back)
@@ -25,6 +27,8 @@ from .storage import WORD, id_text, table
 
 RANGES = 4096  # three hexadecimal digits of the seeded hash
 BLOCK_WORDS = 128
+#: A source of fewer blocks has blocks of one word instead.
+SMALL_BLOCKS = 8
 SHARDS = 16
 SEED = 29
 WEIGHTS = (5, 2, 1)
@@ -56,22 +60,25 @@ def source_targets(sizes: DataFrame, ratio: float = 1.5, cap: float = 2.0, weigh
 
 
 def apportion(targets: DataFrame, block_words: int | Column = BLOCK_WORDS, n_shards: int = SHARDS) -> DataFrame:
-    """`targets` with `n_blocks` and `quotas`: by shard, how many blocks the source has been given up to its end."""
-    everything = Window.partitionBy()
-    t = targets.withColumn("n_blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
-    t = t.withColumn("__sum", F.sum("target").over(everything)).withColumn("__house", F.floor(F.col("__sum") / block_words + 0.5))
+    """`targets` with `n_blocks` and `quotas`: by shard, how many blocks the source has been given up to its end.
+
+    Sources of one size of block share a house.
+    """
+    t = targets.withColumn("__words", F.lit(block_words).cast("long") if isinstance(block_words, int) else block_words)
+    t = t.withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("__words")).cast("long"))
+    t = t.withColumn("__sum", F.sum("target").over(Window.partitionBy("__words"))).withColumn("__house", F.floor(F.col("__sum") / F.col("__words") + 0.5))
     houses = t.withColumn("__m", F.explode(F.sequence(F.lit(1), F.lit(n_shards)))).withColumn("__h", F.expr(f"__house * __m div {n_shards}"))
     # no source may have more than two passes; a target of cap times the size rounds to no more
     most = 2 * F.col("n_blocks")
     rounded = F.when(F.col("__h") > 0, F.floor(F.col("target") * F.col("__h") / F.col("__sum") + 0.5)).otherwise(0)
-    houses = houses.withColumn("__q", F.least(rounded, most)).withColumn("__off", F.col("__h") - F.sum("__q").over(Window.partitionBy("__m")))
+    houses = houses.withColumn("__q", F.least(rounded, most)).withColumn("__off", F.col("__h") - F.sum("__q").over(Window.partitionBy("__words", "__m")))
     # quotients of the blocks next to be given, or to be taken back
     k = F.when(F.col("__off") > 0, F.sequence(F.col("__q") + 1, F.least(F.col("__q") + F.col("__off"), F.greatest(most, F.col("__q") + 1))))
     k = k.when((F.col("__off") < 0) & (F.col("__q") > 0), F.sequence(F.col("__q"), F.greatest(F.lit(1), F.col("__q") + F.col("__off") + 1)))
     near = houses.withColumn("__k", F.explode_outer(k)).withColumn("__quotient", F.col("target") / (2 * F.col("__k") - 1))
     near = near.withColumn("__quotient", F.when((F.col("__k") <= most) | (F.col("__off") < 0), F.col("__quotient")))
-    rises = F.row_number().over(Window.partitionBy("__m").orderBy(F.col("__quotient").desc_nulls_last(), "__i"))
-    falls = F.row_number().over(Window.partitionBy("__m").orderBy(F.col("__quotient").asc_nulls_last(), F.desc("__i")))
+    rises = F.row_number().over(Window.partitionBy("__words", "__m").orderBy(F.col("__quotient").desc_nulls_last(), "__i"))
+    falls = F.row_number().over(Window.partitionBy("__words", "__m").orderBy(F.col("__quotient").asc_nulls_last(), F.desc("__i")))
     near = near.withColumn("__rises", rises).withColumn("__falls", falls)
     step = F.when(F.col("__quotient").isNull(), 0).when((F.col("__off") > 0) & (F.col("__rises") <= F.col("__off")), 1).when((F.col("__off") < 0) & (F.col("__falls") <= -F.col("__off")), -1).otherwise(0)
     by_shard = near.groupBy(*targets.columns, "n_blocks", "__m", "__q").agg((F.col("__q") + F.sum(step)).alias("__got"))
@@ -80,9 +87,8 @@ def apportion(targets: DataFrame, block_words: int | Column = BLOCK_WORDS, n_sha
 
 
 def block_size(most: int = BLOCK_WORDS) -> Column:
-    """Words in a block, one size for all sources of a table of targets, so that the smallest has eight blocks."""
-    least = F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(Window.partitionBy())
-    return F.least(F.lit(most), F.greatest(F.lit(1), F.floor(least / 8))).cast("long")
+    """Words in a source's blocks: `most`, or 1 for a source of fewer than eight such blocks."""
+    return F.when(F.col("source_size") < SMALL_BLOCKS * most, 1).otherwise(most).cast("long")
 
 
 def mix_plan(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, n_shards: int = SHARDS, key: str = "doc_id", tie: str | None = None) -> DataFrame:
@@ -134,10 +140,12 @@ def mix_documents(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WO
     """The mix as documents with the columns of `docs`: a row for each document and pass in which it has words taken.
 
     `text` keeps only the words taken, with the white space before each; a document taken whole keeps its text as it
-    is. `n_chars` is counted anew.
+    is. `n_chars` is counted anew. All other columns pass, whatever their names.
     """
     columns = docs.columns
-    sized = docs.withColumn("size", n_words("text")).withColumn("__tie", F.crc32(F.col("text").cast("binary")))
+    others = [c for c in columns if c not in ("doc_id", "source", "text", "n_chars")]
+    docs = docs.withColumn("__others", F.struct(*others) if others else F.lit(None))
+    sized = docs.drop(*others).withColumn("size", n_words("text")).withColumn("__tie", F.crc32(F.col("text").cast("binary")))
     plan = mix_plan(sized, seed, block_words, tie="__tie")
     rows = plan.withColumn("__pass", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__mine", F.filter("picks", lambda x: x["pass"] == F.col("__pass"))).where(F.size("__mine") > 0)
     total = F.aggregate("__mine", F.lit(0).cast("long"), lambda n, x: n + x["words"])
@@ -147,7 +155,7 @@ def mix_documents(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WO
     rows = rows.withColumn("__whole", total == F.col("size")).withColumn("__pieces", F.when(~whole, pieces)).withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*columns)
+    return rows.select(*(F.col("__others")[c].alias(c) if c in others else c for c in columns))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

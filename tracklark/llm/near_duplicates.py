@@ -85,9 +85,9 @@ def jaccard_at_least(threshold: float, most_cells: int = 1 << 23):
     return verify
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents that have words, with the key of their text."""
-    return docs.where(F.col("text").rlike(WORD)).withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
+def _keyed(docs: DataFrame, node: str = "node") -> DataFrame:
+    """Documents that have words, with the key of their text as column `node`."""
+    return docs.where(F.col("text").rlike(WORD)).withColumn(node, F.unhex(F.md5(F.col("text").cast("binary"))))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N) -> DataFrame:
@@ -131,7 +131,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     one text if several texts have that id or all ids are null).
 
     Documents without words (null, empty, white space) link with nothing and are kept. Rows that repeat a doc_id and a
-    text are links of each other; the column `kept` then says the same of each.
+    text are links of each other; the column `kept` then says the same of each. Other columns of `docs` play no part.
     """
     keyed = _keyed(docs.select("doc_id", "text")).select("doc_id", "node")
     told = keyed.join(classes(docs, threshold, recall, n), "node").select("doc_id", "class_id", "n_links", "component_id", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
@@ -140,9 +140,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N) -> DataFrame:
-    """`docs`, with its columns, less all documents but one of each component; documents without words stay."""
-    kept = classes(docs, threshold, recall, n).where("first").select("node", F.col("class_id").alias("__class"))
-    rows = _keyed(docs).join(kept, "node").where(F.col("doc_id").eqNullSafe(F.col("__class"))).dropDuplicates(["node"])
+    """`docs`, with its columns, less all documents but one of each component; documents without words stay.
+
+    Columns may have any names but `__node` and `__class`. A text is read in one piece, however long.
+    """
+    kept = classes(docs, threshold, recall, n).where("first").select(F.col("node").alias("__node"), F.col("class_id").alias("__class"))
+    rows = _keyed(docs, "__node").join(kept, "__node").where(F.col("doc_id").eqNullSafe(F.col("__class"))).dropDuplicates(["__node"])
     bare = docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
     return rows.select(*docs.columns).union(bare)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import BLOCK_WORDS, PRIMES, SEED, WEIGHTS
+from .mixing import BLOCK_WORDS, PRIMES, SEED, SMALL_BLOCKS, WEIGHTS
 
 #: All quotients are listed and ranked here; the Spark version finds the quotas without such a list.
 OP4 = rf"""
@@ -16,13 +16,14 @@ WITH sized AS (
   SELECT *, cap / weight AS fill, (1.5e0 * sum(source_size) OVER () - coalesce(sum(cap) OVER below, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER below, 0)) AS level
   FROM weighted WINDOW below AS (ORDER BY cap / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), targets AS (
-  SELECT *, least(cap, coalesce((SELECT arg_min(level, fill) FROM levels WHERE level <= fill), 'inf'::double) * weight) AS target, ceil(source_size / {BLOCK_WORDS})::bigint AS n FROM levels
+  SELECT *, least(cap, coalesce((SELECT arg_min(level, fill) FROM levels WHERE level <= fill), 'inf'::double) * weight) AS target, ceil(source_size / block)::bigint AS n
+  FROM (SELECT *, CASE WHEN source_size < {SMALL_BLOCKS * BLOCK_WORDS} THEN 1 ELSE {BLOCK_WORDS} END AS block FROM levels)
 ), house AS (
-  SELECT floor(sum(target) / {BLOCK_WORDS} + 0.5)::bigint AS blocks FROM targets
+  SELECT block, floor(sum(target) / block + 0.5)::bigint AS blocks FROM targets GROUP BY block
 ), quotients AS (
-  SELECT i, row_number() OVER (ORDER BY target / (2 * b - 1) DESC, i) AS place FROM (SELECT i, target, unnest(generate_series(1, 2 * n)) AS b FROM targets)
+  SELECT i, block, row_number() OVER (PARTITION BY block ORDER BY target / (2 * b - 1) DESC, i) AS place FROM (SELECT i, block, target, unnest(generate_series(1, 2 * n)) AS b FROM targets)
 ), quotas AS (
-  SELECT i, count(*) AS quota FROM quotients WHERE place <= (SELECT blocks FROM house) GROUP BY i
+  SELECT i, count(*) AS quota FROM quotients JOIN house USING (block) WHERE place <= blocks GROUP BY i
 ), turned AS (
   SELECT t.*, coalesce(quota, 0) AS quota, greatest(n, 1) AS m, md5('{SEED}/' || coalesce(source, '')) AS d FROM targets t LEFT JOIN quotas USING (i)
 ), plans AS (
@@ -30,11 +31,11 @@ WITH sized AS (
 ), placed AS (
   SELECT s.doc_id, s.size, p.*, coalesce(sum(s.size) OVER (PARTITION BY i ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS at_ FROM sized s JOIN plans p ON s.source IS NOT DISTINCT FROM p.source
 ), parts AS (
-  SELECT *, unnest(CASE WHEN size > 0 THEN generate_series(at_ // {BLOCK_WORDS}, (at_ + size - 1) // {BLOCK_WORDS}) ELSE [NULL] END) AS j FROM placed
+  SELECT *, unnest(CASE WHEN size > 0 THEN generate_series(at_ // block, (at_ + size - 1) // block) ELSE [NULL] END) AS j FROM placed
 ), cut AS (
-  SELECT *, coalesce(least((j + 1) * {BLOCK_WORDS}, at_ + size) - greatest(j * {BLOCK_WORDS}, at_), 0) AS words, (j * coalesce(by_, 0) % m + plus) % m AS pick FROM parts
+  SELECT *, coalesce(least((j + 1) * block, at_ + size) - greatest(j * block, at_), 0) AS words, (j * coalesce(by_, 0) % m + plus) % m AS pick FROM parts
 )
-SELECT doc_id, size, source_size, target, sum(words * ((pick < quota)::bigint + (pick + m < quota)::bigint))::bigint AS taken, source FROM cut GROUP BY ALL
+SELECT doc_id, size, source_size, target, coalesce(sum(words * ((pick < quota)::bigint + (pick + m < quota)::bigint)), 0)::bigint AS taken, source FROM cut GROUP BY ALL
 """
 
 #: Links and components for `reps` (id, members, n) and `near` (a, b), both directions.
