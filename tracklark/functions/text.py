@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..config import AUDIO_EXTENSIONS
 
+#: Characters that no XML text may hold, and numbers that are written too long.
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 LONG_DECIMAL = r"\d+\.\d{10,}"
 

@@ -12,6 +12,8 @@ from ..functions.beats import track_bpm
 from ..functions.text import is_audio_path, nfc_path
 
 KEY = ["library_id", "nfc_path"]
+#: A longer list of first rows is cut from the whole order instead of being chosen by one task.
+TOP = 100_000
 
 
 def with_key(df: DataFrame, path: str = "path") -> DataFrame:
@@ -92,7 +94,7 @@ def with_attributes(tracks: DataFrame, library: DataFrame, cfg: CueConfig = DEFA
     return found.select(*tracks.columns, a["song_length"].alias("song_length"), a["bpm"].alias("bpm"), a["grid_pos"].alias("grid_pos"), "first_ord")
 
 
-def _checkpointed(rows: DataFrame) -> DataFrame:
+def checkpointed(rows: DataFrame) -> DataFrame:
     """The rows as they are now, in the folder that `spark.checkpoint.dir` names (a temporary one if unset in local mode)."""
     sc = rows.sparkSession.sparkContext
     if not sc.getCheckpointDir():
@@ -111,7 +113,10 @@ def assign_batches(inventory: DataFrame, order: list[str], size: int = DEFAULT.b
     all their columns.
     """
     tie = F.xxhash64(*inventory.columns)
-    rows = _checkpointed(inventory.orderBy(*order, tie).withColumn("__id", F.monotonically_increasing_id()))
+    rows = inventory.orderBy(*order, tie)
+    if limit and limit <= TOP:  # each task keeps its own first ones, and one task chooses among them
+        rows = rows.limit(limit)
+    rows = checkpointed(rows.withColumn("__id", F.monotonically_increasing_id()))
     rows = rows.withColumn("__range", F.shiftright("__id", 33))
     counts = rows.groupBy("__range").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range

@@ -113,11 +113,6 @@ def color_index(points: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
     return points.where(F.col("type").isin("cue", "loop")).withColumn("color", decode_color(F.col("color"), cfg)).where(F.col("color").isNotNull())
 
 
-def write_color_index(index: DataFrame, path: str) -> None:
-    """Partitioned by colour; the five colours are spread over tasks before the write, as one may hold most rows."""
-    index.hint("rebalance", "color").write.partitionBy("color").parquet(path)
-
-
 def filter_cues_by_color(index: DataFrame, color: str) -> DataFrame:
     return index.where(F.col("color") == color)
 

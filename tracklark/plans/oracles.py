@@ -143,6 +143,8 @@ ORACLE_SQL = {
         "p21_capitalize": f"SELECT k, pos, {SHOWN.replace('x', 'color')} AS shown {C}",
         "p22_filter_cues_by_color": "SELECT path, type, name, pos FROM found WHERE color = 'purple'",
         "p23_filter_cues_by_element": f"SELECT k, pos, kind {C} WHERE {_has('piano')}",
+        "p22_search_color_index": "SELECT path, type, name, pos FROM found WHERE color = 'purple' AND starts_with(path, '/music/1')",
+        "p23_search_elements": f"SELECT k {C} GROUP BY k HAVING bool_or({_has('drums')}) AND bool_or({_has('vocals')}) AND NOT bool_or({_has('synth')})",
         "j1_tracks_in_library": f"SELECT k, file_path {T} WHERE k % 3 <> 0",
         "j2_tracks_missing": f"SELECT k, file_path {T} WHERE k % 3 = 0",
         "j3_first_song": f"SELECT '/music/' || custkey AS path, min(k) AS song_ord {T} GROUP BY custkey",
@@ -169,7 +171,12 @@ ORACLE_SQL = {
         "w8_latest_analysis": f"SELECT partkey, batch_id, idx FROM (SELECT partkey, k // 5 AS batch_id, k * 10 + pos AS idx {C} ) QUALIFY row_number() OVER (PARTITION BY partkey ORDER BY batch_id DESC, idx DESC) = 1",
         "u1_replace_pois": "SELECT path, count(*) AS points, count(*) FILTER (name IN ('old', 'keep') OR type = 'beatgrid') AS kept FROM annotated GROUP BY path",
         "u2_upsert_library": "SELECT library_id, k AS song_ord, file_path AS path, CASE WHEN edited THEN comment ELSE 'old' END || '|second' AS comments FROM songs JOIN comments USING (k)",
-        "u3_input_union": rf"SELECT arg_ord, k FROM (SELECT 0::bigint AS arg_ord, * {T} WHERE k % 3 <> 0 UNION ALL SELECT 1, * {T} WHERE k % 2 = 0) WHERE regexp_matches(lower(file_path), '\.(mp3|flac|wav|m4a|aac|ogg|opus|mpeg)$')",
+        "u3_input_union": rf"SELECT arg_ord, k FROM (SELECT 0::bigint AS arg_ord, * {T} WHERE k % 3 <> 0 UNION ALL SELECT 1, * {T} WHERE k % 2 = 0 OR k % 3 = 0) WHERE regexp_matches(lower(file_path), '\.(mp3|flac|wav|m4a|aac|ogg|opus|mpeg)$')",
+        "s1_audio_inventory": rf"SELECT arg_ord, path, length FROM (SELECT 1::bigint AS arg_ord, (k % 3) || '/' || (k % 7) || '/' || string_split(file_path, '/')[-1] AS path, k % 100 AS length, k {T} UNION ALL SELECT 0, (k % 3) || '/' || (k % 7) || '/' || string_split(file_path, '/')[-1], k % 100, k {T} WHERE k % 3 = 1) WHERE regexp_matches(lower(path), '\.(mp3|flac|wav|m4a|aac|ogg|opus|mpeg)$')",
+        "p6_round_times_exact": f"SELECT k, pos, printf('%.3f', printf('%.2f', (partkey * 10 + 5) / 1000e0)::double) AS rounded {C}",
+        "j4_malformed_scan": f"SELECT custkey, (list(CASE WHEN k % 6 <> 3 THEN bpm END ORDER BY k) FILTER (bpm IS NOT NULL OR k % 6 = 3))[1] AS bpm, min(k) AS first_ord FROM (SELECT *, {BPM} AS bpm {T} ) GROUP BY custkey",
+        "j4_nfc_attributes": f"SELECT k, NULL::double AS exact, k AS exact_ord, song_length AS nfc, k AS nfc_ord {T}",
+        "a5_removed_from_songs": f"SELECT k, count(*) FILTER ({REPLACEABLE}) AS removed FROM oldpoints GROUP BY k",
         "s2_read_library": f"SELECT file_path AS path, song_length::varchar AS song_length, '0.05' AS grid_pos, '{OLD}' AS contents, 'old|second' AS comments {T}",
         "k1_export_library": "SELECT library_id, path, poi_ord, type, num, slot, name, pos, color, size FROM annotated",
         "k2_publish_library": f"SELECT file_path AS path, song_length, scan_bpm, tags_bpm, 0.05e0 AS grid_pos, '{OLD}' AS contents, 'old|second' AS comments {T}",
@@ -179,6 +186,7 @@ ORACLE_SQL = {
         "k3_snapshot_library": f"SELECT 'lib' || (k % 4)::varchar AS library_id, k AS song_ord, file_path AS path, '{OLD}' AS contents, 'old|second' AS comments {T}",
         "s3_repair_library_text": f"SELECT k, pos, '<VirtualDJ_Database><Song>' || pos || '</Song></VirtualDJ_Database>' AS repaired {C}",
         "s4_read_analyses": "SELECT k, k % 11 = 0 OR k % 13 = 0 AS failed, CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN 0 ELSE cues END AS cues, printf('%.3f', CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN 0e0 ELSE coalesce(seconds, 0e0) END) AS seconds FROM sized",
+        "s4_strict_times": "SELECT k, reason IS NOT NULL AS failed, reason AS failure, CASE WHEN reason IS NULL THEN cues ELSE 0 END AS cues, printf('%.3f', CASE WHEN reason IS NULL AND k % 5 <> 0 THEN seconds ELSE 0e0 END) AS seconds FROM (SELECT *, CASE WHEN k % 7 = 0 OR (k % 5 <> 0 AND k % 9 = 0) THEN 'bad_time' END AS reason FROM sized WHERE cues > 0)",
         "s5_read_batch_analyses": "SELECT k // 5 AS batch_id, row_number() OVER (PARTITION BY k // 5 ORDER BY k) - 1 AS idx, cues, loops, printf('%.3f', coalesce(seconds, 0e0)) AS seconds FROM sized",
         "b1_annotate_library": "SELECT library_id, path, song_ord, poi_ord, type, num, slot, name, pos, color, size FROM annotated",
         "b2_preview": f"""SELECT k, kind, place + 1 AS n, coalesce(name, CASE kind WHEN 'cue' THEN 'cue' || (place + 1) ELSE 'loop' || (place + 1) || 'l' END) AS name, printf('%.1f', ts) AS at, {SHOWN.replace('x', 'color')} AS color, CASE kind WHEN 'loop' THEN coalesce(length_beats, 16e0) END AS beats, array_to_string(elements, ',') AS elements FROM aligned a WHERE place < CASE kind WHEN 'cue' THEN 6 ELSE 3 END""",

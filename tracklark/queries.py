@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DEFAULT
 from .functions import beats, elements, text
 from .operators import candidates as ops
-from .operators import pois, tracks
+from .operators import pois, search, tracks
 from .plans import derived, jobs
 from .plans.oracles import ORACLE_SQL
 from .sources import analyses as responses
@@ -83,6 +84,12 @@ def p6_round_times(spark, d):
     return _c(spark, d).select("k", "pos", text.round_time(F.col("ts") / 3).alias("seconds"))
 
 
+def p6_round_times_exact(spark, d):
+    """Times at and beside the middle between two hundredths, rounded by their binary value."""
+    odd = (F.col("partkey") * 10 + 5) / 1000
+    return _c(spark, d).select("k", "pos", F.format_string("%.3f", text.round_time(odd, exact=True)).alias("rounded"))
+
+
 def p7_normalize_bpm(spark, d):
     return _t(spark, d).select("k", beats.normalize_bpm(F.col("scan_bpm")).alias("bpm"))
 
@@ -160,6 +167,20 @@ def p22_filter_cues_by_color(spark, d):
     return jobs.filter_cues_by_color(_index(spark, d), "purple").select("path", "type", "name", "pos")
 
 
+def p22_search_color_index(spark, d):
+    """Purple points of one folder of tracks, from the written index."""
+    path = _scratch(spark, "colors")
+    search.write_color_index(_index(spark, d), path)
+    return search.search_color_index(spark, path, "purple", "/music/1").select("path", "type", "name", "pos")
+
+
+def p23_search_elements(spark, d):
+    """Tracks with drums and vocals but no synth, from the written index."""
+    path = _scratch(spark, "elements")
+    search.write_element_index(search.element_index(derived.analyses(spark, d), "k"), path)
+    return search.search_elements(spark.read.parquet(path), ["drums", "vocals"], ["synth"]).withColumnRenamed("number", "k")
+
+
 def p23_filter_cues_by_element(spark, d):
     return jobs.filter_cues_by_element(_c(spark, d), "piano").select("k", "pos", "kind")
 
@@ -187,6 +208,23 @@ def j4_track_attributes(spark, d):
     return tracks.attributes(songs, ["custkey"]).drop("first_ord")
 
 
+def j4_malformed_scan(spark, d):
+    """A song whose scan is no number ends the search for a BPM, without one."""
+    t = _t(spark, d).where("custkey is not null")
+    scan = F.when(F.col("k") % 6 == 3, "fast").otherwise(F.col("scan_bpm").cast("string"))
+    songs = t.select("custkey", F.col("k").alias("song_ord"), "song_length", scan.alias("scan_bpm"), F.col("tags_bpm").cast("string").alias("tags_bpm"), F.col("beatgrid_pos").alias("grid_pos"))
+    return tracks.attributes(songs, ["custkey"]).select("custkey", "bpm", "first_ord")
+
+
+def j4_nfc_attributes(spark, d):
+    """Paths spelled in another normal form than the library's: attributes by the path as written, and by its normal form."""
+    library = derived.library(spark, d).withColumn("path", F.concat("path", F.lit("e\u0301")))
+    library = tracks.with_key(library)
+    asked = tracks.with_key(library.select("library_id", F.concat(F.regexp_replace("path", "e\u0301$", ""), F.lit("\u00e9")).alias("path"), F.col("song_ord").alias("k")))
+    found = [tracks.with_attributes(asked, library, replace(DEFAULT, attribute_key=key)).select("k", F.col("song_length").alias(key), F.col("first_ord").alias(f"{key}_ord")) for key in ("exact", "nfc")]
+    return found[0].join(found[1], "k")
+
+
 def j5_analyses_to_tracks(spark, d):
     joined = _t(spark, d).select("k", "file_path").join(derived.analyses(spark, d), "k")
     return joined.select("k", "file_path", F.size("measure_changes").cast("long").alias("cues"), F.size("loop_segments").cast("long").alias("loops"), _seconds())
@@ -234,6 +272,13 @@ def a5_removed_counts(spark, d):
     return _old_points(spark, d).groupBy("k").agg(F.count_if(pois.is_replaceable_poi(F.col("type"), F.col("num"))).alias("removed"))
 
 
+def a5_removed_from_songs(spark, d):
+    """How many of a song's old points an edit removes, counted in the song's row."""
+    one = F.struct(*(F.lit(None).cast("string").alias(f"_{n}") if n not in ("Num", "Type") else F.col(n.lower()).alias(f"_{n}") for n in ("Name", "Pos", "Num", "Color", "Type", "Size", "Slot")))
+    songs = _old_points(spark, d).groupBy("k").agg(F.collect_list(one).alias("pois"))
+    return songs.select("k", pois.removed_count(F.col("pois")).cast("long").alias("removed"))
+
+
 def a6_color_usage(spark, d):
     return _points(spark, d).cube("color", "kind").agg(F.count("*").alias("points"), F.count_distinct("k").alias("tracks"))
 
@@ -299,7 +344,31 @@ def u2_upsert_library(spark, d):
 
 def u3_input_union(spark, d):
     t = _t(spark, d).select("k", "file_path")
-    return tracks.audio_only(tracks.input_union(t.where("k % 3 <> 0"), t.where("k % 2 = 0")), "file_path").select(F.col("arg_ord").cast("long").alias("arg_ord"), "k")
+    return tracks.audio_only(tracks.input_union(t.where("k % 3 <> 0"), t.where("k % 2 = 0 or k % 3 = 0")), "file_path").select(F.col("arg_ord").cast("long").alias("arg_ord"), "k")
+
+
+def s1_audio_inventory(spark, d):
+    """Audio files of a tree with a file for each track, listed by tasks."""
+    from .sources.inventory import store, tree_inventory
+
+    path = _scratch(spark, "tree")
+    rows = _t(spark, d).select(F.concat(F.lit(f"{path}/"), F.expr("k % 3"), F.lit("/"), F.expr("k % 7"), F.lit("/"), F.element_at(F.split("file_path", "/"), -1)).alias("path"), (F.col("k") % 100).alias("size"))
+
+    def write(batches):
+        n = 0
+        for b in batches:
+            for p, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                fs, at = store(p)
+                fs.create_dir(at.rsplit("/", 1)[0])
+                with fs.open_output_stream(at) as f:
+                    f.write(b"." * size)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    rows.repartition(8).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    found = tree_inventory(spark, [f"{path}/1", path])
+    root = path.removeprefix("file:").rstrip("/")
+    return found.select(F.col("arg_ord").cast("long").alias("arg_ord"), F.regexp_replace("path", f"^.*{root.rsplit('/', 1)[1]}/", "").alias("path"), "length")
 
 
 def s2_read_library(spark, d):
@@ -327,6 +396,18 @@ def s4_read_analyses(spark, d):
     return parsed.select("k", "failed", F.coalesce(F.size("measure_changes"), F.lit(0)).cast("long").alias("cues"), _seconds())
 
 
+def s4_strict_times(spark, d):
+    """Responses of which some say a time that is null, a text or no number, read strictly, with the reason of failure."""
+    a = derived.analyses(spark, d).where(F.size("measure_changes") > 0)
+    raw = F.to_json(F.struct("measure_changes", "loop_segments"))
+    time = '"timestamp":([0-9.E-]+),'
+    said = lambda text: F.regexp_replace(raw, time, text)
+    k = F.col("k")
+    made = F.when(k % 7 == 0, said('"timestamp":null,')).when(k % 5 == 0, said("")).when(k % 9 == 0, said('"timestamp":"early",')).when(k % 4 == 0, said('"timestamp":"$1",')).otherwise(raw)
+    parsed = responses.read_analyses(a.select("k", made.alias("raw")), strict=True)
+    return parsed.select("k", "failed", "failure", F.coalesce(F.size("measure_changes"), F.lit(0)).cast("long").alias("cues"), _seconds())
+
+
 def _seconds():
     """The sum of the cues' times as text."""
     total = F.aggregate("measure_changes", F.lit(0.0), lambda s, c: s + c["timestamp"])
@@ -383,7 +464,7 @@ def _stream(spark, d):
     write_first_version(derived.library(spark, d), f"{path}/library", buckets=8)
     a = derived.library_analyses(spark, d)
     raw = F.to_json(F.struct("measure_changes", "loop_segments"))
-    a.select("library_id", "path", "batch_id", "idx", raw.alias("raw")).repartition(2, "batch_id").write.json(f"{path}/responses")
+    a.select("library_id", "path", "batch_id", "idx", raw.alias("raw")).coalesce(1).write.json(f"{path}/responses")
     early = F.struct(F.transform("measure_changes", lambda c: c.withField("timestamp", F.lit(1.0))).alias("measure_changes"), F.col("loop_segments"))
     odd = F.col("batch_id") % 10 == 0
     old = a.select("library_id", F.when(F.col("batch_id") % 7 == 0, F.concat(F.lit("/none"), "path")).otherwise(F.col("path")).alias("path"), (F.col("batch_id") - 10**9).alias("batch_id"), "idx", F.when(odd, "{broken").otherwise(F.to_json(early)).alias("raw"))

@@ -16,18 +16,58 @@ def round_times(analysis: Column, exact: bool = False) -> Column:
     return F.struct(cues.alias("measure_changes"), loops.alias("loop_segments"))
 
 
-def parse_analysis(raw: Column, exact: bool = False) -> Column:
-    """A response as a struct; null if it isn't JSON or is an empty object or list."""
+#: Where times stand in a response.
+TIMES = {"measure_changes": "timestamp", "loop_segments": "start"}
+_LISTS = "array<variant>"
+
+
+def bad_times(text: Column) -> Column:
+    """Whether a response says a time that is no number: null, a text that isn't one, a list or an object. A time that
+    isn't said at all is none. A list of candidates that is null or no list counts as bad too."""
+    v = F.try_parse_json(text)
+    found = F.lit(False)
+    for name, time in TIMES.items():
+        listed = F.try_variant_get(v, f"$.{name}", "variant")
+        said = lambda c: F.try_variant_get(c, f"$.{time}", "variant")  # noqa: E731, B023
+        bad = F.exists(F.try_variant_get(v, f"$.{name}", _LISTS), lambda c: said(c).isNotNull() & (F.is_variant_null(said(c)) | F.try_variant_get(c, f"$.{time}", "double").isNull()))  # noqa: B023
+        found = found | F.coalesce(bad, listed.isNotNull())
+    return found
+
+
+def _said_times(analysis: Column, text: Column) -> Column:
+    """The analysis with the times as the response says them, those written as texts too."""
+    v = F.try_parse_json(text)
+
+    def said(name: str, time: str) -> Column:
+        lists = F.try_variant_get(v, f"$.{name}", _LISTS)
+        return F.transform(analysis[name], lambda c, i: c.withField(time, F.try_variant_get(F.get(lists, i), f"$.{time}", "double")))
+
+    return F.struct(*(said(n, t).alias(n) for n, t in TIMES.items()))
+
+
+def failure(raw: Column, strict: bool = False) -> Column:
+    """Why a response gives no analysis: unparsable, empty (an empty object or list), or, if `strict`, bad_time; else null."""
+    text = repair_long_decimals(raw)
+    reason = F.when(F.try_parse_json(text).isNull(), "unparsable").when(F.regexp_replace(text, r"\s", "").isin("{}", "[]", "null"), "empty")
+    return reason.when(bad_times(text), "bad_time") if strict else reason
+
+
+def parse_analysis(raw: Column, exact: bool = False, strict: bool = False) -> Column:
+    """A response as a struct; null if it isn't JSON or is an empty object or list.
+
+    A time that is said to be null, or is no number, becomes null, and is later taken as 0. If `strict`, the response
+    fails for it, and a time written as a text is read as the number it is.
+    """
     text = repair_long_decimals(raw)
-    parsed = round_times(F.from_json(text, ANALYSIS, {"mode": "PERMISSIVE"}), exact)
-    broken = F.try_parse_json(text).isNull() | F.regexp_replace(text, r"\s", "").isin("{}", "[]", "null")
-    return F.when(~broken, parsed)
+    parsed = F.from_json(text, ANALYSIS, {"mode": "PERMISSIVE"})
+    return F.when(failure(raw, strict).isNull(), round_times(_said_times(parsed, text) if strict else parsed, exact))
 
 
-def read_analyses(raw: DataFrame, exact: bool = False) -> DataFrame:
-    """Rows with `raw` text, with measure_changes, loop_segments and `failed`."""
-    a = raw.withColumn("__a", parse_analysis(F.col("raw"), exact))
-    return a.select(*raw.columns, F.col("__a.measure_changes").alias("measure_changes"), F.col("__a.loop_segments").alias("loop_segments"), F.col("__a").isNull().alias("failed")).drop("raw")
+def read_analyses(raw: DataFrame, exact: bool = False, strict: bool = False) -> DataFrame:
+    """Rows with `raw` text, with measure_changes, loop_segments and `failed`; if `strict`, also `failure`, the reason."""
+    a = raw.withColumn("__a", parse_analysis(F.col("raw"), exact, strict))
+    why = [failure(F.col("raw"), True).alias("failure")] if strict else []
+    return a.select(*raw.columns, F.col("__a.measure_changes").alias("measure_changes"), F.col("__a.loop_segments").alias("loop_segments"), F.col("__a").isNull().alias("failed"), *why).drop("raw")
 
 
 def read_batch_analyses(raw: DataFrame, exact: bool = False) -> DataFrame:
