@@ -1,7 +1,9 @@
 """HTML extraction, packing and the pipeline."""
 
+import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -289,3 +291,23 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
             if name != "packing":
                 assert rows.columns == before.columns == odd.columns
                 assert rows.where(" or ".join(f"{n} <> '{n}' || coalesce(cast(doc_id AS string), '')" for n in names)).count() == 0
+
+
+def test_ratios_find_the_article_without_tags_and_names(spark, monkeypatch):
+    """The given pages without article and main elements, classes, ids and roles: word by word nearly what they give as
+    they stand, and less of it when all ratios are the same."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+
+    def bare(page):
+        page = re.sub(r"(</?)(?:article|main)\b", r"\1div", page, flags=re.I)
+        return re.sub(r"""\s(?:class|id|role)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", "", page, flags=re.I)
+
+    def agreement(found, want):
+        a, b = (Counter(" ".join(t).split()) for t in (found, want))
+        return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+    want = [main_blocks(p) for p in pages]
+    mean = lambda: np.mean([agreement(main_blocks(bare(p)), w) for p, w in zip(pages, want, strict=True)])
+    with_ratios = mean()
+    monkeypatch.setattr(html_text, "ratios", lambda path, length, marks: np.ones(len(path)))
+    assert with_ratios >= 0.98 and mean() < with_ratios - 0.01
