@@ -377,13 +377,14 @@ def test_rejected_responses_are_kept_and_counted(spark, tmp_path):
     path = library.first().path
     at = str(tmp_path / "lib")
     write_first_version(library, at, buckets=4)
-    bad = [_response("/gone.mp3", 1.0, 1), _response(path, 1.0, 9, raw="{broken"), _response(path, 1.0, 9, raw="{}"), {"library_id": None, "path": None, "batch_id": None, "idx": None, "raw": None}]
+    late = '{"measure_changes":[{"timestamp":null}]}'
+    bad = [_response("/gone.mp3", 1.0, 1), _response(path, 1.0, 9, raw="{broken"), _response(path, 1.0, 9, raw="{}"), _response(path, 1.0, 9, raw=late), {"library_id": None, "path": None, "batch_id": None, "idx": None, "raw": None}]
     _send(tmp_path / "in", [_response(path, 45.0, 3), *bad[:2]], 0)
     _send(tmp_path / "in", bad[2:], 1)
-    annotate_incremental(spark, str(tmp_path / "in"), at, str(tmp_path / "cp"), files_per_batch=1).awaitTermination()
+    annotate_incremental(spark, str(tmp_path / "in"), at, str(tmp_path / "cp"), 1, CueConfig(strict_times=True)).awaitTermination()
     told = {(r.path, r.raw, r.reason) for r in incremental.rejected(spark, at).collect()}
-    assert told == {("/gone.mp3", bad[0]["raw"], "not_in_library"), (path, "{broken", "unparsable"), (path, "{}", "unparsable"), (None, None, "unparsable")}
-    assert [tuple(r) for r in incremental.stream_report(spark, at).orderBy("batch").collect()] == [(0, 3, 1, 1, 1), (1, 2, 0, 2, 0)]
+    assert told == {("/gone.mp3", bad[0]["raw"], "not_in_library"), (path, "{broken", "unparsable"), (path, "{}", "empty"), (path, late, "bad_time"), (None, None, "unparsable")}
+    assert [tuple(r) for r in incremental.stream_report(spark, at).orderBy("batch").collect()] == [(0, 3, 1, 1, 0, 0, 1), (1, 3, 0, 1, 1, 1, 0)]
     # sent again once the song is there
     again = library.limit(1).withColumn("path", F.lit("/gone.mp3")).withColumn("nfc_path", F.lit("/gone.mp3"))
     write_first_version(again, str(tmp_path / "new"), buckets=4)

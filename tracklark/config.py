@@ -31,6 +31,8 @@ class CueConfig:
     policy: str = "batch"
     #: "exact" looks attributes up by the path as written, "nfc" by its normal form.
     attribute_key: str = "exact"
+    #: Whether a response fails that says a time which is no number (a stream's responses; readers take `strict`).
+    strict_times: bool = False
     colors: dict[str, str] = field(default_factory=lambda: dict(COLORS))
 
 

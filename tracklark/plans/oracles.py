@@ -197,6 +197,6 @@ ORACLE_SQL = {
         "b6_color_index": "SELECT color, type, path, pos, name FROM found",
         "t1_annotate_incremental": "SELECT library_id, k AS song_ord, file_path AS path, CASE WHEN edited THEN comment ELSE 'old' END || '|second' AS comments, n AS points, times AS \"at\" FROM songs JOIN comments USING (k) JOIN (SELECT song_ord AS k, count(*) AS n, string_agg(pos, ',' ORDER BY poi_ord) AS times FROM annotated GROUP BY song_ord) USING (k)",
         "t1_rejected_responses": f"SELECT library_id, path, batch_id, idx, reason FROM ({REJECTED}) WHERE reason IS NOT NULL",
-        "t1_stream_report": f"SELECT 2 * count(*) AS responses, count(*) + count(*) FILTER (reason IS NULL) AS usable, count(*) FILTER (reason = 'unparsable') AS unparsable, count(*) FILTER (reason = 'not_in_library') AS not_in_library FROM ({REJECTED})",
+        "t1_stream_report": f"SELECT 2 * count(*) AS responses, count(*) + count(*) FILTER (reason IS NULL) AS usable, count(*) FILTER (reason = 'unparsable') AS unparsable, 0 AS empty, 0 AS bad_time, count(*) FILTER (reason = 'not_in_library') AS not_in_library FROM ({REJECTED})",
     }.items()
 }

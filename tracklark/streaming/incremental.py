@@ -23,14 +23,15 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import DEFAULT, CueConfig
 from ..operators.tracks import KEY, content_hash, latest_analysis, with_key
 from ..plans.jobs import annotate_library
-from ..sources.analyses import read_analyses
+from ..sources.analyses import failure, read_analyses
 from ..sources.files import delete, exists, folder_names, read_text, replace_text
 
 RAW = "library_id string, path string, batch_id long, idx long, raw string"
 #: Buckets of a new table; what the state holds on the driver is a number for each.
 BUCKETS = 64
 MARK = ["applied_batch", "applied_idx", "applied_hash"]
-REASONS = ("unparsable", "not_in_library")
+#: Why a response is rejected; bad_time only if the settings ask for strict times.
+REASONS = ("unparsable", "empty", "bad_time", "not_in_library")
 
 
 def bucket_of(buckets: int) -> Column:
@@ -99,7 +100,7 @@ def annotate_incremental(spark: SparkSession, responses: str, library: str, chec
     Of the responses for a track, in whatever files and order they come, the one of the highest (batch_id, idx) stands, of
     several with the same place that of the highest hash: the table ends as one batch over all responses would leave it.
     Micro-batch n reads version n and writes version n+1 of the buckets that it has responses for, so a batch that is run
-    again writes the same. Buckets that version n no longer needs are then deleted. A response that can't be parsed, or is
+    again writes the same. Buckets that version n no longer needs are then deleted. A response that can't be used, or is
     for no song of the library, goes to `rejected` with its reason and leaves all as it was. Stops when all files that
     are there have been applied.
     """
@@ -112,13 +113,13 @@ def _applier(library: str, cfg: CueConfig) -> Callable[[DataFrame, int], None]:
         spark = batch.sparkSession
         state = _state(spark, library, number)
         batch = with_key(batch).withColumn("bucket", bucket_of_track(len(state)))
-        parsed = read_analyses(batch.withColumn("text", F.col("raw"))).persist()  # read and parsed once
+        parsed = read_analyses(batch.withColumn("text", F.col("raw")).withColumn("why", failure(F.col("raw"), cfg.strict_times)), strict=cfg.strict_times).persist()  # read and parsed once
         try:
             touched = sorted(r["bucket"] for r in parsed.where(~F.col("failed")).select("bucket").distinct().collect())  # at most one of each
             rows = _buckets(spark, library, state, touched)
             there = rows.where("nfc_path <> ''").select(*KEY).distinct().withColumn("__there", F.lit(True))
             told = parsed.join(there, KEY, "left")
-            reason = F.when(F.col("failed"), REASONS[0]).when(F.col("__there").isNull(), REASONS[1])
+            reason = F.coalesce("why", F.when(F.col("__there").isNull(), REASONS[-1]))
             counted = Observation(f"responses-{number}")
             told = told.withColumn("reason", reason).observe(counted, F.count("*").alias("responses"), F.count_if(F.col("reason").isNull()).alias("usable"), *(F.count_if(F.col("reason") == r).alias(r) for r in REASONS))
             bad = told.where(F.col("reason").isNotNull()).select("library_id", "path", "batch_id", "idx", F.col("text").alias("raw"), "reason")
