@@ -219,6 +219,10 @@ def test_edit_replaces_points_and_first_comment_alone(spark, foreign, tmp_path):
     broken = rows.withColumn("raw", F.regexp_replace("raw", "<Link", "<Link<"))  # written as it stands, but no XML
     documents.write_library(broken, str(tmp_path / "broken"))
     assert not published.verify_export(broken, spark, str(tmp_path / "broken"))
+    # the first and the last song carry the frame
+    for k, left in enumerate((rows.where("path <> '/m/0.mp3'"), rows.where("path <> '/m/59.mp3'"))):
+        documents.write_library(left, str(tmp_path / f"part{k}"))
+        assert not published.verify_export(left, spark, str(tmp_path / f"part{k}"))
     again = documents.read_raw_library(spark, str(tmp_path / "out"), folders=True)
     assert [p._Name for p in again.where("path = '/m/7.mp3'").first().pois] == [None, "num-less", "keep", "Drums In"]
 
