@@ -56,10 +56,11 @@ def docs(spark):
     return spark.createDataFrame(corpus(), DOCS)
 
 
-@pytest.mark.parametrize(("block", "tile"), [(2048, 384), (16, 384), (16, 5)])
-def test_links_are_those_of_brute_force(docs, monkeypatch, block, tile):
+@pytest.mark.parametrize(("block", "tile", "most"), [(2048, 384, 64 << 20), (16, 384, 6000), (16, 5, 2000), (2048, 7, 1)])
+def test_links_are_those_of_brute_force(docs, monkeypatch, block, tile, most):
     monkeypatch.setattr(linking, "BLOCK", block)  # many blocks, many tiles
     monkeypatch.setattr(linking, "TILE", tile)
+    monkeypatch.setattr(linking, "BYTES", most)  # groups of a few texts, or of two
     got = {r.doc_id: r for r in near_duplicates(docs).collect()}
     links, root = brute(corpus())
     rows = corpus()
@@ -142,10 +143,11 @@ def test_components(spark):
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
-@pytest.mark.parametrize(("axes", "block", "tile"), [(None, 2048, 384), (0, 20, 7), (3, 20, 7)])
-def test_embedding_links_are_those_of_brute_force(spark, monkeypatch, axes, block, tile):
+@pytest.mark.parametrize(("axes", "block", "tile", "most"), [(None, 2048, 384, 64 << 20), (0, 20, 7, 1000), (3, 20, 7, 500)])
+def test_embedding_links_are_those_of_brute_force(spark, monkeypatch, axes, block, tile, most):
     monkeypatch.setattr(linking, "BLOCK", block)
     monkeypatch.setattr(linking, "TILE", tile)
+    monkeypatch.setattr(linking, "BYTES", most)
     r = np.random.default_rng(2)
     rows = []
     for _ in range(60):
@@ -195,3 +197,31 @@ def test_recall_of_planted_pairs(spark, axes):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     found = embedding_duplicates(frame, axes=axes).where("n_links > 0").count()
     assert found >= 2 * 1500 - 4
+
+
+def test_parts():
+    assert linking._parts([3, 3, 4], 10) == [0, 0, 0]
+    assert linking._parts([3, 3, 4, 1, 9, 1, 1], 10) == [0, 1, 2, 2, 3, 4, 4]
+    assert linking._parts([], 10) == []
+
+
+@pytest.mark.parametrize("most", [64 << 20, 9000, 3000])
+def test_payloads_of_a_group_are_bounded(docs, monkeypatch, most):
+    """No call of a verifier's group holds more than BYTES, or two texts, and the groups' links stay the same."""
+    from tracklark.llm import near_duplicates as module
+
+    monkeypatch.setattr(linking, "BYTES", most)
+    real = module.jaccard_at_least
+
+    def watched(threshold):
+        verify = real(threshold)
+
+        def check(left, right, wanted):
+            assert len({*left, *right}) <= 2 or sum(map(len, {*left, *right})) <= most
+            return verify(left, right, wanted)
+
+        return check
+
+    monkeypatch.setattr(module, "jaccard_at_least", watched)
+    links, _ = brute(corpus())
+    assert {r.doc_id: r.n_links for r in near_duplicates(docs).collect()} == {r[0]: len(x) for r, x in zip(corpus(), links, strict=True)}

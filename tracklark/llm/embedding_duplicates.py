@@ -150,7 +150,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recal
     found = materialize(rows.groupBy("node").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("members"), *(F.first(c).alias(c) for c in ("bands", "places", "sketch", "payload"))))
     window = WINDOW * _distance(threshold)
     payloads = lambda needed: needed.join(found.select("node", "payload"), "node")
-    links, edges = count_links(shared_windows(found, window), found.select("node", "members", "sketch"), payloads, cosine_at_least(threshold, 1 - (1 - recall) / 4), lists, window)
+    links, edges = count_links(shared_windows(found, window), found.select("node", "members", "sketch", F.length("payload").cast("long").alias("size")), payloads, cosine_at_least(threshold, 1 - (1 - recall) / 4), lists, window)
     told = rows.select("vec_id", "node").join(classified(found, links, edges), "node").select("vec_id", "n_links", "component_id")
     others = vectors.where(~partakes).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return told.union(others).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

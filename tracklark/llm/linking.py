@@ -9,6 +9,9 @@ apart, so a list is cut into segments as long as the window, and a segment meets
   so that a bucket with a third of all nodes is many groups of bounded size.
 * A pair counts in the first band in which it meets. Groups are first formed from sketches alone; only nodes that have
   a pair left to decide there are sent on with their payloads, to be verified exactly, as tiles of a matrix.
+* Nodes know the size of their payload. A group whose payloads take more than BYTES is dealt into parts of half of that
+  (or of one node), and each pair of parts with a pair to decide is a group of its own, so that what a task holds is
+  bounded in bytes, too, however long the texts are.
 * A group returns, for each node with links, their number (in rows) and the least node of its part of the group: the
   rows that leave a group are at most its nodes.
 """
@@ -28,9 +31,11 @@ from .storage import drop, materialize
 
 BLOCK = 2048
 TILE = 384
+BYTES = 64 << 20
 #: Payloads of two sides, and which pairs are asked for; gives which of these are links.
 Verify = Callable[[list[bytes], list[bytes], np.ndarray], np.ndarray]
 KEY = ["band", "hash", "segment", "beside", "i", "j"]
+PARTS = ["p", "q"]
 _KEY_TYPES = "band int, hash int, segment long, beside boolean, i int, j int"
 
 
@@ -137,9 +142,21 @@ class _Union:
         self.up[max(a, b)] = min(a, b)
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], each: Callable[[tuple, list[tuple]], list[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Calls `each` with the rows of every run of equal KEY and yields what it returns."""
-    n = len(KEY)
+def _parts(sizes: list[int], most: int) -> list[int]:
+    """A part for each node, in order: all in part 0 if they fit `most` bytes, else parts of half of it, or of one node."""
+    if sum(sizes) <= most:
+        return [0] * len(sizes)
+    out, part, held = [], 0, 0
+    for size in sizes:
+        if held and held + size > most // 2:
+            part, held = part + 1, 0
+        held += size
+        out.append(part)
+    return out
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], n: int, each: Callable[[tuple, list[tuple]], list[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Calls `each` with the rows of every run that is equal in the first `n` columns and yields what it returns."""
     group: list[tuple] = []
     at = None
     out: list[tuple] = []
@@ -160,16 +177,16 @@ def _by_group(batches: Iterator[pa.RecordBatch], each: Callable[[tuple, list[tup
         yield made()
 
 
-def count_links(buckets: DataFrame, nodes: DataFrame, payloads: Callable[[DataFrame], DataFrame], verify: Verify, bands: int, window: float | None = None, block: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Links of nodes (`node`, `members`, `sketch`) as `verify` finds them from payloads.
+def count_links(buckets: DataFrame, nodes: DataFrame, payloads: Callable[[DataFrame], DataFrame], verify: Verify, bands: int, window: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links of nodes (`node`, `members`, `sketch`, `size`) as `verify` finds them from payloads of `size` bytes.
 
     `payloads` gives (`node`, `payload`) for a table of the nodes that need one. Returns (node, links), the rows of other
     nodes that a node links with, and edges (a, b), a > b, that connect what links connect.
     """
-    sorted_lists, reach = window is not None, window or 0.0
+    sorted_lists, reach, most = window is not None, window or 0.0, BYTES
 
     def sides(group: list[tuple], key: tuple) -> tuple[int, _Side, _Side, bool]:
-        within = not key[3] and key[4] == key[5]
+        within = not key[3] and key[4] == key[5] and key[6:7] == key[7:8]
         cut = len(group) if within else sum(not r[0] for r in group)
         a = _Side([r[2] for r in group[:cut]], bands, sorted_lists) if cut else None
         b = a if within else _Side([r[2] for r in group[cut:]], bands, sorted_lists) if cut < len(group) else None
@@ -181,11 +198,32 @@ def count_links(buckets: DataFrame, nodes: DataFrame, payloads: Callable[[DataFr
             return []
         used = np.zeros(len(group), bool)
         off = 0 if within else cut
+        tiles = []
         for rows, columns, upper in _tiles(cut, len(group) - off, within):
             found = _wanted(a, b, rows, columns, key[0], reach, upper)
-            used[rows.start : rows.start + found.shape[0]] |= found.any(1)
-            used[off + columns.start : off + columns.start + found.shape[1]] |= found.any(0)
-        return [(*key, group[k][0], group[k][1]) for k in np.flatnonzero(used)]
+            x, y = found.any(1), found.any(0)
+            if x.any():
+                tiles.append((rows, columns, upper))
+                used[rows.start : rows.start + len(x)] |= x
+                used[off + columns.start : off + columns.start + len(y)] |= y
+        asked = np.flatnonzero(used)
+        dealt = _parts([group[k][3] for k in asked], most)
+        if not dealt or dealt[-1] == 0:
+            return [(*key, 0, 0, group[k][0], group[k][1]) for k in asked]
+        part = np.zeros(len(group), np.int64)
+        part[asked] = dealt
+        met: set[tuple[int, int]] = set()
+        for rows, columns, upper in tiles:
+            x, y = np.nonzero(_wanted(a, b, rows, columns, key[0], reach, upper))
+            met |= set(zip(part[x + rows.start].tolist(), part[y + off + columns.start].tolist(), strict=True))
+        of = {p: asked[part[asked] == p].tolist() for p in {p for pair in met for p in pair}}
+        out = []
+        for p, q in sorted(met):
+            if within:
+                out += [(*key, p, q, side, group[k][1]) for side, r in ((False, p), (True, q))[: 1 + (p != q)] for k in of[r]]
+            else:
+                out += [(*key, p, q, side, group[k][1]) for side, r in ((False, p), (True, q)) for k in of[r] if group[k][0] == side]
+        return out
 
     def check(key: tuple, group: list[tuple]) -> list[tuple]:
         cut, a, b, within = sides(group, key)
@@ -217,16 +255,16 @@ def count_links(buckets: DataFrame, nodes: DataFrame, payloads: Callable[[DataFr
             least[r] = min(least.get(r, names[k]), names[k])
         return [(names[k], int(counts[k]), least[union.find(k)]) for k in np.flatnonzero(counts).tolist()]
 
-    one = nodes.select("node", "sketch")
-    rows = _groups(buckets, block or BLOCK).join(one, "node").select(*KEY, "side", "node", "sketch")
+    one = nodes.select("node", "sketch", "size")
+    rows = _groups(buckets, BLOCK).join(one, "node").select(*KEY, "side", "node", "sketch", "size")
     rows = rows.repartition(*KEY).sortWithinPartitions(*KEY, "side", "node")
-    narrowed = pa.schema([("band", pa.int32()), ("hash", pa.int32()), ("segment", pa.int64()), ("beside", pa.bool_()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.bool_()), ("node", pa.binary())])
-    asked = materialize(rows.mapInArrow(lambda b: _by_group(b, narrow, narrowed), f"{_KEY_TYPES}, side boolean, node binary"))
+    narrowed = pa.schema([("band", pa.int32()), ("hash", pa.int32()), ("segment", pa.int64()), ("beside", pa.bool_()), ("i", pa.int32()), ("j", pa.int32()), ("p", pa.int32()), ("q", pa.int32()), ("side", pa.bool_()), ("node", pa.binary())])
+    asked = materialize(rows.mapInArrow(lambda b: _by_group(b, len(KEY), narrow, narrowed), f"{_KEY_TYPES}, p int, q int, side boolean, node binary"))
     loaded = nodes.select("node", "sketch", "members").join(payloads(asked.select("node").distinct()), "node")
-    rows = asked.join(loaded, "node").select(*KEY, "side", "node", "sketch", "members", "payload")
-    rows = rows.repartition(*KEY).sortWithinPartitions(*KEY, "side", "node")
+    rows = asked.join(loaded, "node").select(*KEY, *PARTS, "side", "node", "sketch", "members", "payload")
+    rows = rows.repartition(*KEY, *PARTS).sortWithinPartitions(*KEY, *PARTS, "side", "node")
     told = pa.schema([("node", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
-    found = materialize(rows.mapInArrow(lambda b: _by_group(b, check, told), "node binary, links long, root binary"))
+    found = materialize(rows.mapInArrow(lambda b: _by_group(b, len(KEY) + len(PARTS), check, told), "node binary, links long, root binary"))
     drop(asked)
     edges = found.where("node <> root").select(F.greatest("node", "root").alias("a"), F.least("node", "root").alias("b"))
     return found.groupBy("node").agg(F.sum("links").alias("links")), edges

@@ -102,8 +102,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            made = [signature(shingles(hashes.of(words(t.as_py())), n), bands, rows) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc_id"), pa.array(map(sketch, made), pa.binary()), pa.array(made, pa.list_(pa.int32()))], ["node", "doc_id", "sketch", "bands"])
+            made, sizes = [], []
+            for t in b.column("text"):
+                runs = shingles(hashes.of(words(t.as_py())), n)
+                made.append(signature(runs, bands, rows))
+                sizes.append(runs.nbytes)
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc_id"), pa.array(map(sketch, made), pa.binary()), pa.array(made, pa.list_(pa.int32())), pa.array(sizes, pa.int64())], ["node", "doc_id", "sketch", "bands", "size"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -114,8 +118,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
 
     keyed = _keyed(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = keyed.select("node", "doc_id", "text").mapInArrow(sign, f"node binary, doc_id {kind}, sketch binary, bands array<int>")
-    found = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    signed = keyed.select("node", "doc_id", "text").mapInArrow(sign, f"node binary, doc_id {kind}, sketch binary, bands array<int>, size long")
+    found = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.first("size").alias("size")))
 
     def payloads(needed: DataFrame) -> DataFrame:
         needed = needed.join(found.select("node", "class_id"), "node")
