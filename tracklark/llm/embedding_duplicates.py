@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,26 +126,25 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recal
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn: dict[int, tuple[np.ndarray, ...]] = {}
         for batch in batches:
-            ids, nodes, bands, places, payloads = [], [], [], [], []
-            for vec_id, v, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.array(v)
-                if len(x) not in drawn:
-                    random = np.random.default_rng([seed, len(x)])
-                    normal = random.standard_normal((len(x), lists * (axes + 1)))
-                    drawn[len(x)] = normal[:, :lists], normal[:, lists:], random.random(lists * axes) * CELL, random.integers(0, 2**63, (lists, axes), np.int64) | 1
-                order, split, shift, by = drawn[len(x)]
-                unit = x / np.sqrt(x @ x)
-                name = hashlib.blake2b(f"{label}/{len(x)}".encode(), digest_size=8).digest()
-                cell = np.floor((unit @ split + shift) / CELL).astype(np.int64).reshape(lists, axes)
-                hashed = (cell * by).sum(1) ^ int.from_bytes(name, "little", signed=True)
+            vectors, label = batch.column(1), batch.column(2)
+            for dim in pc.unique(pc.list_value_length(vectors)).to_pylist():
+                mine = pa.array(np.flatnonzero(pc.list_value_length(vectors).to_numpy() == dim))
+                x = np.ascontiguousarray(vectors.take(mine).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                if dim not in drawn:
+                    random = np.random.default_rng([seed, dim])
+                    normal = random.standard_normal((dim, lists * (axes + 1)))
+                    drawn[dim] = normal[:, :lists], normal[:, lists:], random.random(lists * axes) * CELL, random.integers(0, 2**63, (lists, axes), np.int64) | 1
+                order, split, shift, by = drawn[dim]
+                unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+                names = [hashlib.blake2b(f"{k}/{dim}".encode(), digest_size=8).digest() for k in label.take(mine).to_pylist()]
+                cell = np.floor((unit @ split + shift) / CELL).astype(np.int64).reshape(len(x), lists, axes)
+                hashed = (cell * by).sum(2) ^ np.frombuffer(b"".join(names), "<i8")[:, None]
                 hashed = (hashed.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-                ids.append(vec_id)
-                nodes.append(hashlib.md5(name + x.tobytes()).digest())
-                bands.append(hashed.astype(np.uint32).view(np.int32))
-                places.append((unit @ order).astype(np.float32))
-                payloads.append(name + x.tobytes())
-            made = [pa.array(ids, batch.schema.field(0).type), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.float32())), pa.array(map(sketch, bands, places), pa.binary()), pa.array(payloads, pa.binary())]
-            yield pa.RecordBatch.from_arrays(made, ["vec_id", "node", "bands", "places", "sketch", "payload"])
+                bands, places = hashed.astype(np.uint32).view(np.int32), (unit @ order).astype(np.float32)
+                payloads = [name + v.tobytes() for name, v in zip(names, x, strict=True)]
+                nodes = [hashlib.md5(v).digest() for v in payloads]
+                made = [batch.column(0).take(mine), pa.array(nodes, pa.binary()), pa.array(list(bands), pa.list_(pa.int32())), pa.array(list(places), pa.list_(pa.float32())), pa.array(map(sketch, bands, places), pa.binary()), pa.array(payloads, pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, ["vec_id", "node", "bands", "places", "sketch", "payload"])
 
     rows = materialize(rows.mapInArrow(sign, f"vec_id {kind}, node binary, bands array<int>, places array<float>, sketch binary, payload binary"))
     found = materialize(rows.groupBy("node").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("members"), *(F.first(c).alias(c) for c in ("bands", "places", "sketch", "payload"))))
