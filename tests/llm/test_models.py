@@ -12,7 +12,7 @@ from tracklark.llm import language_model as lm
 from tracklark.llm.neighbours import Graph, nearest
 from tracklark.llm.text import words
 from tracklark.llm import toxicity, url_filter
-from tracklark.llm.storage import smallest
+from tracklark.llm.storage import smallest, smallest_keys
 from tracklark.llm.toxicity import keep_clean, op8_toxicity, score, train
 from tracklark.llm.url_filter import host_and_path, judge, ngrams, rule_for
 
@@ -188,6 +188,16 @@ def test_smallest(spark):
     assert smallest(frame, "h", 9000).count() == 5000
 
 
+def test_smallest_keys(spark):
+    """Keys by their hash, whole groups only, whether a bound leaves rows out before or not."""
+    frame = spark.range(20_000).select((F.col("id") % 6000).alias("id"), F.col("id").alias("value"))
+    grouped = frame.groupBy("id").agg(F.max("value").alias("most")).withColumn("__order", F.xxhash64(F.lit(7), "id"))
+    for most in (100, 2500, 5000, 9000):
+        want = [tuple(r) for r in grouped.orderBy("__order", "id").limit(most).select("__order", "id", "most").collect()]
+        assert [tuple(r) for r in smallest_keys(frame, 7, most, ["id"], F.max("value").alias("most")).collect()] == want
+    assert smallest_keys(frame.limit(0), 7, 5, ["id"], F.max("value").alias("most")).count() == 0
+
+
 def test_toxicity_without_labels(toxic):
     docs, labels = toxic
     for some in (labels.limit(0), labels.where("toxic = 0")):

@@ -7,7 +7,7 @@ marks dropped. Rates are kept per coordinate, and the L1 terms leave most weight
 short list of slots and weights: at most 2**BITS of each, whatever the input's size, and therefore broadcast. Errors on
 toxic texts, the rarer kind, count POSITIVE times. The parameters were chosen by the loss on folds of the training rows.
 
-Learning uses at most TRAIN_ROWS labelled documents, those with the smallest seeded hashes of their ids; their
+Learning uses at most TRAIN_ROWS labelled documents, those with the smallest_keys seeded hashes of their ids; their
 features are made in parallel and one task runs over them PASSES times. Scoring reads every whole text.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import fold, smallest, table
+from .storage import fold, smallest_keys, table
 from .text import U64, WordHashes, mix
 
 BITS = 18
@@ -84,8 +84,8 @@ def learned(rows: list[tuple[int, np.ndarray]], passes: int = PASSES) -> Ftrl:
 
 def _labelled(labels: DataFrame, rows: int, seed: int) -> DataFrame:
     """At most `rows` labelled ids; of several labels for an id the largest counts; nulls are left out."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__label"))
-    return smallest(known.withColumn("__order", F.xxhash64(F.lit(seed), "doc_id")), "__order", rows, "doc_id")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
+    return smallest_keys(known, seed, rows, ["doc_id"], F.max("toxic").cast("int").alias("__label"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, passes: int = PASSES, seed: int = 11) -> tuple[np.ndarray, float]:

@@ -2,7 +2,7 @@
 
 A rule names a host (and so its subdomains) and the start of a path; the longest that fits decides. URLs that no rule
 fits are judged by a logistic regression on the distinct hashed n-grams (3 to 5 bytes) of host and path. It learns from
-a small labelled table: at most TRAIN_URLS URLs, those with the smallest seeded hashes, that the rules decide. One task
+a small labelled table: at most TRAIN_URLS URLs, those with the smallest_keys seeded hashes, that the rules decide. One task
 fits it; its 2**BITS weights are broadcast.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import smallest, table
+from .storage import smallest_keys, table
 
 BITS = 16
 TRAIN_URLS = 10_000
@@ -74,15 +74,15 @@ def learned(rows: list[tuple[np.ndarray, int]], passes: int = PASSES) -> np.ndar
 
 def train(labelled: DataFrame, urls: int = TRAIN_URLS, passes: int = PASSES, seed: int = 31) -> np.ndarray:
     """Weights by slot and, last, the bias, from (`host`, `path`, `blocked`). Without both verdicts all are 0."""
-    sample = labelled.where(F.col("blocked").isNotNull()).groupBy("host", "path").agg(F.max("blocked").cast("int").alias("blocked"))
-    sample = smallest(sample.withColumn("at", F.xxhash64(F.lit(seed), "host", "path")), "at", urls, "host", "path")
+    sample = labelled.where(F.col("blocked").isNotNull())
+    sample = smallest_keys(sample, seed, urls, ["host", "path"], F.max("blocked").cast("int").alias("blocked"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         w = learned([(ngrams(h, p), y) for _, h, p, y in rows], passes)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["weights"])
 
-    made = sample.select("at", "host", "path", "blocked").coalesce(1).mapInArrow(fit, "weights binary").collect()
+    made = sample.select("__order", "host", "path", "blocked").coalesce(1).mapInArrow(fit, "weights binary").collect()
     return np.frombuffer(made[0]["weights"]) if made else np.zeros(2**BITS + 1)
 
 
