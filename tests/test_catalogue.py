@@ -118,3 +118,12 @@ def test_first_batches_are_chosen_before_they_are_stored(spark, monkeypatch):
     assert stored == [23, 500] and len(few) == 23
 
 
+
+
+def test_tree_of_tracks_takes_no_blocks(spark, tmp_path):
+    """Every track has its file, of its size; together they take hardly any disk."""
+    derived.write_track_tree(spark, SF, str(tmp_path / "tree"))
+    files = {p.name: p.stat() for p in (tmp_path / "tree").rglob("*.*")}
+    want = {r.file_path.rsplit("/", 1)[1]: r.k % 100 for r in derived.tracks(spark, SF).collect()}
+    assert {n: s.st_size for n, s in files.items()} == want
+    assert sum(s.st_blocks for s in files.values()) == 0

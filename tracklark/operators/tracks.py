@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,17 +95,34 @@ def with_attributes(tracks: DataFrame, library: DataFrame, cfg: CueConfig = DEFA
     return found.select(*tracks.columns, a["song_length"].alias("song_length"), a["bpm"].alias("bpm"), a["grid_pos"].alias("grid_pos"), "first_ord")
 
 
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """The rows as they are now, in the folder that `spark.checkpoint.dir` names (a temporary one if unset in local mode)."""
+def _checkpoint_dir(rows: DataFrame) -> str:
+    """The folder that `spark.checkpoint.dir` names (a temporary one if unset in local mode)."""
     sc = rows.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         path = sc.getConf().get("spark.checkpoint.dir")
         if not path and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="tracklark-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """The rows as they are now, in the checkpoint folder."""
+    _checkpoint_dir(rows)
     return rows.checkpoint()
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows as they are now, compressed, in no order; removed when the driver ends. For what a checkpoint would store
+    at many times the size."""
+    spark = rows.sparkSession
+    path = f"{_checkpoint_dir(rows)}/stored-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def assign_batches(inventory: DataFrame, order: list[str], size: int = DEFAULT.batch_size, limit: int | None = None) -> DataFrame:
     """`inventory` with `idx` (position in order) and `batch_id` (position // size); the first `limit` rows, if given.
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +125,42 @@ def write_foreign_library(spark: SparkSession, sf_dir: str, path: str, songs_per
     rows.repartition(*to).sortWithinPartitions(*to, "part", "k").select(*to, "value").write.partitionBy(*to).text(path)
 
 
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Makes the files (path, size) and tells their number. What is in them doesn't matter: on a local disk they have no
+    blocks, and files of a size are names of the same one, as far as the disk allows, so that a file costs its name alone."""
+    import pyarrow.fs
+
+    from ..sources.inventory import store
+
+    n, folders, of_size = 0, set(), {}
+    for b in batches:
+        for path, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            fs, at = store(path)
+            folder = at.rsplit("/", 1)[0]
+            if folder not in folders:
+                fs.create_dir(folder)
+                folders.add(folder)
+            if not isinstance(fs, pyarrow.fs.LocalFileSystem):
+                with fs.open_output_stream(at) as f:
+                    f.write(b"." * size)
+            else:
+                try:
+                    os.link(of_size[size], at)
+                except (KeyError, OSError):  # the first of its size, or no more names for one file
+                    with open(at, "wb") as f:
+                        f.truncate(size)
+                    of_size[size] = at
+            n += 1
+    yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+
+def write_track_tree(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """A file for each track, in folders two levels deep."""
+    name = F.element_at(F.split("file_path", "/"), -1)
+    rows = tracks(spark, sf_dir).select(F.concat(F.lit(f"{path}/"), F.expr("k % 3"), F.lit("/"), F.expr("k % 7"), F.lit("/"), name).alias("path"), (F.col("k") % 100).alias("size"))
+    rows.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_files, "n long").agg(F.sum("n")).collect()
+
+
 def library_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analyses of the tracks whose number isn't divisible by 3, by library and path."""
     t = tracks(spark, sf_dir).where("k % 3 <> 0").select("k", "file_path")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_audio_path
-from ..operators.tracks import checkpointed, input_union
+from ..operators.tracks import input_union, stored
 
 
 def audio_inventory(spark: SparkSession, inputs: list[str]) -> DataFrame:
@@ -56,15 +56,16 @@ def tree_inventory(spark: SparkSession, roots: list[str], tasks: int | None = No
 
     Tasks list the folders, level by level: those found on a level are dealt out evenly for the next one, so that neither
     a wide tree nor one branch with most of the files is the work of one process, and no list of files goes to the driver.
-    A level is a checkpoint; a folder's own entries are listed by one task. Stores are those that Arrow reaches (local,
+    A level is stored compressed; a folder's own entries are listed by one task. Stores are those that Arrow reaches (local,
     HDFS, S3, GCS). A root that isn't there is an error, an empty one gives no rows; a root given twice counts twice.
     """
     levels = []
     folders = spark.createDataFrame([(i, r.rstrip("/") or "/") for i, r in enumerate(roots)], "arg_ord int, path string")
     n = tasks or spark.sparkContext.defaultParallelism
     while True:
-        found = checkpointed(folders.repartition(n, F.xxhash64("arg_ord", "path")).mapInArrow(_entries, "arg_ord int, path string, length long, folder boolean"))
-        levels.append(found.where(~F.col("folder") & is_audio_path(F.col("path"))).select("arg_ord", "path", "length"))
+        found = folders.repartition(n, F.xxhash64("arg_ord", "path")).mapInArrow(_entries, "arg_ord int, path string, length long, folder boolean")
+        found = stored(found.where(F.col("folder") | is_audio_path(F.col("path"))))
+        levels.append(found.where(~F.col("folder")).select("arg_ord", "path", "length"))
         folders = found.where("folder").select("arg_ord", "path")
         if folders.isEmpty():
             break
