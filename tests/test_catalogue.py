@@ -127,3 +127,20 @@ def test_tree_of_tracks_takes_no_blocks(spark, tmp_path):
     want = {r.file_path.rsplit("/", 1)[1]: r.k % 100 for r in derived.tracks(spark, SF).collect()}
     assert {n: s.st_size for n, s in files.items()} == want
     assert sum(s.st_blocks for s in files.values()) == 0
+
+
+def test_stream_of_any_size_is_dealt_out(spark, monkeypatch):
+    """Responses are written by all tasks, buckets are as many as the songs ask for, and two batches take all files."""
+    from tracklark import queries
+    from tracklark.sources.files import exists, read_text
+
+    monkeypatch.setattr(queries, "BUCKET_SONGS", 100)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        at = queries._stream(spark, SF)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    files = spark.read.text(at.removesuffix("library") + "responses").inputFiles()
+    assert len(files) == 8 and read_text(spark, f"{at}/state/latest") == "2"
+    assert len(read_text(spark, f"{at}/state/2.json").split(",")) == 8 + derived.tracks(spark, SF).count() // 100
+    assert not exists(spark, f"{at}/work/batch=0") and not exists(spark, f"{at}/work/batch=1")

@@ -19,6 +19,8 @@ from .sources import published
 
 SINGLE = replace(DEFAULT, policy="single")
 K = ["k"]
+#: Songs in a bucket of a stream's library.
+BUCKET_SONGS = 250_000
 
 
 def _bpm():
@@ -444,18 +446,20 @@ def b6_color_index(spark, d):
 def _stream(spark, d):
     """A library after responses that came in files: the newest first, older ones of the same tracks after them, and some
     that can't be used."""
-    from .streaming.incremental import annotate_incremental, write_first_version
+    from .streaming.incremental import RAW, annotate_incremental, write_first_version
 
     path = _scratch(spark, "incremental")
-    write_first_version(derived.library(spark, d), f"{path}/library", buckets=8)
-    a = derived.library_analyses(spark, d)
+    # buckets of about the same size, and files of what each task has, whatever the size of the tables
+    write_first_version(derived.library(spark, d), f"{path}/library", buckets=8 + derived.tracks(spark, d).count() // BUCKET_SONGS)
+    a = tracks.stored(derived.library_analyses(spark, d))
     raw = F.to_json(F.struct("measure_changes", "loop_segments"))
-    a.select("library_id", "path", "batch_id", "idx", raw.alias("raw")).coalesce(1).write.json(f"{path}/responses")
+    a.select("library_id", "path", "batch_id", "idx", raw.alias("raw")).write.option("compression", "gzip").json(f"{path}/responses")
+    newest = len(spark.read.schema(RAW).json(f"{path}/responses").inputFiles())
     early = F.struct(F.transform("measure_changes", lambda c: c.withField("timestamp", F.lit(1.0))).alias("measure_changes"), F.col("loop_segments"))
     odd = F.col("batch_id") % 10 == 0
     old = a.select("library_id", F.when(F.col("batch_id") % 7 == 0, F.concat(F.lit("/none"), "path")).otherwise(F.col("path")).alias("path"), (F.col("batch_id") - 10**9).alias("batch_id"), "idx", F.when(odd, "{broken").otherwise(F.to_json(early)).alias("raw"))
-    old.coalesce(1).write.mode("append").json(f"{path}/responses")
-    annotate_incremental(spark, f"{path}/responses", f"{path}/library", f"{path}/checkpoint", files_per_batch=1).awaitTermination()
+    old.write.mode("append").option("compression", "gzip").json(f"{path}/responses")
+    annotate_incremental(spark, f"{path}/responses", f"{path}/library", f"{path}/checkpoint", files_per_batch=newest).awaitTermination()
     return f"{path}/library"
 
 

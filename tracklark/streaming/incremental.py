@@ -78,22 +78,32 @@ def latest_version(spark: SparkSession, library: str) -> DataFrame:
     return library_at(spark, library, int(read_text(spark, f"{library}/state/latest")) if exists(spark, f"{library}/state/latest") else 0)
 
 
-def apply_responses(rows: DataFrame, good: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
-    """Library rows (with MARK) after responses that may be older than those applied to them, or come twice.
-
-    The mark of a track is kept with its first song, the one that is edited.
-    """
+def newer_responses(rows: DataFrame, good: DataFrame) -> DataFrame:
+    """Of responses the last for each track of the library rows (with MARK), if it isn't older than what was applied to
+    it, or the same; with `song_ord`, the place of the song that it changes, and `new`, its mark."""
     least = F.lit(-(2**63)).cast("long")
     last = latest_analysis(with_key(good).withColumn("__hash", content_hash()), tie="__hash")
-    last = last.withColumn("__new", F.struct(F.coalesce("batch_id", least).alias("b"), F.coalesce("idx", least).alias("i"), F.col("__hash").alias("h")))
+    last = last.withColumn("new", F.struct(F.coalesce("batch_id", least).alias("b"), F.coalesce("idx", least).alias("i"), F.col("__hash").alias("h")))
     old = F.struct(*(F.col(c).alias(n) for n, c in zip("bih", MARK, strict=True)))
     tracks = rows.where("nfc_path <> ''").groupBy(*KEY).agg(F.min("song_ord").alias("song_ord"), F.max(F.when(F.col(MARK[0]).isNotNull(), old)).alias("__old"))
-    newer = last.join(tracks, KEY).where(F.col("__old").isNull() | (F.col("__new") > F.col("__old")))
+    return last.join(tracks, KEY).where(F.col("__old").isNull() | (F.col("new") > F.col("__old"))).drop("__old", "__hash")
+
+
+def apply_newer(rows: DataFrame, newer: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
+    """Library rows (with MARK) after `newer_responses`, which are read twice and should be stored.
+
+    The mark of a track is kept with its first song, the one that is edited.
+    """
     done = annotate_library(rows, newer.select("library_id", "path", "batch_id", "idx", "measure_changes", "loop_segments"), cfg)
-    told = done.join(newer.select(*KEY, "song_ord", "__new"), [*KEY, "song_ord"], "left")
+    told = done.join(newer.select(*KEY, "song_ord", F.col("new").alias("__new")), [*KEY, "song_ord"], "left")
     return told.select(*(F.coalesce(f"__new.{'bih'[MARK.index(c)]}", c).alias(c) if c in MARK else c for c in rows.columns))
 
 
+def apply_responses(rows: DataFrame, good: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
+    """Library rows (with MARK) after responses that may be older than those applied to them, or come twice."""
+    return apply_newer(rows, newer_responses(rows, good), cfg)
+
+
 def annotate_incremental(spark: SparkSession, responses: str, library: str, checkpoint: str, files_per_batch: int = 100, cfg: CueConfig = DEFAULT) -> StreamingQuery:
     """Apply JSON-lines response files (library_id, path, batch_id, idx, raw) under `responses` to the library table.
 
@@ -108,13 +118,21 @@ def annotate_incremental(spark: SparkSession, responses: str, library: str, chec
     return stream.writeStream.foreachBatch(_applier(library, cfg)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _kept(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    """The rows as a batch reads them more than once: a cache would hold texts and lists uncompressed."""
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def _applier(library: str, cfg: CueConfig) -> Callable[[DataFrame, int], None]:
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         state = _state(spark, library, number)
         batch = with_key(batch).withColumn("bucket", bucket_of_track(len(state)))
-        parsed = read_analyses(batch.withColumn("text", F.col("raw")).withColumn("why", failure(F.col("raw"), cfg.strict_times)), strict=cfg.strict_times).persist()  # read and parsed once
+        work = f"{library}/work/batch={number}"
+        kept = lambda df, name: _kept(spark, df, f"{work}/{name}")
         try:
+            parsed = kept(read_analyses(batch.withColumn("text", F.col("raw")).withColumn("why", failure(F.col("raw"), cfg.strict_times)), strict=cfg.strict_times), "parsed")  # read and parsed once
             touched = sorted(r["bucket"] for r in parsed.where(~F.col("failed")).select("bucket").distinct().collect())  # at most one of each
             rows = _buckets(spark, library, state, touched)
             there = rows.where("nfc_path <> ''").select(*KEY).distinct().withColumn("__there", F.lit(True))
@@ -125,11 +143,12 @@ def _applier(library: str, cfg: CueConfig) -> Callable[[DataFrame, int], None]:
             bad = told.where(F.col("reason").isNotNull()).select("library_id", "path", "batch_id", "idx", F.col("text").alias("raw"), "reason")
             bad.write.mode("overwrite").parquet(f"{library}/rejected/batch={number}")
             good = parsed.where(~F.col("failed")).select("library_id", "path", "batch_id", "idx", "measure_changes", "loop_segments")
-            done = apply_responses(rows.drop("bucket"), good, cfg).withColumn("bucket", bucket_of(len(state)))
+            rows = rows.drop("bucket")
+            done = apply_newer(rows, kept(newer_responses(rows, good), "newer"), cfg).withColumn("bucket", bucket_of(len(state)))
             done.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{library}/data/v={number + 1}")
             replace_text(spark, f"{library}/reports/{number}.json", json.dumps(counted.get))
         finally:
-            parsed.unpersist()
+            delete(spark, work)
         # buckets without rows have no folder
         replace_text(spark, f"{library}/state/{number + 1}.json", json.dumps([number + 1 if b in set(touched) and v >= 0 else v for b, v in enumerate(state)]))
         replace_text(spark, f"{library}/state/latest", str(number + 1))
