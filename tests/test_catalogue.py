@@ -144,3 +144,11 @@ def test_stream_of_any_size_is_dealt_out(spark, monkeypatch):
     assert len(files) == 8 and read_text(spark, f"{at}/state/latest") == "2"
     assert len(read_text(spark, f"{at}/state/2.json").split(",")) == 8 + derived.tracks(spark, SF).count() // 100
     assert not exists(spark, f"{at}/work/batch=0") and not exists(spark, f"{at}/work/batch=1")
+
+
+def test_responses_are_parsed_once(spark):
+    """The plan of a strict reading has each parser once, whatever asks for their parts."""
+    raw = spark.createDataFrame([('{"measure_changes":[{"timestamp":"1.5"}]}', 1)], "raw string, k int")
+    rows = read_analyses(raw, strict=True)
+    plan = rows.select("k", "failed", "failure", F.size("measure_changes"), F.exists("measure_changes", lambda c: c["timestamp"] > 1))._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.lower().count(name) for name in ("parsejson", "from_json")] == [1, 1] or [plan.lower().count(name) for name in ("parse_json", "from_json")] == [1, 1], plan

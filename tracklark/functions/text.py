@@ -51,7 +51,8 @@ def sanitize_xml_text(text: Column) -> Column:
 def repair_long_decimals(text: Column) -> Column:
     """Numbers of ten decimals or more, wherever they stand, cut to two."""
     short = F.transform(F.regexp_extract_all(text, F.lit(LONG_DECIMAL), F.lit(0)), lambda x: F.format_string("%.2f", x.cast("double")))
-    return F.array_join(F.zip_with(F.split(text, LONG_DECIMAL, -1), F.concat(short, F.array(F.lit(""))), lambda gap, x: F.concat(gap, x)), "")
+    cut = F.array_join(F.zip_with(F.split(text, LONG_DECIMAL, -1), F.concat(short, F.array(F.lit(""))), lambda gap, x: F.concat(gap, x)), "")
+    return F.when(text.rlike(LONG_DECIMAL), cut).otherwise(text)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -21,53 +21,59 @@ TIMES = {"measure_changes": "timestamp", "loop_segments": "start"}
 _LISTS = "array<variant>"
 
 
-def bad_times(text: Column) -> Column:
+def _said_times(v: Column, name: str) -> Column:
+    """What the elements of a response's list (a variant) say as time: whether anything, whether null, and the number."""
+    time = f"$.{TIMES[name]}"
+    said = lambda c: F.try_variant_get(c, time, "variant")
+    one = lambda c: F.struct(said(c).isNotNull().alias("said"), F.is_variant_null(said(c)).alias("none"), F.try_variant_get(c, time, "double").alias("number"))
+    return F.transform(F.try_variant_get(v, f"$.{name}", _LISTS), one)
+
+
+def bad_times(v: Column, times: dict[str, Column]) -> Column:
     """Whether a response says a time that is no number: null, a text that isn't one, a list or an object. A time that
     isn't said at all is none. A list of candidates that is null or no list counts as bad too."""
-    v = F.try_parse_json(text)
     found = F.lit(False)
-    for name, time in TIMES.items():
-        listed = F.try_variant_get(v, f"$.{name}", "variant")
-        said = lambda c: F.try_variant_get(c, f"$.{time}", "variant")  # noqa: E731, B023
-        bad = F.exists(F.try_variant_get(v, f"$.{name}", _LISTS), lambda c: said(c).isNotNull() & (F.is_variant_null(said(c)) | F.try_variant_get(c, f"$.{time}", "double").isNull()))  # noqa: B023
-        found = found | F.coalesce(bad, listed.isNotNull())
+    for name, said in times.items():
+        bad = F.exists(said, lambda t: t["said"] & (t["none"] | t["number"].isNull()))
+        found = found | F.coalesce(bad, F.try_variant_get(v, f"$.{name}", "variant").isNotNull())
     return found
 
 
-def _said_times(analysis: Column, text: Column) -> Column:
-    """The analysis with the times as the response says them, those written as texts too."""
-    v = F.try_parse_json(text)
-
-    def said(name: str, time: str) -> Column:
-        lists = F.try_variant_get(v, f"$.{name}", _LISTS)
-        return F.transform(analysis[name], lambda c, i: c.withField(time, F.try_variant_get(F.get(lists, i), f"$.{time}", "double")))
-
-    return F.struct(*(said(n, t).alias(n) for n, t in TIMES.items()))
+def _why(text: Column, v: Column, times: dict[str, Column] | None) -> Column:
+    reason = F.when(v.isNull(), "unparsable").when(F.regexp_replace(text, r"\s", "").isin("{}", "[]", "null"), "empty")
+    return reason.when(bad_times(v, times), "bad_time") if times else reason
 
 
 def failure(raw: Column, strict: bool = False) -> Column:
     """Why a response gives no analysis: unparsable, empty (an empty object or list), or, if `strict`, bad_time; else null."""
     text = repair_long_decimals(raw)
-    reason = F.when(F.try_parse_json(text).isNull(), "unparsable").when(F.regexp_replace(text, r"\s", "").isin("{}", "[]", "null"), "empty")
-    return reason.when(bad_times(text), "bad_time") if strict else reason
+    v = F.try_parse_json(text)
+    return _why(text, v, {name: _said_times(v, name) for name in TIMES} if strict else None)
 
 
-def parse_analysis(raw: Column, exact: bool = False, strict: bool = False) -> Column:
-    """A response as a struct; null if it isn't JSON or is an empty object or list.
+def read_analyses(raw: DataFrame, exact: bool = False, strict: bool = False, reason: bool | None = None) -> DataFrame:
+    """Rows with `raw` text, with measure_changes, loop_segments and `failed`; with `reason` (by default if `strict`) also
+    `failure`. What isn't JSON, or is an empty object or list, has failed.
 
     A time that is said to be null, or is no number, becomes null, and is later taken as 0. If `strict`, the response
-    fails for it, and a time written as a text is read as the number it is.
+    fails for it, and a time written as a text is read as the number it is. Each step is a column that the next ones
+    ask for, none within a lambda, so that a text is repaired once and parsed once by each parser.
     """
-    text = repair_long_decimals(raw)
-    parsed = F.from_json(text, ANALYSIS, {"mode": "PERMISSIVE"})
-    return F.when(failure(raw, strict).isNull(), round_times(_said_times(parsed, text) if strict else parsed, exact))
-
-
-def read_analyses(raw: DataFrame, exact: bool = False, strict: bool = False) -> DataFrame:
-    """Rows with `raw` text, with measure_changes, loop_segments and `failed`; if `strict`, also `failure`, the reason."""
-    a = raw.withColumn("__a", parse_analysis(F.col("raw"), exact, strict))
-    why = [failure(F.col("raw"), True).alias("failure")] if strict else []
-    return a.select(*raw.columns, F.col("__a.measure_changes").alias("measure_changes"), F.col("__a.loop_segments").alias("loop_segments"), F.col("__a").isNull().alias("failed"), *why).drop("raw")
+    rows = raw.withColumn("__text", repair_long_decimals(F.col("raw")))
+    rows = rows.withColumn("__v", F.try_parse_json("__text"))
+    times = None
+    if strict:
+        rows = rows.withColumns({f"__{name}": _said_times(F.col("__v"), name) for name in TIMES})
+        times = {name: F.col(f"__{name}") for name in TIMES}
+    rows = rows.withColumn("__why", _why(F.col("__text"), F.col("__v"), times))
+    rows = rows.withColumn("__a", F.when(F.col("__why").isNull(), F.from_json("__text", ANALYSIS, {"mode": "PERMISSIVE"})))
+    a = F.col("__a")
+    if strict:
+        of = lambda name: F.zip_with(a[name], times[name], lambda c, t: c.withField(TIMES[name], t["number"]))
+        rows = rows.withColumn("__a", F.when(a.isNotNull(), F.struct(*(of(name).alias(name) for name in TIMES))))
+    a = round_times(F.col("__a"), exact)
+    why = [F.col("__why").alias("failure")] if (strict if reason is None else reason) else []
+    return rows.select(*raw.columns, *(a[name].alias(name) for name in TIMES), F.col("__why").isNotNull().alias("failed"), *why).drop("raw")
 
 
 def read_batch_analyses(raw: DataFrame, exact: bool = False) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import DEFAULT, CueConfig
 from ..operators.tracks import KEY, content_hash, latest_analysis, with_key
 from ..plans.jobs import annotate_library
-from ..sources.analyses import failure, read_analyses
+from ..sources.analyses import read_analyses
 from ..sources.files import delete, exists, folder_names, read_text, replace_text
 
 RAW = "library_id string, path string, batch_id long, idx long, raw string"
@@ -132,7 +132,7 @@ def _applier(library: str, cfg: CueConfig) -> Callable[[DataFrame, int], None]:
         work = f"{library}/work/batch={number}"
         kept = lambda df, name: _kept(spark, df, f"{work}/{name}")
         try:
-            parsed = kept(read_analyses(batch.withColumn("text", F.col("raw")).withColumn("why", failure(F.col("raw"), cfg.strict_times)), strict=cfg.strict_times), "parsed")  # read and parsed once
+            parsed = kept(read_analyses(batch.withColumn("text", F.col("raw")), strict=cfg.strict_times, reason=True).withColumnRenamed("failure", "why"), "parsed")  # read and parsed once
             touched = sorted(r["bucket"] for r in parsed.where(~F.col("failed")).select("bucket").distinct().collect())  # at most one of each
             rows = _buckets(spark, library, state, touched)
             there = rows.where("nfc_path <> ''").select(*KEY).distinct().withColumn("__there", F.lit(True))
