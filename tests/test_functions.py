@@ -73,3 +73,15 @@ def test_capitals_and_paths(spark):
     assert one(spark, text.capitalize(F.col("x")), x="gREEN") == "Green"
     assert one(spark, text.is_audio_path(F.col("x")), x="/a/B.MP3") is True
     assert one(spark, text.is_audio_path(F.col("x")), x="/a/b.txt") is False
+
+
+def test_song_is_cut_once(spark):
+    """No pattern that cuts a song stands within the lambda that goes over its pieces."""
+    from tracklark.functions.splice import spliced_song
+    from tracklark.schemas import POI
+
+    raw = '<Song><Poi Type="cue" Num="1"/><Comment>a</Comment><Comment>b</Comment></Song>'
+    rows = spark.createDataFrame([(raw, [], "c")], f"raw string, new array<{POI}>, comment string")
+    done = rows.select(spliced_song(F.col("raw"), F.col("new"), F.col("comment")).alias("raw"))
+    assert done.first()[0] == "<Song><Comment>c</Comment><Comment>b</Comment></Song>"
+    assert done._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 1
