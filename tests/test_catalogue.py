@@ -152,3 +152,13 @@ def test_responses_are_parsed_once(spark):
     rows = read_analyses(raw, strict=True)
     plan = rows.select("k", "failed", "failure", F.size("measure_changes"), F.exists("measure_changes", lambda c: c["timestamp"] > 1))._jdf.queryExecution().optimizedPlan().toString()
     assert [plan.lower().count(name) for name in ("parsejson", "from_json")] == [1, 1] or [plan.lower().count(name) for name in ("parse_json", "from_json")] == [1, 1], plan
+
+
+def test_published_tables_are_stored(spark, monkeypatch):
+    """A table that is published is made once: what `publish` gets has no joins to run again."""
+    from tracklark import queries
+
+    plans, publish = [], queries.published.publish
+    monkeypatch.setattr(queries.published, "publish", lambda one, *args: plans.append(one._jdf.queryExecution().optimizedPlan().toString()) or publish(one, *args))
+    queries.k2_publish_library(spark, SF)
+    assert len(plans) == 2 and not any("Join" in p for p in plans)

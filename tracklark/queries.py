@@ -514,7 +514,7 @@ def k2_publish_library(spark, d):
     path = _scratch(spark, "publish")
     library = derived.library(spark, d)
     for one in (jobs.annotate_library(library, derived.library_analyses(spark, d)), library):
-        if not published.publish(one, spark, path):
+        if not published.publish(tracks.stored(one), spark, path):  # written, and compared with what was
             raise RuntimeError("the export isn't what was written")
     number = lambda c: F.col(c).cast("double").alias(c)
     rows = published.read_published(spark, path)
