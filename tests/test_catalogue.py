@@ -162,3 +162,9 @@ def test_published_tables_are_stored(spark, monkeypatch):
     monkeypatch.setattr(queries.published, "publish", lambda one, *args: plans.append(one._jdf.queryExecution().optimizedPlan().toString()) or publish(one, *args))
     queries.k2_publish_library(spark, SF)
     assert len(plans) == 2 and not any("Join" in p for p in plans)
+
+
+def test_candidates_are_collected_in_one_sort(spark):
+    """No aggregation of lists, which would sort its rows again for want of room: neither for analyses nor for points."""
+    plan = jobs.make_points(derived.analysed_tracks(spark, SF), ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan

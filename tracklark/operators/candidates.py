@@ -115,7 +115,7 @@ def points_of_tracks(tracks: DataFrame, keys: Keys, cfg: CueConfig = DEFAULT) ->
     """(keys, points): the numbered cues and chosen loops of every track, chronological, in one array.
 
     The same as `number_cues`, `select_loops` and `new_points`, in one pass: scalars are made from exploded candidates,
-    which one aggregation on the track collects again; numbers, ranks, names and order follow within the row. Tracks
+    which one window over the track collects again, sorted once; numbers, names and order follow within the row. Tracks
     without candidates have an empty array. Points have t, looped, made, num, name, color, beats, at, code, slot.
     """
     found = align(explode_candidates(tracks, cfg), cfg)
@@ -123,12 +123,13 @@ def points_of_tracks(tracks: DataFrame, keys: Keys, cfg: CueConfig = DEFAULT) ->
     fit = has_elements(elements)
     color = classify_color(elements)
     shown = [color.alias("color"), F.col("beats"), format_position(F.col("t")).alias("at"), encode_color(color, cfg).alias("code")]
-    cue = F.struct("pos", fit.alias("fit"), "t", cue_name(F.col("name"), elements, F.lit(0)).alias("name"), *shown)
-    loop = F.struct(loop_priority(elements, cfg.policy).alias("rank"), "pos", (fit & loop_in_range(F.col("t"), F.col("song_length"), cfg)).alias("fit"), "t", loop_name(F.col("name"), elements).alias("name"), *shown)
-    rows = found.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when((kind == "cue") & cue_in_range(F.col("t"), F.col("song_length")), cue))).alias("cues"),
-        F.array_sort(F.collect_list(F.when(kind == "loop", loop))).alias("loops"),
-    )
+    cue = F.struct(fit.alias("fit"), "t", cue_name(F.col("name"), elements, F.lit(0)).alias("name"), *shown)
+    loop = F.struct((fit & loop_in_range(F.col("t"), F.col("song_length"), cfg)).alias("fit"), "t", loop_name(F.col("name"), elements).alias("name"), *shown)
+    track = Window.partitionBy(*keys).orderBy(F.when(kind == "loop", loop_priority(elements, cfg.policy)), "pos", "kind")
+    whole = track.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cues = F.collect_list(F.when((kind == "cue") & cue_in_range(F.col("t"), F.col("song_length")), cue)).over(whole)
+    loops = F.collect_list(F.when(kind == "loop", loop)).over(whole)
+    rows = found.select(*keys, cues.alias("cues"), loops.alias("loops"), F.row_number().over(track).alias("__rn")).where("__rn = 1")
 
     def point(looped: bool):
         def made(x: Column, i: Column) -> Column:
@@ -145,5 +146,5 @@ def points_of_tracks(tracks: DataFrame, keys: Keys, cfg: CueConfig = DEFAULT) ->
         loops = F.filter(F.transform(_first_of_each_name(F.col("loops"), cfg.max_loops), point(True)), lambda x: x["fit"])
     none = F.lit(None).cast("long")
     cues = F.transform(cues, lambda x: x.withField("slot", none))
-    loops = F.transform(F.array_sort(loops), lambda x, i: x.withField("slot", (i + 1).cast("long")))
-    return rows.select(*keys, F.array_sort(F.concat(cues, loops)).alias("points"))
+    loops = F.transform(F.sort_array(loops), lambda x, i: x.withField("slot", (i + 1).cast("long")))
+    return rows.select(*keys, F.sort_array(F.concat(cues, loops)).alias("points"))

@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the derived views, by remainder.
@@ -32,8 +32,8 @@ def tracks_sql(pick) -> str:
       FROM orders"""
 
 
-def candidates_sql(pick, first) -> str:
-    """SQL of the candidates; `first` writes the first n of a list of picks."""
+def candidates_sql(pick, first, more: str = "") -> str:
+    """SQL of the candidates; `first` writes the first n of a list of picks, and `more` is SQL of more columns."""
     chosen = [pick(ELEMENTS, f"{c} % 10 + 1") for c in ("l_partkey", "l_suppkey", "cast(l_quantity AS int)")]
     return f"""
       SELECT l_orderkey AS k,
@@ -44,7 +44,7 @@ def candidates_sql(pick, first) -> str:
         CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE {pick(NAMES, "l_suppkey % 5 + 1")} END AS name,
         {pick(COLORS, "l_suppkey % 5 + 1")} AS color,
         CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN 16e0 ELSE 32e0 END AS length_beats,
-        l_partkey AS partkey, l_suppkey AS suppkey, l_linenumber AS linenumber
+        l_partkey AS partkey, l_suppkey AS suppkey, l_linenumber AS linenumber{more}
       FROM lineitem"""
 
 
@@ -61,19 +61,26 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(tracks_sql(_spark_pick).replace("FROM orders", "FROM {orders}"), orders=orders)
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, more: str = "") -> DataFrame:
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    sql = candidates_sql(_spark_pick, _spark_first).replace("FROM lineitem", "FROM {lineitem}")
+    sql = candidates_sql(_spark_pick, _spark_first, more).replace("FROM lineitem", "FROM {lineitem}")
     return spark.sql(sql, lineitem=lineitem).withColumn("pos", F.col("pos").cast("long"))
 
 
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k, measure_changes, loop_segments, in the order of pos."""
-    c = candidates(spark, sf_dir)
-    cue = F.struct("pos", F.col("ts").alias("timestamp"), "elements", F.col("name").alias("cue_name"), "color")
-    loop = F.struct("pos", F.col("ts").alias("start"), "length_beats", "elements", F.col("name").alias("loop_name"), "color")
-    listed = lambda kind, x: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, x))), lambda v: v.dropFields("pos"))
-    return c.groupBy("k").agg(listed("cue", cue).alias("measure_changes"), listed("loop", loop).alias("loop_segments"))
+    """k, measure_changes, loop_segments, in the order of pos.
+
+    Lists are collected over a window in the order that pos counts, which is not asked for itself: one sort, and no
+    aggregation that would sort lists again by their track.
+    """
+    c = candidates(spark, sf_dir, ", l_quantity AS quantity, l_extendedprice AS price")
+    cue = F.struct(F.col("ts").alias("timestamp"), "elements", F.col("name").alias("cue_name"), "color")
+    loop = F.struct(F.col("ts").alias("start"), "length_beats", "elements", F.col("name").alias("loop_name"), "color")
+    track = Window.partitionBy("k").orderBy("linenumber", "partkey", "suppkey", "quantity", "price")
+    whole = track.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    listed = lambda kind, x: F.collect_list(F.when(F.col("kind") == kind, x)).over(whole)
+    rows = c.select("k", listed("cue", cue).alias("measure_changes"), listed("loop", loop).alias("loop_segments"), F.row_number().over(track).alias("__rn"))
+    return rows.where("__rn = 1").drop("__rn")
 
 
 def analysed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:

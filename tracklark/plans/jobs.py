@@ -30,7 +30,7 @@ def annotate_library(library: DataFrame, analyses: DataFrame, cfg: CueConfig = D
     `analyses`: library_id, path, batch_id, idx, measure_changes, loop_segments; the last one of a track counts
     (by batch_id, idx, and then a hash of what it says).
     Of songs with the same path the first is edited; songs without a path are not. Three exchanges, all on the track's
-    key: the analyses, the attributes of the library, and its songs; candidates are exploded and collected between them.
+    key: the analyses, the attributes of the library, and its songs; candidates are exploded and collected between them, in one sort.
     A song that carries its text (`raw`) has it edited too, at its points and first comment alone.
     """
     found = with_key(analyses.select("library_id", "path", "batch_id", "idx", "measure_changes", "loop_segments"))
