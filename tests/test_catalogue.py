@@ -168,3 +168,32 @@ def test_candidates_are_collected_in_one_sort(spark):
     """No aggregation of lists, which would sort its rows again for want of room: neither for analyses nor for points."""
     plan = jobs.make_points(derived.analysed_tracks(spark, SF), ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
+def test_tags_are_counted_in_a_hash_table(spark, tmp_path):
+    """Files are looked through for damage without a sort of their tags; the last tag of a file is that of its last block."""
+    from tracklark.config import DEFAULT
+    from tracklark.sources import library as documents
+
+    (tmp_path / "a.xml").write_text("<VirtualDJ_Database>" + "<Song FilePath='x'><Comment>c</Comment></Song>\n" * 2000 + "</VirtualDJ_Database >\n \n")
+    (tmp_path / "b.xml").write_text("<VirtualDJ_Database><Song FilePath='/x/'/ ></Song></VirtualDJ_Database><Song/>")
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.set(f"spark.sql.files.{name}", "4k")
+    try:
+        counts = documents._tag_counts(spark, str(tmp_path), DEFAULT)
+        rows = {r.file[-5:]: r for r in counts.collect()}
+    finally:
+        for name in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{name}")
+    assert "SortAggregate" not in counts._jdf.queryExecution().executedPlan().toString()
+    a, b = rows["a.xml"], rows["b.xml"]
+    assert a["__end"] == a["__last"] and a["__open"] == 0 and a["__begun"] == 2000 and not a["__control"]
+    assert b["__end"] < b["__last"] and b["__ends"] == 1
+
+
+def test_songs_are_cut_at_their_last_end(spark):
+    from tracklark.sources.library import _song
+
+    texts = {' A="x>/"/> <!-- </Song> -->': ' A="x>/"/>', "><a/></Song> x": "><a/></Song>", "></Song></Song >\n": "></Song></Song >", "></Song></Songs>": "></Song>", "><a/>": "", "></Song\n> </Song> y": "></Song\n> </Song>"}
+    rows = spark.createDataFrame([(t, w) for t, w in texts.items()], "t string, w string").select("w", _song(F.col("t")).alias("got")).collect()
+    assert all(r.got == r.w for r in rows)
