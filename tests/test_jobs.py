@@ -433,3 +433,48 @@ def test_points_in_one_pass_are_those_of_the_operators(spark, policy):
     rows = lambda t: sorted(map(tuple, t.select(columns).collect()))
     assert [r[:2] for r in rows(want)] == [r[:2] for r in rows(jobs.make_points(derived.analysed_tracks(spark, SF), ["k"], cfg))]
     assert set(rows(want)) == set(rows(jobs.make_points(derived.analysed_tracks(spark, SF), ["k"], cfg)))
+
+
+def test_older_responses_write_no_bucket(spark, tmp_path):
+    """A batch whose responses are all older than those applied reads, reports and rejects, and rewrites nothing."""
+    library = derived.library(spark, SF).where("library_id = 'lib1' and song_ord < 400")
+    paths = [r.path for r in library.where("song_ord % 17 <> 0 and song_ord % 19 <> 0").orderBy("song_ord").limit(20).collect()]
+    at = str(tmp_path / "lib")
+    write_first_version(library, at, buckets=4)
+    apply = incremental._applier(at, CueConfig())
+    apply(spark.createDataFrame([_response(p, 45.0, 9) for p in paths], incremental.RAW), 0)
+    once = latest_version(spark, at).orderBy("song_ord").collect()
+    apply(spark.createDataFrame([_response(p, 1.0, 8) for p in paths] + [_response("/gone.mp3", 1.0, 9)], incremental.RAW), 1)
+    assert not (tmp_path / "lib" / "data" / "v=2").exists() and incremental._state(spark, at, 2) == incremental._state(spark, at, 1)
+    assert latest_version(spark, at).orderBy("song_ord").collect() == once
+    assert [tuple(r) for r in incremental.stream_report(spark, at).orderBy("batch").collect()] == [(0, 20, 20, 0, 0, 0, 0), (1, 21, 20, 0, 0, 0, 1)]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from tracklark.operators.tracks import stored
+
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {f for f in files.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = names()
+    rows = stored(spark.range(1000).repartition(3, "id"))
+    new = names() - before
+    for _ in range(20):
+        new &= names()
+        time.sleep(0.2 if new else 0)
+    assert not {f for f in new if f.endswith(".data")} and rows.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_marks_and_spellings_of_a_track(spark):
+    """Attributes of each spelling in a map, the place of the first song, and the marks of the first song that has any."""
+    from tracklark.operators.tracks import attribute_maps
+
+    rows = [("l", "n", "b", 2, "9", None, None, None, 5, 6), ("l", "n", "a", 1, None, "0.5", None, "0.1", None, 7), ("l", "n", "a", 3, "8", None, None, None, 1, 2), ("l", "m", "c", 4, None, None, None, None, None, None)]
+    t = spark.createDataFrame(rows, "library_id string, nfc_path string, path string, song_ord long, song_length string, scan_bpm string, tags_bpm string, grid_pos string, x long, y long")
+    got = {r.nfc_path: r for r in attribute_maps(t, ["x", "y"]).collect()}
+    assert {p: tuple(a) for p, a in got["n"].spellings.items()} == {"a": (8.0, 120.0, 0.1), "b": (9.0, None, None)}
+    assert [(r.first_ord, r.x, r.y) for r in (got["n"], got["m"])] == [(1, 5, 6), (4, None, None)]
+    plan = attribute_maps(t)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan

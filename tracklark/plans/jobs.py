@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
@@ -35,16 +36,28 @@ def annotate_library(library: DataFrame, analyses: DataFrame, cfg: CueConfig = D
     """
     found = with_key(analyses.select("library_id", "path", "batch_id", "idx", "measure_changes", "loop_segments"))
     latest = latest_analysis(found.withColumn("__hash", content_hash()), tie="__hash").drop("__hash")
-    tracks = with_attributes(latest, library, cfg)
-    new = collected_points(points_of_tracks(tracks, [*KEY, "first_ord"], cfg), [*KEY, "first_ord"])
+    return put_points(library, points_of_analyses(with_attributes(latest, library, cfg), cfg))
+
+
+def points_of_analyses(tracks: DataFrame, cfg: CueConfig = DEFAULT, marks: Sequence[str] = ()) -> DataFrame:
+    """(library_id, nfc_path, first_ord, marks, new_pois, comment) of tracks with their attributes and analysis."""
+    keys = [*KEY, "first_ord", *marks]
+    return collected_points(points_of_tracks(tracks, keys, cfg), keys)
+
+
+def put_points(library: DataFrame, new: DataFrame, marks: Sequence[str] = ()) -> DataFrame:
+    """`library` with the points and comments that `points_of_analyses` made, at the first song of each track; `marks` are
+    columns of both, which that song takes from the points."""
     # old points stay nested in their song's row; songs without a path get keys of their own
     own = F.concat(F.lit("\x00"), F.col("song_ord").cast("string"))
     songs = library.withColumn("__nfc", F.when(F.col("nfc_path") != "", F.col("nfc_path")).otherwise(own))
-    songs = songs.join(new.withColumnRenamed("nfc_path", "__nfc"), ["library_id", "__nfc"], "left")
+    songs = songs.join(new.withColumnsRenamed({"nfc_path": "__nfc", **{m: f"__{m}" for m in marks}}), ["library_id", "__nfc"], "left")
     edited = F.coalesce(F.col("first_ord") == F.col("song_ord"), F.lit(False))
     comments = F.concat(F.array(F.coalesce("comment", F.lit(""))), F.filter("comments", lambda c, i: i > 0))
     if "raw" in library.columns:
         songs = songs.withColumn("raw", F.when(edited, spliced_song(F.col("raw"), F.col("new_pois"), F.col("comment"))).otherwise(F.col("raw")))
+    for m in marks:
+        songs = songs.withColumn(m, F.when(edited, F.col(f"__{m}")).otherwise(F.col(m)))
     return songs.withColumn("pois", F.when(edited, replace_pois(F.col("pois"), F.col("new_pois"))).otherwise(F.col("pois"))).withColumn("comments", F.when(edited, comments).otherwise(F.col("comments"))).select(*library.columns)
 
 

@@ -2,8 +2,8 @@
 
 The table is dealt into buckets by a hash of the track's key, as many as it was made with, whatever the number of libraries.
 A bucket's rows lie in `data/v=<version>/bucket=<number>`, and `state/<version>.json` says for each bucket in which version
-it was last written. A micro-batch reads and writes only the buckets that it has responses for, by their paths; nothing is
-listed. Songs have two more columns, the place (batch_id, idx) of the response that was applied to them and a hash of it:
+it was last written. A micro-batch reads only the buckets that it has responses for, by their paths, and writes only those
+that have newer ones; nothing is listed. Songs have two more columns, the place (batch_id, idx) of the response that was applied to them and a hash of it:
 an older response changes nothing, in whatever order files arrive and however they are split.
 
 Responses that can't be used go to `rejected/batch=<n>` with a reason, and can be sent again from there. What became of the
@@ -21,10 +21,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT, CueConfig
-from ..operators.tracks import KEY, content_hash, latest_analysis, with_key
-from ..plans.jobs import annotate_library
+from ..operators.tracks import KEY, content_hash, latest_analysis, with_attributes, with_key
+from ..plans.jobs import points_of_analyses, put_points
 from ..sources.analyses import read_analyses
-from ..sources.files import delete, exists, folder_names, read_text, replace_text
+from ..sources.files import delete, exists, folder_names, read_text, replace_text, without_shuffles
 
 RAW = "library_id string, path string, batch_id long, idx long, raw string"
 #: Buckets of a new table; what the state holds on the driver is a number for each.
@@ -51,8 +51,9 @@ def write_first_version(library: DataFrame, path: str, buckets: int = BUCKETS) -
     """The table as of version 0. `buckets` should make a bucket's rows some hundred MB."""
     none = [F.lit(None).cast("long").alias(c) for c in MARK]
     rows = library.select("*", *none).withColumn("bucket", bucket_of(buckets))
-    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data/v=0")
     spark = library.sparkSession
+    with without_shuffles(spark):
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data/v=0")
     full = {int(n.removeprefix("bucket=")) for n in folder_names(spark, f"{path}/data/v=0")}
     schema = json.loads(library.select("*", *none).schema.json())
     replace_text(spark, f"{path}/schema.json", json.dumps(schema))
@@ -78,30 +79,27 @@ def latest_version(spark: SparkSession, library: str) -> DataFrame:
     return library_at(spark, library, int(read_text(spark, f"{library}/state/latest")) if exists(spark, f"{library}/state/latest") else 0)
 
 
-def newer_responses(rows: DataFrame, good: DataFrame) -> DataFrame:
-    """Of responses the last for each track of the library rows (with MARK), if it isn't older than what was applied to
-    it, or the same; with `song_ord`, the place of the song that it changes, and `new`, its mark."""
+def newer_points(rows: DataFrame, good: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
+    """Of responses (with nfc_path) the last for each track of the library rows (with MARK), if it isn't older than what was
+    applied to it, or the same: its points as `points_of_analyses` makes them, with MARK, its own mark.
+
+    Responses are dealt out once, by their track, for all of that; rows are read for what the tracks are asked alone.
+    """
     least = F.lit(-(2**63)).cast("long")
-    last = latest_analysis(with_key(good).withColumn("__hash", content_hash()), tie="__hash")
-    last = last.withColumn("new", F.struct(F.coalesce("batch_id", least).alias("b"), F.coalesce("idx", least).alias("i"), F.col("__hash").alias("h")))
-    old = F.struct(*(F.col(c).alias(n) for n, c in zip("bih", MARK, strict=True)))
-    tracks = rows.where("nfc_path <> ''").groupBy(*KEY).agg(F.min("song_ord").alias("song_ord"), F.max(F.when(F.col(MARK[0]).isNotNull(), old)).alias("__old"))
-    return last.join(tracks, KEY).where(F.col("__old").isNull() | (F.col("new") > F.col("__old"))).drop("__old", "__hash")
+    last = latest_analysis(good.withColumn("__hash", content_hash()), tie="__hash")
+    own = {"applied_batch": F.coalesce("batch_id", least), "applied_idx": F.coalesce("idx", least), "applied_hash": F.col("__hash")}
+    found = with_attributes(last, rows, cfg, MARK)
+    old, new = F.struct(*(F.col(c).alias(c) for c in MARK)), F.struct(*(own[c].alias(c) for c in MARK))
+    newer = found.where(F.col(MARK[0]).isNull() | (new > old)).withColumns(own)
+    return points_of_analyses(newer, cfg, MARK)
 
 
-def apply_newer(rows: DataFrame, newer: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
-    """Library rows (with MARK) after `newer_responses`, which are read twice and should be stored.
+def apply_responses(rows: DataFrame, good: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
+    """Library rows (with MARK) after responses that may be older than those applied to them, or come twice.
 
     The mark of a track is kept with its first song, the one that is edited.
     """
-    done = annotate_library(rows, newer.select("library_id", "path", "batch_id", "idx", "measure_changes", "loop_segments"), cfg)
-    told = done.join(newer.select(*KEY, "song_ord", F.col("new").alias("__new")), [*KEY, "song_ord"], "left")
-    return told.select(*(F.coalesce(f"__new.{'bih'[MARK.index(c)]}", c).alias(c) if c in MARK else c for c in rows.columns))
-
-
-def apply_responses(rows: DataFrame, good: DataFrame, cfg: CueConfig = DEFAULT) -> DataFrame:
-    """Library rows (with MARK) after responses that may be older than those applied to them, or come twice."""
-    return apply_newer(rows, newer_responses(rows, good), cfg)
+    return put_points(rows, newer_points(rows, with_key(good), cfg), MARK)
 
 
 def annotate_incremental(spark: SparkSession, responses: str, library: str, checkpoint: str, files_per_batch: int = 100, cfg: CueConfig = DEFAULT) -> StreamingQuery:
@@ -109,8 +107,8 @@ def annotate_incremental(spark: SparkSession, responses: str, library: str, chec
 
     Of the responses for a track, in whatever files and order they come, the one of the highest (batch_id, idx) stands, of
     several with the same place that of the highest hash: the table ends as one batch over all responses would leave it.
-    Micro-batch n reads version n and writes version n+1 of the buckets that it has responses for, so a batch that is run
-    again writes the same. Buckets that version n no longer needs are then deleted. A response that can't be used, or is
+    Micro-batch n reads version n and writes version n+1 of the buckets that it has newer responses for, so a batch that is
+    run again writes the same; one whose responses are all older writes none. Buckets that version n no longer needs are then deleted. A response that can't be used, or is
     for no song of the library, goes to `rejected` with its reason and leaves all as it was. Stops when all files that
     are there have been applied.
     """
@@ -120,7 +118,8 @@ def annotate_incremental(spark: SparkSession, responses: str, library: str, chec
 
 def _kept(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
     """The rows as a batch reads them more than once: a cache would hold texts and lists uncompressed."""
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with without_shuffles(spark):
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -141,16 +140,22 @@ def _applier(library: str, cfg: CueConfig) -> Callable[[DataFrame, int], None]:
             counted = Observation(f"responses-{number}")
             told = told.withColumn("reason", reason).observe(counted, F.count("*").alias("responses"), F.count_if(F.col("reason").isNull()).alias("usable"), *(F.count_if(F.col("reason") == r).alias(r) for r in REASONS))
             bad = told.where(F.col("reason").isNotNull()).select("library_id", "path", "batch_id", "idx", F.col("text").alias("raw"), "reason")
-            bad.write.mode("overwrite").parquet(f"{library}/rejected/batch={number}")
-            good = parsed.where(~F.col("failed")).select("library_id", "path", "batch_id", "idx", "measure_changes", "loop_segments")
-            rows = rows.drop("bucket")
-            done = apply_newer(rows, kept(newer_responses(rows, good), "newer"), cfg).withColumn("bucket", bucket_of(len(state)))
-            done.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{library}/data/v={number + 1}")
+            with without_shuffles(spark):
+                bad.write.mode("overwrite").parquet(f"{library}/rejected/batch={number}")
+            good = parsed.where(~F.col("failed")).select(*KEY, "path", "batch_id", "idx", "measure_changes", "loop_segments")
+            newer = kept(newer_points(rows.drop("bucket"), good, cfg), "newer")
+            changed = sorted(r["bucket"] for r in newer.select(bucket_of_track(len(state)).alias("bucket")).distinct().collect())
+            if changed:
+                rows = _buckets(spark, library, state, changed).drop("bucket")
+                done = put_points(rows, newer, MARK).withColumn("bucket", bucket_of(len(state)))
+                with without_shuffles(spark):
+                    done.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{library}/data/v={number + 1}")
             replace_text(spark, f"{library}/reports/{number}.json", json.dumps(counted.get))
         finally:
             delete(spark, work)
-        # buckets without rows have no folder
-        replace_text(spark, f"{library}/state/{number + 1}.json", json.dumps([number + 1 if b in set(touched) and v >= 0 else v for b, v in enumerate(state)]))
+        # a bucket with newer responses has rows, and so a folder
+        changed = set(changed)
+        replace_text(spark, f"{library}/state/{number + 1}.json", json.dumps([number + 1 if b in changed else v for b, v in enumerate(state)]))
         replace_text(spark, f"{library}/state/latest", str(number + 1))
         _expire(spark, library, number, state)
 
