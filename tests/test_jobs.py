@@ -478,3 +478,55 @@ def test_marks_and_spellings_of_a_track(spark):
     assert [(r.first_ord, r.x, r.y) for r in (got["n"], got["m"])] == [(1, 5, 6), (4, None, None)]
     plan = attribute_maps(t)._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan
+
+
+def test_sound_documents_are_read_once(spark, library, tmp_path, monkeypatch):
+    """Neither a reading nor a check of a sound export looks through it for damage; a few tasks list its folders."""
+    two = library.withColumn("library_id", F.lit("a [b] %41")).union(library.withColumn("library_id", F.lit("c")))
+    cfg, path = CueConfig(songs_per_document=2), str(tmp_path / "out")
+    documents.write_library(two, path, cfg)
+    want = documents.read_files(spark, path, documents.suspects(documents.pieces(spark, path, cfg, documents.EXPORT).withColumn("__ok", F.lit(False))), cfg, documents.EXPORT)
+    want = {(r.library_id, r.document, r.path, str(r.pois), str(r.comments), r.scan_bpm) for r in want.collect()}
+    for module in (documents, published):
+        monkeypatch.setattr(module, "damaged_files", lambda *_, **__: 1 / 0)
+    rows = documents.read_export(spark, path, cfg)
+    assert {(r.library_id, r.song_ord // 2, r.path, str(r.pois), str(r.comments), r.scan_bpm) for r in rows.collect()} == want and rows.count() == 10
+    assert published.verify_export(two, spark, path, cfg) and published.export_differences(two, spark, path, cfg).isEmpty()
+    assert documents.read_raw_library(spark, path, cfg, folders=True).count() == 10
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+
+
+SONG = '<Song FilePath="/x" Flag="a>b"><Infos SongLength="1"/><Comment>c</Comment></Song>'
+ODD = {
+    "sound": (f'<?xml version="1.0"?>\n<!-- x --><VirtualDJ_Database V="/">\n{SONG}\n<!-- y -->\n{SONG}\r\n<Song FilePath="/y"/></VirtualDJ_Database >\n', 3),
+    "comment": (f"<VirtualDJ_Database>{SONG}<!-- </Song> --></VirtualDJ_Database>", None),
+    "marked": (f"<VirtualDJ_Database><SongList/>{SONG}</VirtualDJ_Database>", 1),
+    "commented": (f"<VirtualDJ_Database><!-- {SONG} -->{SONG}</VirtualDJ_Database>", None),
+    "twice": (f"<VirtualDJ_Database>{SONG}</Song></VirtualDJ_Database>", 1),
+    "open": (f"<VirtualDJ_Database>{SONG}{SONG}", None),
+    "behind": (f"<VirtualDJ_Database>{SONG}</VirtualDJ_Database>{SONG}", 1),
+    "control": (f"<VirtualDJ_Database>{SONG}\x01{SONG}</VirtualDJ_Database>", 2),
+    "broken": (f'<VirtualDJ_Database>{SONG.replace("<Infos", "<Inf>")}{SONG}</VirtualDJ_Database>', None),
+    "other": (f"<VirtualDJ_Database>{SONG}<Other>{SONG}</Other></VirtualDJ_Database>", 2),
+    "empty": ("<VirtualDJ_Database></VirtualDJ_Database>", 0),
+}
+
+
+def test_documents_that_may_be_damaged_are_read_as_before(spark, tmp_path):
+    """Only what is surely sound is taken from the pieces; every other document goes the way of the reader by songs."""
+    for n, (text, _) in enumerate(ODD.values()):
+        folder = tmp_path / "in" / "library_id=l" / f"document={n}"
+        folder.mkdir(parents=True)
+        (folder / "a.xml").write_bytes(text.encode())
+    path, cfg = str(tmp_path / "in"), CueConfig()
+    found = documents.suspects(documents.pieces(spark, path, cfg, documents.EXPORT))
+    names = list(ODD)
+    assert sorted(names[int(f.split("document=")[1].split("/")[0])] for f in found) == sorted(names[1:])
+    every = [f"file://{p}" for p in (tmp_path / "in").rglob("a.xml")]
+    key = lambda r: (r.document, r.path, r.song_length, str(r.comments))
+    want = sorted(map(key, documents.read_files(spark, path, every, cfg, documents.EXPORT).collect()))
+    rows = documents.read_export(spark, path, cfg).withColumn("document", F.expr(f"song_ord div {cfg.songs_per_document}"))
+    got = sorted(map(key, rows.collect()))
+    assert got == want
+    count = [sum(r[0] == n for r in got) for n in range(len(ODD))]
+    assert all(many in (None, count[n]) for n, (_, many) in enumerate(ODD.values())), dict(zip(ODD, count, strict=True))
