@@ -197,3 +197,30 @@ def test_songs_are_cut_at_their_last_end(spark):
     texts = {' A="x>/"/> <!-- </Song> -->': ' A="x>/"/>', "><a/></Song> x": "><a/></Song>", "></Song></Song >\n": "></Song></Song >", "></Song></Songs>": "></Song>", "><a/>": "", "></Song\n> </Song> y": "></Song\n> </Song>"}
     rows = spark.createDataFrame([(t, w) for t, w in texts.items()], "t string, w string").select("w", _song(F.col("t")).alias("got")).collect()
     assert all(r.got == r.w for r in rows)
+
+
+def test_edited_documents_are_exported_alone(spark, monkeypatch):
+    """When edited documents are exported, those that were read are gone, and no shuffle of the edit is left to be kept."""
+    from tracklark import queries
+    from tracklark.sources.files import folder_names
+
+    seen, write, scratch = [], queries.documents.write_library, queries._scratch
+    monkeypatch.setattr(queries, "_scratch", lambda *args: seen.append(scratch(*args)) or seen[-1])
+    monkeypatch.setattr(queries.documents, "write_library", lambda one, *args: seen.append(one._jdf.queryExecution().optimizedPlan().toString()) or write(one, *args))
+    queries.k1_lossless_edit(spark, SF)
+    path, plan = seen
+    assert folder_names(spark, path) == ["out"] and "Join" not in plan
+
+
+def test_songs_are_cut_once_or_twice_alike(spark):
+    """A song that holds the mark of the pieces is searched without it."""
+    from tracklark.functions.splice import spliced_song
+    from tracklark.schemas import POI
+
+    song = '<Song FilePath="/x$1\\"><!-- a --><Poi Type="cue" Num="1"/> {}<Poi Type="cue" Num="0"/>\n<Comment>c$0</Comment> <Link/></Song >'
+    rows = spark.createDataFrame([(song.format(x), [("n$1", "1.0", "1", None, "cue", None, None)]) for x in ("", "\x01", "<Odd/>\x01\x01")], f"raw string, new array<{POI}>")
+    want = '<Song FilePath="/x$1\\"><!-- a -->{}<Poi Type="cue" Num="0"/>\n<Comment>blue</Comment> <Link/><Poi Name="n$1" Pos="1.0" Num="1" Type="cue" /></Song >'
+    got = [r[0] for r in rows.select(spliced_song(F.col("raw"), F.col("new"), F.lit("blue"))).collect()]
+    assert got == [want.format(x) for x in ("", "\x01", "<Odd/>\x01\x01")]
+    plain = [r[0] for r in rows.select(spliced_song(F.replace("raw", F.lit("</Song >"), F.lit("</Song>")), F.col("new"), F.lit("blue"))).collect()]
+    assert plain == [g.replace("</Song >", "</Song>") for g in got]
