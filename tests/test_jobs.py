@@ -480,19 +480,20 @@ def test_marks_and_spellings_of_a_track(spark):
     assert "ObjectHashAggregate" not in plan
 
 
-def test_sound_documents_are_read_once(spark, library, tmp_path, monkeypatch):
-    """Neither a reading nor a check of a sound export looks through it for damage; a few tasks list its folders."""
-    two = library.withColumn("library_id", F.lit("a [b] %41")).union(library.withColumn("library_id", F.lit("c")))
-    cfg, path = CueConfig(songs_per_document=2), str(tmp_path / "out")
-    documents.write_library(two, path, cfg)
-    want = documents.read_files(spark, path, documents.suspects(documents.pieces(spark, path, cfg, documents.EXPORT).withColumn("__ok", F.lit(False))), cfg, documents.EXPORT)
-    want = {(r.library_id, r.document, r.path, str(r.pois), str(r.comments), r.scan_bpm) for r in want.collect()}
-    for module in (documents, published):
-        monkeypatch.setattr(module, "damaged_files", lambda *_, **__: 1 / 0)
-    rows = documents.read_export(spark, path, cfg)
-    assert {(r.library_id, r.song_ord // 2, r.path, str(r.pois), str(r.comments), r.scan_bpm) for r in rows.collect()} == want and rows.count() == 10
-    assert published.verify_export(two, spark, path, cfg) and published.export_differences(two, spark, path, cfg).isEmpty()
-    assert documents.read_raw_library(spark, path, cfg, folders=True).count() == 10
+def test_exports_are_parsed_once(spark, library, tmp_path, monkeypatch):
+    """A reading or a check of an export parses its songs once, and looks through its tags once; a few tasks list its folders."""
+    cfg, path, calls = CueConfig(songs_per_document=2), str(tmp_path / "out"), []
+    documents.write_library(library, path, cfg)
+    for name in ("songs_of_files", "_tag_counts"):
+        f = getattr(documents, name)
+        counted = lambda *args, name=name, f=f: calls.append(name) or f(*args)
+        monkeypatch.setattr(documents, name, counted)
+        if hasattr(published, name):
+            monkeypatch.setattr(published, name, counted)
+    assert documents.read_export(spark, path, cfg).count() == 5 and sorted(calls) == ["_tag_counts", "songs_of_files"]
+    assert published.verify_export(library, spark, path, cfg) and sorted(calls) == 2 * ["_tag_counts"] + 2 * ["songs_of_files"]
+    calls.clear()
+    assert documents.read_raw_library(spark, path, cfg, folders=True).count() == 5 and calls == []  # surely sound
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
 
 
@@ -512,21 +513,17 @@ ODD = {
 }
 
 
-def test_documents_that_may_be_damaged_are_read_as_before(spark, tmp_path):
-    """Only what is surely sound is taken from the pieces; every other document goes the way of the reader by songs."""
+def test_documents_that_may_be_damaged(spark, tmp_path):
+    """Only what is surely sound isn't looked through tag by tag; what a reading of all finds is what the reader by songs does."""
     for n, (text, _) in enumerate(ODD.values()):
         folder = tmp_path / "in" / "library_id=l" / f"document={n}"
         folder.mkdir(parents=True)
         (folder / "a.xml").write_bytes(text.encode())
-    path, cfg = str(tmp_path / "in"), CueConfig()
-    found = documents.suspects(documents.pieces(spark, path, cfg, documents.EXPORT))
-    names = list(ODD)
-    assert sorted(names[int(f.split("document=")[1].split("/")[0])] for f in found) == sorted(names[1:])
-    every = [f"file://{p}" for p in (tmp_path / "in").rglob("a.xml")]
-    key = lambda r: (r.document, r.path, r.song_length, str(r.comments))
-    want = sorted(map(key, documents.read_files(spark, path, every, cfg, documents.EXPORT).collect()))
-    rows = documents.read_export(spark, path, cfg).withColumn("document", F.expr(f"song_ord div {cfg.songs_per_document}"))
-    got = sorted(map(key, rows.collect()))
-    assert got == want
-    count = [sum(r[0] == n for r in got) for n in range(len(ODD))]
-    assert all(many in (None, count[n]) for n, (_, many) in enumerate(ODD.values())), dict(zip(ODD, count, strict=True))
+    path, cfg, names = str(tmp_path / "in"), CueConfig(), list(ODD)
+    number = lambda f: int(f.split("document=")[1].split("/")[0])
+    assert sorted(number(f) for f in documents.suspects(documents.pieces(spark, path, cfg, documents.EXPORT))) == list(range(1, len(ODD)))
+    assert number("document=0/") not in {number(f) for f in documents.damaged_files(spark, path, cfg, by_mark=True)}
+    for rows in (documents.read_export(spark, path, cfg).withColumn("document", F.expr(f"song_ord div {cfg.songs_per_document}")), documents.read_raw_library(spark, path, cfg, folders=True)):
+        got = [r.document for r in rows.where("path in ('/x', '/y')").collect()]
+        count = [got.count(n) for n in range(len(ODD))]
+        assert all(many in (None, count[n]) for n, (_, many) in enumerate(ODD.values())), dict(zip(names, count, strict=True))
